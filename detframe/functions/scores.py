@@ -55,3 +55,21 @@ def add_class_name(df: DataFrame, classes: DataFrame, unknown: str | None = "unk
     other = F.lit(unknown) if unknown is not None else F.concat(F.lit("Class "), F.col("class_id").cast("string"))
     named = df.join(classes.select("class_id", "class_name"), "class_id", "left")
     return named.withColumn("class_name", F.coalesce("class_name", other))
+
+
+def two_decimals(value: Column) -> Column:
+    """Non-negative ``value`` as text with two decimals, rounded on its exact binary value, halves to even.
+
+    ``format_string`` rounds the shortest decimal form instead, which turns
+    0.835 (stored slightly below) into 0.84. The product with 100 is therefore
+    taken together with its rounding error.
+    """
+    product = value * 100
+    spread = value * F.lit(134217729.0)
+    high = spread - (spread - value)
+    error = (high * 100 - product) + (value - high) * 100
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    cents = whole + up.cast("int")
+    return F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.functions.scores import argmax, conform
+from detframe.functions.scores import add_class_name, argmax, conform, two_decimals
 
 
 def _scaled(value: Column, extent: Column) -> Column:
@@ -52,14 +52,12 @@ def flatten_predictions(layered: DataFrame, num_classes: int) -> DataFrame:
 
 def overlay_rows(detections: DataFrame, classes: DataFrame) -> DataFrame:
     """What a renderer needs per box: label text, integer corners and the label's baseline."""
-    from detframe.functions.scores import add_class_name
-
     named = add_class_name(detections, classes, unknown=None)
     corner = {
         "left": F.col("x").cast("int"), "top": F.col("y").cast("int"),
         "right": F.col("x").cast("int") + F.col("w").cast("int"), "bottom": F.col("y").cast("int") + F.col("h").cast("int"),
     }
     return named.select(
-        "image_id", "pos", F.format_string("%s: %.2f", "class_name", "score").alias("label"),
+        "image_id", "pos", F.concat("class_name", F.lit(": "), two_decimals(F.col("score"))).alias("label"),
         *[c.alias(n) for n, c in corner.items()], F.greatest(F.col("y").cast("int") - 10, F.lit(20)).alias("label_y"),
     )
