@@ -55,7 +55,7 @@ def _(f):
     ["fx_labels"], [LINES, PARTS], "cx cy w h"))
 def _(f):
     # The one short line this data adds is taken out first; the reader fails on it.
-    clean = f("fx_labels").withColumn("label_text", F.regexp_replace("label_text", r"\n1 0\.5(?=\n|$)", ""))
+    clean = f("fx_labels").withColumn("label_text", F.regexp_replace("label_text", r"\n1 0\.5(?=\n|$)", "\n"))
     return as_big(labels.parse_labels_strict(clean), "pos", "class_id")
 
 

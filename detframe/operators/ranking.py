@@ -80,7 +80,8 @@ def exact_quantiles(values: DataFrame, group_by: Sequence[str], value: str, prob
 
 def seeded_hash(key: Column, seed: int) -> Column:
     """Repeatable uniform order of integer keys, the same in any SQL engine."""
-    return (key * F.lit(1103515245).cast("bigint") + F.lit(seed * 12345).cast("bigint")) % F.lit(2147483648)
+    low = F.pmod(key.cast("bigint"), F.lit(2147483648))
+    return (low * F.lit(1103515245).cast("bigint") + F.lit(seed * 12345).cast("bigint")) % F.lit(2147483648)
 
 
 def take_by_hash(
