@@ -19,6 +19,10 @@ PLAIN = [*BASE, *cte_match("det", "gt"), *cte_rows("det", "gt")]
 FX = ["fx_det", "fx_gt", "fx_images", "fx_classes"]
 
 
+def stored_rows(f):
+    return materialize(match.evaluation_rows(f("fx_det"), f("fx_gt"), NUM_CLASSES), "eval-rows")
+
+
 @query("match_detections", duck(
     "select image_id, cast(pos as bigint) pos, cast(gt_pos as bigint) gt_pos, cast(gt_class as bigint) gt_class, iou from m",
     FX, [*BASE, *cte_match("det", "gt")], "iou"))
@@ -75,14 +79,12 @@ def _(f):
 
 @query("ap_per_class", duck("select cast(class_id as bigint) class_id, class_name, ap from ap", FX, [*PLAIN, *cte_curve(), *cte_ap()], "ap"))
 def _(f):
-    rows = match.evaluation_rows(f("fx_det"), f("fx_gt"), NUM_CLASSES)
-    return as_big(curves.average_precision(curves.pr_curve(rows, NUM_CLASSES), f("fx_classes")), "class_id")
+    return as_big(curves.average_precision_of(stored_rows(f), f("fx_classes"), NUM_CLASSES), "class_id")
 
 
 @query("map_score", duck("select avg(ap) map from ap", FX, [*PLAIN, *cte_curve(), *cte_ap()], "map"))
 def _(f):
-    rows = match.evaluation_rows(f("fx_det"), f("fx_gt"), NUM_CLASSES)
-    return curves.mean_average_precision(curves.average_precision(curves.pr_curve(rows, NUM_CLASSES), f("fx_classes")))
+    return curves.mean_average_precision(curves.average_precision_of(stored_rows(f), f("fx_classes"), NUM_CLASSES))
 
 
 EMB = (
@@ -99,7 +101,7 @@ def _(f):
     rows = emb.select(
         F.col("vec_id").cast("bigint").alias("image_id"), F.lit(0).alias("kind"), F.lit(0.0).alias("det_score"), F.lit(0).alias("pos"),
         F.col("label").cast("int").alias("y_true"), F.col("embedding").cast("array<double>").alias("scores"))
-    return as_big(curves.average_precision(curves.pr_curve(rows, NUM_CLASSES), f("fx_classes")), "class_id")
+    return as_big(curves.average_precision_of(materialize(rows, "eval-rows"), f("fx_classes"), NUM_CLASSES), "class_id")
 
 
 @query("per_class_counts", duck(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.scores import conform
 from detframe.operators.ranking import running_totals
+from detframe.session import materialize
 
 
 def class_points(rows: DataFrame, num_classes: int) -> DataFrame:
@@ -31,7 +32,7 @@ def curve(points: DataFrame, order: list[Column], by=()) -> DataFrame:
     running = running_totals(
         points, groups, [F.col("score").desc(), *order], {"rank": F.lit(1).cast("bigint"), "tp": F.col("hit")}, "curve"
     )
-    positives = running.groupBy(*groups).agg(F.max("tp").alias("positives"))
+    positives = points.groupBy(*groups).agg(F.sum("hit").alias("positives"))
     recall = F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0)
     return running.join(positives, groups).withColumns(
         {"precision": F.col("tp") / F.col("rank"), "recall": recall, "threshold": F.col("score")}
@@ -56,6 +57,16 @@ def _grid(index: Column, points: int) -> Column:
     return F.when(index >= points - 1, F.lit(1.0)).otherwise(index * F.lit(step))
 
 
+def _level(recall: Column, points: int) -> Column:
+    """Highest grid level a recall reaches."""
+    guess = F.floor(recall * (points - 1)).cast("int")
+    return (
+        F.when((guess + 1 < points) & (_grid(guess + 1, points) <= recall), guess + 1)
+        .when(_grid(guess, points) > recall, guess - 1)
+        .otherwise(guess)
+    )
+
+
 def average_precision(curves: DataFrame, classes: DataFrame, points: int = 11, by=()) -> DataFrame:
     """Interpolated AP per class; classes without points get 0.
 
@@ -64,14 +75,8 @@ def average_precision(curves: DataFrame, classes: DataFrame, points: int = 11, b
     class), and only those rows are spread over the levels. ``classes`` holds
     ``class_id`` and the ``by`` columns.
     """
-    guess = F.floor(F.col("recall") * (points - 1)).cast("int")
-    level = (
-        F.when((guess + 1 < points) & (_grid(guess + 1, points) <= F.col("recall")), guess + 1)
-        .when(_grid(guess, points) > F.col("recall"), guess - 1)
-        .otherwise(guess)
-    )
     groups = [*by, "class_id"]
-    best = curves.groupBy(*groups, level.alias("level")).agg(F.max("precision").alias("p"))
+    best = curves.groupBy(*groups, _level(F.col("recall"), points).alias("level")).agg(F.max("precision").alias("p"))
     served = best.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("level"))))
     ap = (
         served.groupBy(*groups, "level").agg(F.max("p").alias("p"))
@@ -80,6 +85,98 @@ def average_precision(curves: DataFrame, classes: DataFrame, points: int = 11, b
     return classes.join(ap, groups, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
+# Score buckets above and below zero, and image buckets of the rows scored exactly zero.
+SCORE_BUCKETS = 4096
+TIE_BUCKETS = 256
+
+
+def _score_bucket(score: Column) -> Column:
+    """Order-keeping bucket: positive above 0, 0 for exactly zero, negative below."""
+    up = F.floor(score / F.col("_b.high") * (SCORE_BUCKETS - 1)) + 1
+    down = -F.floor(score / F.col("_b.low") * (SCORE_BUCKETS - 1)) - 1
+    return F.when(score > 0, up).when(score < 0, down).otherwise(0).cast("int")
+
+
+def _tie_bucket() -> Column:
+    """Order-keeping bucket of the image, the first tie key."""
+    span = (F.col("_b.last") - F.col("_b.first") + 1).cast("double")
+    return F.floor((F.col("image_id") - F.col("_b.first")) / span * TIE_BUCKETS).cast("int")
+
+
+def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
+    """The curve points that can decide an interpolated AP, without sorting the whole curve.
+
+    1. Count rows and hits per class and bucket of the curve order. Missed boxes
+       score zero for every class, so they are counted before they are spread
+       over the classes.
+    2. Running totals over the buckets (a bounded table) bound the precision of
+       the hits in each bucket from both sides. A bucket whose upper bound is
+       below what its recall level surely reaches cannot decide anything.
+    3. Only the rows of the remaining buckets are ordered.
+
+    The result holds the exact ``precision`` and ``recall`` of the hits in
+    those buckets; :func:`average_precision` gives the same value from it as
+    from the full curve.
+    """
+    groups = [*by, "class_id"]
+    bounds = rows.agg(
+        F.struct(
+            F.max(F.array_max("scores")).alias("high"), F.min(F.array_min("scores")).alias("low"),
+            F.min("image_id").alias("first"), F.max("image_id").alias("last"),
+        )
+    ).scalar()
+    tagged = rows.withColumn("_b", bounds)
+    keep = [*by, "image_id", "kind", "det_score", "pos", "y_true"]
+    spread = tagged.where(F.col("kind") == 0).select(*keep, "_b", F.posexplode(conform(F.col("scores"), num_classes)).alias("class_id", "score"))
+    found = spread.select(
+        *keep, "class_id", "score", _score_bucket(F.col("score")).alias("b1"),
+        F.when(F.col("score") == 0, _tie_bucket()).otherwise(0).alias("b2"),
+    )
+    missed = tagged.where(F.col("kind") == 1).select(*keep, _tie_bucket().alias("b2"))
+    hit = (F.col("y_true") == F.col("class_id")).cast("bigint")
+
+    ids = F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1)))
+    counted = missed.groupBy(*by, "y_true", "b2").agg(F.count("*").alias("n")).withColumn("class_id", ids)
+    histogram = (
+        found.groupBy(*groups, "b1", "b2").agg(F.count("*").alias("n"), F.sum(hit).alias("t"))
+        .unionByName(counted.select(*groups, F.lit(0).alias("b1"), "b2", "n", (hit * F.col("n")).alias("t")))
+        .groupBy(*groups, "b1", "b2").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    )
+    ordered = Window.partitionBy(*groups).orderBy(F.col("b1").desc(), F.col("b2").desc())
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*groups)
+    spans = histogram.withColumns({
+        "n_end": F.sum("n").over(upto), "t_end": F.sum("t").over(upto), "positives": F.sum("t").over(whole),
+    }).where(F.col("t") > 0)
+    n_before, t_before = F.col("n_end") - F.col("n"), F.col("t_end") - F.col("t")
+    reach = Window.partitionBy(*groups).orderBy(F.col("level").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    judged = spans.withColumns({
+        "level": _level(F.col("t_end") / F.col("positives"), points),
+        "least": F.col("t_end") / F.col("n_end"), "most": F.col("t_end") / (n_before + F.col("t")),
+    })
+    open_buckets = materialize(
+        judged.withColumn("sure", F.max("least").over(reach)).where(F.col("most") >= F.col("sure"))
+        .select(*groups, "b1", "b2", n_before.alias("n_before"), t_before.alias("t_before"), "positives"),
+        "open-buckets",
+    )
+    sums = ["n_before", "t_before", "positives"]
+    columns = [*groups, "b1", "b2", *sums, "image_id", "kind", "det_score", "pos", "score", hit.alias("hit")]
+    from_found = found.join(open_buckets, [*groups, "b1", "b2"]).select(*columns)
+    zero = open_buckets.where(F.col("b1") == 0)
+    from_missed = missed.join(zero, [*by, "b2"]).withColumn("score", F.lit(0.0)).select(*columns)
+    running = running_totals(
+        from_found.unionByName(from_missed), [*groups, "b1", "b2"], [F.col("score").desc(), *evaluation_order()],
+        {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}, "deciding",
+    )
+    tp, rank = F.col("t_before") + F.col("_tp"), F.col("n_before") + F.col("_rank")
+    return running.where(F.col("hit") == 1).select(*groups, (tp / rank).alias("precision"), (tp / F.col("positives")).alias("recall"))
+
+
+def average_precision_of(rows: DataFrame, classes: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
+    """Interpolated AP per class straight from evaluation rows (``rows`` is read three times: store it first)."""
+    return average_precision(deciding_points(rows, num_classes, points, by), classes, points, by)
+
+
 def mean_average_precision(ap: DataFrame, by=()) -> DataFrame:
     """Mean AP over all classes, those without ground truth included; 0 for no classes."""
     return ap.groupBy(*by).agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"))

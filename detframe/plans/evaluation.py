@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detframe.operators.compare import per_class_counts, run_frame
-from detframe.operators.curves import average_precision, mean_average_precision, pr_curve
+from detframe.operators.curves import average_precision_of, mean_average_precision
 from detframe.operators.match import evaluation_rows, label_rows, match_detections
 from detframe.operators.pairs import LIMIT
 from detframe.operators.suppress import suppress
@@ -64,10 +64,9 @@ def evaluate_runs(
     place = F.col("image_id") % len(values)
     matches = matches.withColumn(key, F.get(F.array(*[F.lit(v) for v in values]), place.cast("int")))
     rows = materialize(label_rows(dets, truth, matches, num_classes, eval_type, by), "eval-rows")
-    curves = pr_curve(rows, num_classes, by)
     runs = runs_table(detections, key, values)
     frame = run_frame(runs, classes)
-    ap = average_precision(curves, frame, points, by)
+    ap = average_precision_of(rows, frame, num_classes, points, by)
     counts = per_class_counts(classes, dets, truth, runs)
     per_class = materialize(
         ap.join(counts.select(key, "class_id", "ground_truth_count", "prediction_count"), [key, "class_id"]), "per-class"
