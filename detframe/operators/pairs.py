@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.functions.geometry import BOX, box_cols, iou_xywh
+from detframe.functions.geometry import BOX
 from detframe.session import materialize
 
 # Boxes per image up to which a task may hold an image's boxes.
@@ -49,19 +49,37 @@ def split_hot(df: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFram
     return df.join(ids, "image_id", "left_anti"), df.join(ids, "image_id", "left_semi")
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(c).alias(prefix + c) for c in df.columns])
+EXTRA = ("x2", "y2", "area")
+
+
+def _side(df: DataFrame, prefix: str) -> DataFrame:
+    """One side of a pair join, with far corner and area computed once per box instead of once per pair."""
+    far = {"x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h"), "area": F.col("w") * F.col("h")}
+    solid = df.where((F.col("w") > 0) & (F.col("h") > 0)).withColumns(far)
+    return solid.select([F.col(c).alias(prefix + c) for c in solid.columns])
+
+
+def _touch() -> Column:
+    """The boxes share area: a cheap test that most pairs of an image fail."""
+    col = F.col
+    return (
+        (col("l_x") < col("r_x2")) & (col("r_x") < col("l_x2")) & (col("l_y") < col("r_y2")) & (col("r_y") < col("l_y2"))
+    )
 
 
 def _with_iou(joined: DataFrame, min_iou: float, strict: bool) -> DataFrame:
-    iou = F.col("iou")
-    keep = (iou > F.lit(float(min_iou))) if strict else (iou >= F.lit(float(min_iou)))
-    scored = joined.withColumn("iou", iou_xywh(box_cols("l_"), box_cols("r_")))
-    return scored.where(keep & (iou > 0)).withColumnRenamed("l_image_id", "image_id").drop("r_image_id")
+    col = F.col
+    inter = (F.least("l_x2", "r_x2") - F.greatest("l_x", "r_x")) * (F.least("l_y2", "r_y2") - F.greatest("l_y", "r_y"))
+    iou, bound = col("iou"), F.lit(float(min_iou))
+    positive = min_iou <= 0
+    keep = (iou > 0) if positive else (iou > bound) if strict else (iou >= bound)
+    scored = joined.withColumn("iou", F.try_divide(inter, col("l_area") + col("r_area") - inter)).where(keep)
+    extra = [side + c for side in ("l_", "r_") for c in EXTRA]
+    return scored.withColumnRenamed("l_image_id", "image_id").drop("r_image_id", *extra)
 
 
 def _cells(df: DataFrame, hot: DataFrame) -> DataFrame:
-    sized = df.where((F.col("w") > 0) & (F.col("h") > 0)).join(
+    sized = df.join(
         hot.select("image_id", (F.col("mean_w") * 2).alias("cell_w"), (F.col("mean_h") * 2).alias("cell_h")),
         "image_id",
     )
@@ -88,21 +106,22 @@ def overlapping_pairs(
     extra = on() if on is not None else F.lit(True)
     left_cool, left_hot = split_hot(left, hot)
     right_cool, right_hot = split_hot(right, hot)
-    cool = _prefixed(left_cool, "l_").join(
-        _prefixed(right_cool, "r_"), (F.col("l_image_id") == F.col("r_image_id")) & extra
+    cool = _side(left_cool, "l_").join(
+        _side(right_cool, "r_"), (F.col("l_image_id") == F.col("r_image_id")) & extra & _touch()
     )
     pairs = _with_iou(cool, min_iou, strict)
     if hot is None:
         return pairs
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in ("pos", *BOX)]), F.lit(salts))
-    l_cells = _prefixed(_cells(left_hot, hot).withColumn("salt", spread), "l_")
-    r_cells = _prefixed(_cells(right_hot, hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), "r_")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+    l_cells = _side(_cells(left_hot, hot).withColumn("salt", spread), "l_")
+    r_cells = _side(_cells(right_hot, hot).withColumn("salt", every_salt), "r_")
     same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("image_id", "cx", "cy", "salt")]
     owner = [
         F.floor(F.greatest(F.col(f"l_{a}"), F.col(f"r_{a}")) / F.col(f"l_cell_{s}")) == F.col(f"l_c{a}")
         for a, s in (("x", "w"), ("y", "h"))
     ]
-    condition = extra
+    condition = extra & _touch()
     for part in (*same, *owner):
         condition = condition & part
     dense = _with_iou(l_cells.join(r_cells, condition), min_iou, strict)

@@ -12,9 +12,10 @@ def _stem(path: Column) -> Column:
 
 def read_label_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per label file: ``path, stem, label_text``. An empty file keeps its row."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
-    path = F.col("_metadata.file_path")
-    return files.select(path.alias("path"), _stem(path).alias("stem"), F.col("value").alias("label_text"))
+    # The text and binary sources leave out files of length zero, which here are images without objects;
+    # the whole-file reader keeps them.
+    files = spark.sparkContext.wholeTextFiles(f"{folder.rstrip('/')}/*.txt").toDF("path string, label_text string")
+    return files.select("path", _stem(F.col("path")).alias("stem"), "label_text")
 
 
 def list_images(spark: SparkSession, folder: str, glob: str = "*.jpg") -> DataFrame:
