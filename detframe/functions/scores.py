@@ -11,7 +11,7 @@ EVAL_TYPES = ("class_scores", "combined", "objectness")
 def conform(scores: Column, num_classes: int) -> Column:
     """Pad with 0 or cut to ``num_classes`` entries."""
     padded = F.concat(F.coalesce(scores, F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), num_classes))
-    return F.slice(padded, 1, num_classes)
+    return F.when(F.size(scores) == num_classes, scores).otherwise(F.slice(padded, 1, num_classes))
 
 
 def one_hot(class_id: Column, value: Column, num_classes: int) -> Column:

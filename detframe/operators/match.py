@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from detframe.functions.geometry import BOX
 from detframe.functions.scores import evaluation_vector
 from detframe.operators.pairs import LIMIT, hot_images, overlapping_pairs, split_hot
+from detframe.operators.ranking import ranked
 from detframe.session import materialize
 
 MATCH = "array<struct<pos:int,gt_pos:int,gt_class:int,iou:double>>"
@@ -39,42 +40,69 @@ def _match_cool(dets: DataFrame, truth: DataFrame, threshold: float) -> DataFram
     return grouped.select("image_id", F.explode(_fold(F.col("c"))).alias("m")).select("image_id", "m.*")
 
 
+def _wins(score: str, pos: str) -> Column:
+    """The detection in ``score, pos`` may take the box: it is free or held by a lower detection."""
+    better = F.col(score) > F.col("r_h_score")
+    tie = (F.col(score) == F.col("r_h_score")) & (F.col(pos) < F.col("r_h_pos"))
+    return F.col("r_h_pos").isNull() | better | tie
+
+
+def _proposals(asking: DataFrame, boxes: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
+    """One round of proposals of the open detections.
+
+    Exact copies of a box share one preference list, so copies are joined once,
+    as their best detection. A lone detection proposes to its first available
+    box. Among copies the i-th detection proposes to the i-th box of the list:
+    the boxes before it go to better copies or are held by better detections,
+    so they would turn it down anyway. A pile of copies thus settles at once.
+    """
+    top = F.max(F.struct("score", (-F.col("pos")).alias("order"))).alias("top")
+    groups = asking.groupBy("image_id", *BOX).agg(F.count("*").alias("copies"), top)
+    lead = groups.select(
+        "image_id", *BOX, "copies", F.col("top.score").alias("score"), (-F.col("top.order")).cast("int").alias("pos")
+    )
+    pairs = overlapping_pairs(lead, boxes, lambda: _wins("l_score", "l_pos"), threshold, strict=False, hot=hot)
+    best = F.max(F.struct("iou", (-F.col("r_pos")).alias("order"), "r_pos", "r_class_id")).alias("b")
+    lone = (
+        pairs.where(F.col("l_copies") == 1)
+        .groupBy("image_id", F.col("l_pos").alias("pos"), F.col("l_score").alias("score")).agg(best)
+        .select("image_id", "pos", "score", F.col("b.r_pos").alias("gt_pos"),
+                F.col("b.r_class_id").cast("int").alias("gt_class"), F.col("b.iou").alias("iou"))
+    )
+    crowded = lead.where(F.col("copies") > 1).select("image_id", *BOX, F.col("pos").alias("lead"))
+    if crowded.isEmpty():
+        return lone
+    listed = pairs.where(F.col("l_copies") > 1).select(
+        "image_id", F.col("l_pos").alias("lead"), "iou", "r_pos", "r_class_id", "r_h_score", "r_h_pos"
+    )
+    listed = ranked(listed, ["image_id", "lead"], [F.col("iou").desc(), F.col("r_pos")], "place")
+    members = asking.join(crowded, ["image_id", *BOX]).select("image_id", "lead", "pos", "score")
+    members = ranked(members, ["image_id", "lead"], [F.col("score").desc(), F.col("pos")], "place")
+    many = members.join(listed, ["image_id", "lead", "place"]).where(_wins("score", "pos"))
+    return lone.unionAll(
+        many.select("image_id", "pos", "score", F.col("r_pos").alias("gt_pos"), F.col("r_class_id").cast("int").alias("gt_class"), "iou")
+    )
+
+
 def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
     """The same matching by rounds of proposals, for images too big for one task.
 
-    Each open detection proposes to the best box that is free or held by a
-    lower detection; each box holds its best proposer and releases the former
-    holder. Boxes rank detections by one common order, so the stable outcome is
-    unique and equals the greedy one.
+    Each box holds its best proposer so far and releases the former holder,
+    which asks again. Boxes rank detections by one common order, so the stable
+    outcome is unique and equals the greedy one.
     """
     held = None
     while True:
-        boxes = truth
-        if held is not None:
+        if held is None:
+            asking = dets
+            boxes = truth.withColumns({"h_score": F.lit(None).cast("double"), "h_pos": F.lit(None).cast("int")})
+        else:
+            asking = dets.join(held.select("image_id", "pos"), ["image_id", "pos"], "left_anti")
             holder = held.select(
                 "image_id", F.col("gt_pos").alias("pos"), F.col("score").alias("h_score"), F.col("pos").alias("h_pos")
             )
             boxes = truth.join(holder, ["image_id", "pos"], "left")
-            asking = dets.join(held.select("image_id", "pos"), ["image_id", "pos"], "left_anti")
-        else:
-            boxes = truth.withColumns({"h_score": F.lit(None).cast("double"), "h_pos": F.lit(None).cast("int")})
-            asking = dets
-
-        def open_to() -> Column:
-            better = F.col("l_score") > F.col("r_h_score")
-            tie = (F.col("l_score") == F.col("r_h_score")) & (F.col("l_pos") < F.col("r_h_pos"))
-            return F.col("r_h_pos").isNull() | better | tie
-
-        pairs = overlapping_pairs(asking, boxes, open_to, threshold, strict=False, hot=hot)
-        best = F.max(F.struct("iou", (-F.col("r_pos")).alias("order"), "r_pos", "r_class_id")).alias("b")
-        asked = pairs.groupBy("image_id", F.col("l_pos").alias("pos"), F.col("l_score").alias("score")).agg(best)
-        proposals = materialize(
-            asked.select(
-                "image_id", "pos", "score", F.col("b.r_pos").alias("gt_pos"),
-                F.col("b.r_class_id").cast("int").alias("gt_class"), F.col("b.iou").alias("iou"),
-            ),
-            "proposals",
-        )
+        proposals = materialize(_proposals(asking, boxes, threshold, hot), "proposals")
         if proposals.isEmpty():
             break
         pool = proposals if held is None else held.unionByName(proposals)
@@ -138,14 +166,19 @@ def evaluation_rows(
 
 
 def label_rows(
-    detections: DataFrame, ground_truth: DataFrame, matches: DataFrame, num_classes: int, eval_type: str = "combined", by=()
+    detections: DataFrame, ground_truth: DataFrame, matches: DataFrame, num_classes: int, eval_type: str = "combined", by=(),
+    zeros: bool = True,
 ) -> DataFrame:
     """Evaluation rows from given matches; ``by`` names run columns carried by all three inputs.
 
+    Without ``zeros`` the vectors of missed boxes stay NULL, which every reader takes as all zero; this keeps
+    stored rows small.
+
     Detections and boxes are one relation keyed by (image, kind, pos), so the
     matches are joined once.
     """
     vector = evaluation_vector(F.col("score"), F.col("cs"), F.col("class_id"), num_classes, eval_type)
+    nothing = F.array_repeat(F.lit(0.0), num_classes) if zeros else F.lit(None).cast("array<double>")
     head = [*by, "image_id"]
     found = detections.select(
         *head, F.lit(0).alias("kind"), F.col("score").alias("det_score"), F.col("pos").cast("int").alias("pos"),
@@ -153,7 +186,7 @@ def label_rows(
     )
     boxes = ground_truth.select(
         *head, F.lit(1).alias("kind"), F.lit(0.0).alias("det_score"), F.col("pos").cast("int").alias("pos"),
-        F.col("class_id").cast("int").alias("own_class"), F.array_repeat(F.lit(0.0), num_classes).alias("scores"),
+        F.col("class_id").cast("int").alias("own_class"), nothing.alias("scores"),
     )
     sides = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("pos").alias("pos")),

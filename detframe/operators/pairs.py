@@ -157,19 +157,60 @@ def duplicate_pairs(detections: DataFrame, iou_threshold: float = 0.5, by=(), li
     return pairs.withColumnsRenamed(renamed).drop(*[f"r_{n}" for n in ("class_id", *by)])
 
 
+def weighted_pairs(boxes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``image_id, iou, pairs``: touching pairs of an image, where exact copies in hot images count together.
+
+    n copies of one box form n(n-1)/2 pairs of IoU 1 among themselves, and n*m
+    pairs with the m copies of another box; none of these are spelled out.
+    """
+    narrow = boxes.select("image_id", "pos", *BOX)
+    hot = hot_images(narrow, limit=limit)
+    cool, dense = split_hot(narrow, hot)
+    rows = cool.withColumn("n", F.lit(1).cast("bigint"))
+    own = None
+    if hot is not None:
+        counted = materialize(dense.groupBy("image_id", *BOX).agg(F.min("pos").alias("pos"), F.count("*").alias("n")), "copies")
+        rows = rows.unionByName(counted)
+        own = counted.where((F.col("n") > 1) & (F.col("w") > 0) & (F.col("h") > 0)).select(
+            "image_id", F.lit(1.0).alias("iou"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs")
+        )
+    pairs = overlapping_pairs(rows, rows, lambda: F.col("l_pos") < F.col("r_pos"), hot=hot).select(
+        "image_id", "iou", (F.col("l_n") * F.col("r_n")).alias("pairs")
+    )
+    return pairs if own is None else pairs.unionAll(own)
+
+
 def best_ground_truth(
     detections: DataFrame, ground_truth: DataFrame, iou_threshold: float = 0.5, limit: int = LIMIT
 ) -> DataFrame:
     """Best ground-truth box of each detection, not exclusive: two detections may share one box.
 
     Ties in IoU go to the first box. Detections whose best IoU is below the
-    threshold have no row.
+    threshold have no row. In hot images exact copies are joined once, on both
+    sides: copies of a detection have the same best box, and of copies of a
+    ground-truth box the first wins.
     """
     dets = detections.select("image_id", "pos", *BOX)
     truth = ground_truth.select("image_id", "pos", "class_id", *BOX)
+    hot = hot_images(dets, truth, limit=limit)
+    cool_d, hot_d = split_hot(dets, hot)
+    cool_t, hot_t = split_hot(truth, hot)
+    found = _best(overlapping_pairs(cool_d, cool_t, min_iou=iou_threshold, strict=False))
+    if hot is None:
+        return found
+    copies = ["image_id", *BOX]
+    lead = hot_d.groupBy(*copies).agg(F.min("pos").alias("lead"))
+    first = hot_t.groupBy(*copies).agg(F.min(F.struct("pos", "class_id")).alias("f")).select(*copies, "f.*")
     pairs = overlapping_pairs(
-        dets, truth, min_iou=iou_threshold, strict=False, hot=hot_images(dets, truth, limit=limit)
+        lead.withColumnRenamed("lead", "pos"), first, min_iou=iou_threshold, strict=False, hot=hot
     )
+    members = hot_d.join(lead, copies).select("image_id", "pos", "lead")
+    dense = _best(pairs).withColumnRenamed("pos", "lead").join(members, ["image_id", "lead"]).select(found.columns)
+    return found.unionAll(dense)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Highest IoU per left box, the first right box on ties."""
     best = F.max(
         F.struct("iou", (-F.col("r_pos")).alias("order"), "r_pos", "r_class_id", *[f"r_{c}" for c in BOX])
     ).alias("best")

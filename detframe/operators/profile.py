@@ -11,7 +11,7 @@ from detframe.functions.buckets import (
     CROWDING_BUCKETS, DENSITY_BUCKETS, bucket_table, crowding_bucket, density_bucket,
 )
 from detframe.functions.geometry import clamp_unit
-from detframe.operators.pairs import LIMIT, box_pairs
+from detframe.operators.pairs import LIMIT, weighted_pairs
 from detframe.operators.ranking import exact_quantiles
 
 
@@ -141,10 +141,10 @@ def overlap_profile(images: DataFrame, ground_truth: DataFrame, limit: int = LIM
     Pair counts follow from box counts; only touching pairs are joined, the
     others contribute IoU 0.
     """
-    iou = clamp_unit(F.col("iou"))
-    touched = box_pairs(ground_truth, limit).groupBy("image_id").agg(
-        F.max(iou).alias("max_pairwise_iou"), F.sum(iou).alias("_sum"),
-        *[F.count_if(iou > F.lit(t)).alias(f"pairs_iou_gt_0_{d}") for d, t in ((1, 0.1), (3, 0.3), (5, 0.5))],
+    iou, pairs = clamp_unit(F.col("iou")), F.col("pairs")
+    touched = weighted_pairs(ground_truth, limit).groupBy("image_id").agg(
+        F.max(iou).alias("max_pairwise_iou"), F.sum(iou * pairs).alias("_sum"),
+        *[F.sum(F.when(iou > F.lit(t), pairs).otherwise(0)).alias(f"pairs_iou_gt_0_{d}") for d, t in ((1, 0.1), (3, 0.3), (5, 0.5))],
     )
     sizes = ground_truth.groupBy("image_id").agg(F.count("*").alias("num_objects"))
     whole, real = F.lit(0).cast("bigint"), F.lit(0.0)

@@ -63,7 +63,7 @@ def evaluate_runs(
     matches = match_detections(dets, truth, iou_threshold, limit)
     place = F.col("image_id") % len(values)
     matches = matches.withColumn(key, F.get(F.array(*[F.lit(v) for v in values]), place.cast("int")))
-    rows = materialize(label_rows(dets, truth, matches, num_classes, eval_type, by), "eval-rows")
+    rows = materialize(label_rows(dets, truth, matches, num_classes, eval_type, by, zeros=False), "eval-rows")
     runs = runs_table(detections, key, values)
     frame = run_frame(runs, classes)
     ap = average_precision_of(rows, frame, num_classes, points, by)
