@@ -12,6 +12,7 @@ from checks.fixtures import Fixtures, with_clause
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 9
+NUDGE = 1e-12
 
 
 def query(name: str, sql: str | None = None):
@@ -28,8 +29,8 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame) -> DataFrame:
     reals = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    # Adding 0 turns a negative zero into a plain one.
-    return df.withColumns({n: F.round(F.col(n).cast("double"), DIGITS) + F.lit(0.0) for n in reals}) if reals else df
+    # The nudge takes values off exact halves, which the engines round differently; adding 0 turns -0 into 0.
+    return df.withColumns({n: F.round(F.col(n).cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0) for n in reals}) if reals else df
 
 
 def duck(body: str, fixtures=(), ctes=(), reals: str = "") -> str:
@@ -38,7 +39,7 @@ def duck(body: str, fixtures=(), ctes=(), reals: str = "") -> str:
     head = f"with recursive {', '.join(items)} " if items else ""
     names = reals.split()
     if names:
-        swaps = ", ".join(f"round({n}, {DIGITS}) + 0.0 as {n}" for n in names)
+        swaps = ", ".join(f"round({n} + {NUDGE!r}, {DIGITS}) + 0.0 as {n}" for n in names)
         body = f"select * replace ({swaps}) from ({body}) _out"
     return head + body
 

@@ -26,7 +26,7 @@ def con():
 
 @pytest.mark.parametrize("name", FAST)
 def test_query(spark, con, name):
-    assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
+    assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None, name
 
 
 def test_entry(spark):
