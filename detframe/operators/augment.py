@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detframe.functions.conditions import CONDITIONS, condition_array
-from detframe.functions.geometry import target_size
+from detframe.functions.geometry import center_to_xywh, target_size
 from detframe.session import materialize
 
 # Kernels used for automatic sigma at small sizes.
@@ -182,8 +182,6 @@ def apply_plan(
 
 def ground_truth_by_condition(normalised: DataFrame, images: DataFrame, conditions=CONDITIONS, clip: bool = True) -> DataFrame:
     """Pixel boxes under every condition: flipped where the image is, sides clipped to the image."""
-    from detframe.functions.geometry import center_to_xywh
-
     sized = normalised.join(images.select("image_id", "width", "height"), "image_id")
     boxes = center_to_xywh(sized, F.col("width"), F.col("height")).withColumn("_k", F.explode(condition_array(conditions)))
     y = F.when(F.col("_k.type") == "vertical_flip", F.col("height") - F.col("y") - F.col("h")).otherwise(F.col("y"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.functions.geometry import BOX
+from detframe.functions.geometry import BOX, iou_xywh
 from detframe.functions.scores import above
 from detframe.operators.pairs import LIMIT, hot_images, overlapping_pairs, split_hot
 from detframe.session import materialize
@@ -181,8 +181,6 @@ def suppress_array(dets: Column, iou: float = 0.4, score: float = 0.5) -> Column
     )
 
     def step(kept: Column, d: Column) -> Column:
-        from detframe.functions.geometry import iou_xywh
-
         clash = F.exists(kept, lambda k: iou_xywh([k[c] for c in BOX], [d[c] for c in BOX]) > F.lit(float(iou)))
         return F.when(clash, kept).otherwise(F.array_append(kept, d))
 

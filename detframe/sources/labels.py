@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from detframe.functions.geometry import center_to_xywh
+
 
 def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
@@ -69,24 +71,16 @@ def parse_labels_strict(files: DataFrame) -> DataFrame:
 
 def label_boxes(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """Normalised centre boxes to pixel boxes; images of unknown size drop out."""
-    from detframe.functions.geometry import center_to_xywh
-
     sized = boxes.join(images.select("image_id", "width", "height"), "image_id")
     return center_to_xywh(sized, F.col("width"), F.col("height")).drop("width", "height")
 
 
 def class_list(lines: DataFrame, keep_blank: bool = False) -> DataFrame:
     """Class names from a one-row ``label_text``: position is the id. Blank lines are dropped unless kept."""
-    rows = lines.select(F.posexplode(F.split("label_text", "\r\n|\r|\n")).alias("line", "name"))
-    rows = rows.withColumn("name", F.trim("name"))
-    if keep_blank:
-        return rows.select(F.col("line").alias("class_id"), F.col("name").alias("class_name"))
-    kept = lines.select(
-        F.posexplode(F.filter(F.transform(F.split("label_text", "\r\n|\r|\n"), lambda s: F.trim(s)), lambda s: s != "")).alias(
-            "class_id", "class_name"
-        )
-    )
-    return kept
+    names = F.transform(F.split("label_text", "\r\n|\r|\n"), lambda s: F.trim(s))
+    if not keep_blank:
+        names = F.filter(names, lambda s: s != "")
+    return lines.select(F.posexplode(names).alias("class_id", "class_name"))
 
 
 def read_classes(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
