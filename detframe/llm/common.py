@@ -64,3 +64,14 @@ def filtered(docs: DataFrame, keeps) -> DataFrame:
                 yield batch.filter(pa.array(keeps(byte_texts(batch.column(place))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: Ids up to which ``pick`` sends them to every task (16 bytes each, so 32 MB); beyond it both sides are shuffled.
+SENT_IDS = 2_000_000
+
+
+def pick(docs: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and ``text`` of the documents whose id is in ``ids``, with further columns of ``ids`` (one row per id)."""
+    wanted = ids.select("doc_id", *columns).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    small = wanted.count() <= SENT_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")

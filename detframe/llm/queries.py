@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, packing
+from detframe.llm import idfiles, licences, lm, packing, quality, toxicity
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
@@ -21,3 +21,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+@query("op4_licences")
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    first = F.transform("places", lambda p: p["first"])
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    own = F.transform(F.filter("spans", lambda s: s["covered"] >= licences.MIN_COVER), lambda s: s["label"])
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+    )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
