@@ -242,8 +242,8 @@ def score(docs: DataFrame) -> DataFrame:
         words.join(counted, "word").select("chunk", "word", F.lit(None).cast("long").alias("run"), "value")
         .unionByName(runs.join(scores, "run").select("chunk", F.lit(None).cast("binary").alias("word"), "run", "value"))
     )
-    texts = gathered.filter("docs is not null").select("chunk", "docs")
-    found = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_score_chunk, SCORES_SQL)
+    texts = gathered.filter("docs is not null").select(F.col("chunk").alias("own"), "docs")
+    found = texts.groupBy("own").cogroup(asked.groupBy("chunk")).applyInArrow(_score_chunk, SCORES_SQL)
     tokens, kinds = int(size["tokens"]), int(size["kinds"])
     base = F.col("word_logs") - F.col("n_tokens") * F.lit(math.log10(tokens + kinds + 1))
     return found.select(

@@ -23,8 +23,8 @@ from detframe.llm.common import byte_texts, column, filtered, pick, rows
 GRAM_BYTES, BUCKETS = 4, 65_536
 #: Mean log ratio of an n-gram below which a document is turned away.
 THRESHOLD = -0.5
-#: Added to the count of each bucket, as a share of an even count.
-SMOOTHING = 0.01
+#: The trusted counts are drawn towards the raw shares by so many n-grams, so that few trusted documents turn little away.
+PRIOR_GRAMS = 100_000.0
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 _BLANKS, _SYMBOLS = list(b" \t\n\x0b\x0c\r"), list(SYMBOLS)
@@ -77,11 +77,8 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Rat
     if not trusted.sum():
         return Ratio(np.zeros(BUCKETS), threshold)
 
-    def share(counts):
-        extra = SMOOTHING * max(1.0, counts.sum() / BUCKETS)
-        return (counts + extra) / (counts.sum() + extra * BUCKETS)
-
-    return Ratio(np.log(share(trusted) / share(raw)), threshold)
+    share = (raw + 0.01) / (raw.sum() + 0.01 * BUCKETS)
+    return Ratio(np.log((trusted + PRIOR_GRAMS * share) / (trusted.sum() + PRIOR_GRAMS) / share), threshold)
 
 
 def repeated_words(words: list[bytes]) -> int:

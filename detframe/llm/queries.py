@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, licences, lm, packing, quality, toxicity
+from detframe.llm import idfiles, licences, lines, lm, packing, quality, toxicity
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
@@ -52,3 +52,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_scores")
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("removed").cast("long").alias("runs_removed"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("lines_removed"),
+        F.transform("removed", lambda x: x["first"]).alias("first_lines"),
+        F.length("text").cast("long").alias("chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )

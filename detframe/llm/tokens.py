@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, in ascending order of documents.
 
 The vocabulary splits a text into pieces before it merges bytes, and a single space between two other characters always begins
-such a piece. So a text may be cut before each of these spaces; the library's model is asked once for each different part, and
+such a piece; so is a single line end a piece of its own. So a text may be cut before each of these; the library's model is asked once for each different part, and
 the worker keeps the answers. A text with other white space beside a space is cut only where the rule holds.
 """
 
@@ -43,21 +43,20 @@ class _Parts(dict):
         super().__init__()
         self.tokenizer, self.prefix, self.first = tokenizer, prefix, first if first is not None else self
         self.merge, self.letters = tokenizer.model.tokenize, _byte_letters()
+        self.lead = prefix.translate(self.letters)
         self.packed = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def __missing__(self, part: str) -> bytes:
         packed, last = self.packed, part[-1:]
-        if part.isalpha() and max(part) < "\u0250":  # one piece of Latin letters
-            piece = (self.prefix + part).encode().decode("latin-1").translate(self.letters)
+        if part.isalpha() and (part.isascii() or max(part) < "\u0250"):  # one piece of Latin letters
+            piece = self.lead + (part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
             found = b"".join([packed[x.id] for x in self.merge(piece)])
         elif last and last in ".," and part[:-1].isalpha():  # letters, then one sign
             found = self[part[:-1]] + packed[self.merge(last)[0].id]
+        elif part.startswith("\n") and self.first is not self:  # a line end that is a piece of its own, then the next line's beginning
+            found = self.first["\n"] + self.first[part[1:]]
         else:
-            before, line_end, after = part.partition("\n")
-            if before and after and not before[-1].isspace() and not after[0].isspace():  # a line end alone is a piece
-                found = self[before] + self.first[line_end] + self.first[after]
-            else:
-                found = b"".join([packed[x] for x in self.tokenizer.encode(self.prefix + part, add_special_tokens=False).ids])
+            found = b"".join([packed[x] for x in self.tokenizer.encode(self.prefix + part, add_special_tokens=False).ids])
         if len(self) >= KEPT_PARTS:
             self.clear()
         self[part] = found
@@ -78,12 +77,12 @@ class PartEncoder:
 
     def encode(self, text: str) -> bytes:
         if (
-            "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
-            or _WIDE_SPACE.search(text)
+            "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+            or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or _WIDE_SPACE.search(text)
         ):
             parts = _CUT.split(text)
         else:
-            parts = text.split(" ")
+            parts = text.replace("\n", " \n").split(" ")
         head = parts.pop(0)
         return self.first[head] + b"".join(map(self.later.__getitem__, parts))
 
