@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, licences, lines, lm, packing, quality, toxicity
+from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, quality, toxicity
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
@@ -63,3 +63,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("removed", lambda x: x["first"]).alias("first_lines"),
         F.length("text").cast("long").alias("chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = jaccard.links(docs.select(F.col("doc_id").alias("row"), "doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "copies")
