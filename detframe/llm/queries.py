@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, quality, toxicity
+from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, quality, topk, toxicity
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
@@ -70,3 +70,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = jaccard.links(docs.select(F.col("doc_id").alias("row"), "doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", "copies")
+
+
+@query(
+    "op10_topk",
+    "with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings "
+    "where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
+    "s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) score "
+    "from e q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0), "
+    "r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) "
+    "select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 5",
+)
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
