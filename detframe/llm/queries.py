@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, quality, topk, toxicity
+from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, pieces, quality, topk, toxicity
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_packing")
@@ -83,3 +84,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_piece_dropout")
+def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
