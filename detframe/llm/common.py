@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -75,3 +76,11 @@ def pick(docs: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ()) -> Data
     wanted = ids.select("doc_id", *columns).filter("doc_id is not null").dropDuplicates(["doc_id"])
     small = wanted.count() <= SENT_IDS
     return docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
+
+
+def visible(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the session was started from elsewhere; on a cluster, ship the package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)

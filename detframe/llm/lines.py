@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from detframe.llm.common import stored
 
-MIN_WORDS = 20
+MIN_WORDS = 50
 BLANKS = " \t\r\x0b\x0c"
 
 
