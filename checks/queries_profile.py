@@ -8,6 +8,7 @@ from checks.queries_boxes import as_big
 from checks.registry import duck, iou, query
 from detframe.functions import buckets
 from detframe.operators import profile, sampling
+from detframe.operators.pairs import LIMIT
 from detframe.session import materialize
 
 FX = ["fx_images", "fx_gt", "fx_classes"]
@@ -135,8 +136,8 @@ PROFILE = [
 ]
 
 
-def overlap(f):
-    return profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt"))
+def overlap(f, limit: int = LIMIT):
+    return profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt"), limit=limit)
 
 
 @query("overlap_profile", duck("select * from prof", FX, [*INDEX, *PROFILE], "max_pairwise_iou mean_pairwise_iou"))
@@ -168,7 +169,7 @@ SEED = 42
 
 
 def hashed(seed: int, column: str = "image_id") -> str:
-    return f"(({column} % 2147483648) * 1103515245 + {seed * 12345}) % 2147483648"
+    return f"cast('0x' || substr(md5('{seed}:' || cast({column} as varchar)), 1, 14) as bigint)"
 
 
 HALF = "(select count(*) // 2 from idx)"

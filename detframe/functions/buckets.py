@@ -39,10 +39,15 @@ def clean_name(name: Column) -> Column:
 
 
 def parse_list(text: Column) -> Column:
-    """List text to an array: JSON, then a single-quoted list, then the text as its only item; blank gives none."""
+    """List text to an array: JSON, then a list of quoted items (either quote, with the other inside), then the text as its only
+    item; blank gives none."""
     as_json = F.from_json(text, "array<string>")
     is_list = F.trim(text).startswith("[")
-    swapped = F.from_json(F.translate(text, "'", '"'), "array<string>")
+    item = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    whole = F.trim(text).rlike(rf"^\[\s*(?:(?:{item})\s*,?\s*)+\]$")
+    inner = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+    quoted = F.when(whole, F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(0)), inner))
+    swapped = F.coalesce(quoted, F.from_json(F.translate(text, "'", '"'), "array<string>"))
     empty = F.array().cast("array<string>")
     return (
         F.when(text.isNull() | (F.trim(text) == ""), empty)

@@ -143,8 +143,9 @@ def augment_plan(images: DataFrame, seed: int, max_transforms: int = 3, include_
     most = min(max(1, max_transforms), len(names))
 
     def draw(slot: int) -> Column:
-        # Later slots read other bits, so chains do not repeat in a fixed cycle.
-        base = (F.col("image_id") + F.lit(1)) * F.lit((slot + 7) * 1103515245).cast("bigint") + F.lit(seed * 12345)
+        # Later slots read other bits, so chains do not repeat in a fixed cycle. Both factors stay below 2**31, whatever the id.
+        low = F.pmod(F.pmod(F.col("image_id"), F.lit(2147483648)) + 1, F.lit(2147483648))
+        base = low * F.lit((slot + 7) * 1103515245 % 2147483648).cast("bigint") + F.lit(seed * 12345)
         return F.floor(base % F.lit(2147483648) / F.lit(1024))
 
     entries = F.array_sort(F.array(*[F.struct(draw(i).alias("k"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)]))
@@ -153,13 +154,24 @@ def augment_plan(images: DataFrame, seed: int, max_transforms: int = 3, include_
 
 
 def apply_plan(
-    pixels: DataFrame, images: DataFrame, plan: DataFrame, max_transforms: int = 3,
-    kernel_size: int = 5, sigma: float = 0.0, alpha: float = 1.0, beta: float = 30, resize_to=None, scale: float | None = None,
+    pixels: DataFrame, images: DataFrame, plan: DataFrame, kernel_size: int = 5, sigma: float = 0.0, alpha: float = 1.0, beta: float = 30, resize_to=None, scale: float | None = None,
 ) -> DataFrame:
-    """Run each image's chain stage by stage; images at the same stage are handled together."""
+    """Run each image's chain stage by stage, to the end of the longest; images at the same stage are handled together.
+
+    A plan that resizes needs ``resize_to`` or ``scale``, and a plan with any other name is refused: no image may fall between.
+    """
+    names = F.array(*[F.lit(n) for n in (*CHAIN, "resize")])
+    longest, resizes, odd = plan.agg(
+        F.coalesce(F.max(F.size("chain")), F.lit(0)), F.coalesce(F.max(F.array_contains("chain", "resize")), F.lit(False)),
+        F.max(F.array_join(F.array_except("chain", names), ",")),
+    ).first()
+    if odd:
+        raise ValueError(f"unknown transforms in the plan: {odd}")
+    if resizes and resize_to is None and scale is None:
+        raise ValueError("the plan resizes images: give resize_to or scale")
     state = pixels.join(images.select("image_id", "width", "height"), "image_id").join(plan, "image_id")
     columns = state.columns
-    for stage in range(max_transforms):
+    for stage in range(longest):
         op = F.get("chain", F.lit(stage))
         tagged = state.withColumn("_op", F.coalesce(op, F.lit("")))
         y, v, kind = F.col("y"), F.col("v"), F.col("_op")
@@ -169,7 +181,7 @@ def apply_plan(
         })
         blurred = blur(tagged.where(kind == "gaussian_blur").select(columns), kernel_size, sigma)
         nxt = simple.select(columns).unionByName(blurred)
-        if resize_to is not None or scale is not None:
+        if resizes:
             todo = tagged.where(kind == "resize")
             new_w, new_h = target_size(F.col("width"), F.col("height"), resize_to, scale)
             sizes = todo.select("image_id", "width", "height").distinct()
@@ -180,6 +192,32 @@ def apply_plan(
     return state.select(pixels.columns)
 
 
+def boxes_after_plan(boxes: DataFrame, images: DataFrame, plan: DataFrame, resize_to=None, scale: float | None = None) -> DataFrame:
+    """Pixel boxes carried through each image's chain: flipped and resized where the image is; blur and brightness leave them.
+
+    The state (box and image size) is folded over the chain, so any number of steps takes one pass.
+    """
+    new_size = lambda w, h: target_size(w, h, resize_to, scale)
+    state = "struct<x:double,y:double,w:double,h:double,width:int,height:int>"
+    sized = boxes.join(images.select("image_id", "width", "height"), "image_id").join(plan, "image_id")
+
+    def step(s: Column, name: Column) -> Column:
+        flipped = F.struct(s["x"].alias("x"), (s["height"] - s["y"] - s["h"]).alias("y"), s["w"].alias("w"), s["h"].alias("h"), s["width"].alias("width"), s["height"].alias("height"))
+        out = F.when(name == "vertical_flip", flipped.cast(state))
+        if resize_to is not None or scale is not None:
+            wide, high = new_size(s["width"], s["height"])
+            fx, fy = wide / s["width"], high / s["height"]
+            grown = F.struct(*[(s[c] * f).alias(c) for c, f in (("x", fx), ("y", fy), ("w", fx), ("h", fy))], wide.cast("int").alias("width"), high.cast("int").alias("height"))
+            out = out.when(name == "resize", grown.cast(state))
+        else:
+            out = out.when(name == "resize", F.raise_error(F.lit("the plan resizes images: give resize_to or scale")).cast(state))
+        return out.otherwise(s)
+
+    first = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    done = sized.withColumn("_box", F.aggregate("chain", first.cast(state), step))
+    return done.select(*[F.col(f"_box.{c}").alias(c) if c in ("x", "y", "w", "h") else F.col(c) for c in boxes.columns])
+
+
 def ground_truth_by_condition(normalised: DataFrame, images: DataFrame, conditions=CONDITIONS, clip: bool = True) -> DataFrame:
     """Pixel boxes under every condition: flipped where the image is, sides clipped to the image."""
     sized = normalised.join(images.select("image_id", "width", "height"), "image_id")

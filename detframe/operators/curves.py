@@ -22,19 +22,21 @@ def class_points(rows: DataFrame, num_classes: int) -> DataFrame:
     return points.withColumn("hit", (F.col("y_true") == F.col("class_id")).cast("bigint")).drop("scores", "y_true")
 
 
-def curve(points: DataFrame, order: list[Column], by=()) -> DataFrame:
+def curve(points: DataFrame, order: list[Column], by=(), positives: DataFrame | None = None) -> DataFrame:
     """Cumulative precision and recall per class from ``class_id, score, hit``.
 
     ``order`` breaks score ties and must be unique; the first row is the one
-    listed first in it.
+    listed first in it. ``positives`` are the hits of each class that has any, if they are known already.
     """
     groups = [*by, "class_id"]
     running = running_totals(
         points, groups, [F.col("score").desc(), *order], {"rank": F.lit(1).cast("bigint"), "tp": F.col("hit")}, "curve"
     )
-    positives = points.groupBy(*groups).agg(F.sum("hit").alias("positives"))
+    if positives is None:
+        positives = points.groupBy(*groups).agg(F.sum("hit").alias("positives"))
     recall = F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0)
-    return running.join(positives, groups).withColumns(
+    known = running.join(positives, groups, "left").withColumn("positives", F.coalesce("positives", F.lit(0).cast("bigint")))
+    return known.withColumns(
         {"precision": F.col("tp") / F.col("rank"), "recall": recall, "threshold": F.col("score")}
     )
 
@@ -45,8 +47,11 @@ def evaluation_order() -> list[Column]:
 
 
 def pr_curve(rows: DataFrame, num_classes: int, by=()) -> DataFrame:
-    """Curve of every class from evaluation rows."""
-    return curve(class_points(rows, num_classes), evaluation_order(), by)
+    """Curve of every class from evaluation rows, which are stored once: ranges are sampled, written and counted from them."""
+    held = materialize(rows, "eval-rows")
+    own = F.col("y_true").cast("int").alias("class_id")
+    positives = held.where(F.col("y_true").between(0, num_classes - 1)).groupBy(*by, own).agg(F.count("*").alias("positives"))
+    return curve(class_points(held, num_classes), evaluation_order(), by, positives)
 
 
 def _grid(index: Column, points: int) -> Column:

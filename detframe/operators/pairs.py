@@ -23,22 +23,25 @@ SALTS = 16
 On = Callable[[], Column]
 
 
-def hot_images(*sides: DataFrame, limit: int = LIMIT) -> DataFrame | None:
-    """Images with more than ``limit`` rows on any side, with their mean box size; None when there are none."""
+def hot_images(*sides: DataFrame, limit: int = LIMIT, by=()) -> DataFrame | None:
+    """Images with more than ``limit`` rows on any side, with the grid levels their boxes need; None when there are none.
+
+    ``by`` names columns that pairs must share (a run): the rows of an image are counted for each value by itself.
+    """
+    solid = (F.col("w") > 0) & (F.col("h") > 0)
     found = None
     for side in sides:
-        part = (
-            side.groupBy("image_id")
-            .agg(F.count("*").alias("n"), F.avg("w").alias("mean_w"), F.avg("h").alias("mean_h"))
-            .where(F.col("n") > limit)
-        )
+        part = side.groupBy("image_id", *by).agg(F.count("*").alias("n"), F.collect_set(F.when(solid, _level())).alias("levels"))
+        part = part.select("image_id", "n", "levels")
         found = part if found is None else found.unionAll(part)
-    if found.isEmpty():
-        return None
-    merged = found.groupBy("image_id").agg(
-        F.max("n").alias("n"), F.max("mean_w").alias("mean_w"), F.max("mean_h").alias("mean_h")
-    )
-    return materialize(merged, "hot-images")
+    merged = found.groupBy("image_id").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("levels"))).alias("levels"))
+    hot = materialize(merged.where(F.col("n") > limit), "hot-images")
+    return None if hot.isEmpty() else hot
+
+
+def _level() -> Column:
+    """The smallest power of two that holds a box's longer side: one of some two thousand at most, in practice a dozen."""
+    return F.ceil(F.log2(F.greatest("w", "h"))).cast("int")
 
 
 def split_hot(df: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
@@ -79,12 +82,15 @@ def _with_iou(joined: DataFrame, min_iou: float, strict: bool) -> DataFrame:
 
 
 def _cells(df: DataFrame, hot: DataFrame) -> DataFrame:
-    sized = df.join(
-        hot.select("image_id", (F.col("mean_w") * 2).alias("cell_w"), (F.col("mean_h") * 2).alias("cell_h")),
-        "image_id",
-    )
-    for axis, size, cell in (("x", "w", "cell_w"), ("y", "h", "cell_h")):
-        first, last = F.floor(F.col(axis) / F.col(cell)), F.floor((F.col(axis) + F.col(size)) / F.col(cell))
+    """Each box in the cells it touches, at most four a level, on the grid of its own level and of the coarser ones of its image.
+
+    Two boxes meet on the coarser of their two levels, where both touch few cells, however much their sizes differ.
+    """
+    sized = df.where((F.col("w") > 0) & (F.col("h") > 0)).join(hot.select("image_id", "levels"), "image_id").withColumn("own", _level())
+    sized = sized.withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own")))).drop("levels")
+    sized = sized.withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
+    for axis, size in (("x", "w"), ("y", "h")):
+        first, last = F.floor(F.col(axis) / F.col("cell")), F.floor((F.col(axis) + F.col(size)) / F.col("cell"))
         sized = sized.withColumn(f"c{axis}", F.explode(F.sequence(first, last)))
     return sized
 
@@ -116,11 +122,9 @@ def overlapping_pairs(
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
     l_cells = _side(_cells(left_hot, hot).withColumn("salt", spread), "l_")
     r_cells = _side(_cells(right_hot, hot).withColumn("salt", every_salt), "r_")
-    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("image_id", "cx", "cy", "salt")]
-    owner = [
-        F.floor(F.greatest(F.col(f"l_{a}"), F.col(f"r_{a}")) / F.col(f"l_cell_{s}")) == F.col(f"l_c{a}")
-        for a, s in (("x", "w"), ("y", "h"))
-    ]
+    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("image_id", "level", "cx", "cy", "salt")]
+    owner = [F.floor(F.greatest(F.col(f"l_{a}"), F.col(f"r_{a}")) / F.col("l_cell")) == F.col(f"l_c{a}") for a in ("x", "y")]
+    owner.append(F.greatest("l_own", "r_own") == F.col("l_level"))
     condition = extra & _touch()
     for part in (*same, *owner):
         condition = condition & part
@@ -152,7 +156,7 @@ def duplicate_pairs(detections: DataFrame, iou_threshold: float = 0.5, by=(), li
             condition = condition & (F.col(f"l_{name}") == F.col(f"r_{name}"))
         return condition
 
-    pairs = overlapping_pairs(narrow, narrow, same_class, iou_threshold, hot=hot_images(narrow, limit=limit))
+    pairs = overlapping_pairs(narrow, narrow, same_class, iou_threshold, hot=hot_images(narrow, limit=limit, by=by))
     renamed = {f"l_{name}": name for name in ("class_id", *by)}
     return pairs.withColumnsRenamed(renamed).drop(*[f"r_{n}" for n in ("class_id", *by)])
 

@@ -78,10 +78,15 @@ def exact_quantiles(values: DataFrame, group_by: Sequence[str], value: str, prob
     return found.select(*group_by, *out)
 
 
+# Hex digits of md5 that order a sample, and how many values they take.
+HASH_DIGITS = 14
+HASH_RANGE = 16**HASH_DIGITS
+
+
 def seeded_hash(key: Column, seed: int) -> Column:
-    """Repeatable uniform order of integer keys, the same in any SQL engine."""
-    low = F.pmod(key.cast("bigint"), F.lit(2147483648))
-    return (low * F.lit(1103515245).cast("bigint") + F.lit(seed * 12345).cast("bigint")) % F.lit(2147483648)
+    """Repeatable uniform order of keys of any kind, the same in any SQL engine: leading digits of md5("seed:key")."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
 def take_by_hash(
@@ -94,7 +99,7 @@ def take_by_hash(
     group); whole buckets before the cut are taken as they are, and only the
     single bucket holding the cut is ranked.
     """
-    width = 2147483648 >> bits
+    width = HASH_RANGE >> bits
     tagged = df.withColumns({"_hash": seeded_hash(F.col(key), seed), "_n": n}).withColumn(
         "_bucket", F.floor(F.col("_hash") / width)
     )

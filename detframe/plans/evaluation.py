@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detframe.operators.compare import per_class_counts, run_frame
 from detframe.operators.curves import average_precision_of, mean_average_precision
-from detframe.operators.match import evaluation_rows, label_rows, match_detections
+from detframe.operators.match import label_rows, match_detections
 from detframe.operators.pairs import LIMIT
 from detframe.operators.suppress import suppress
 from detframe.session import materialize
@@ -26,18 +26,16 @@ def runs_table(like: DataFrame, key: str, values: Sequence) -> DataFrame:
 
 
 def _run_images(df: DataFrame, key: str, values: Sequence, truth: bool) -> DataFrame:
-    """Make (run, image) one integer image key, so per-image operators see one image per run.
+    """One image key (image, run) of any image id, so per-image operators see one image per run; keys sort by image, then run.
 
-    The key keeps the order of images inside a run: image_id * runs + position.
+    Rows of runs that are not in ``values`` are left out.
     """
-    count = F.lit(len(values)).cast("bigint")
+    options = F.array(*[F.lit(v) for v in values])
     if truth and key not in df.columns:
-        options = F.array(*[F.lit(v) for v in values])
         df = df.select("*", F.posexplode(options).alias("_at", key))
     else:
-        place: Column = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(key)) - 1
-        df = df.withColumn("_at", place)
-    return df.withColumn("image_id", F.col("image_id") * count + F.col("_at")).drop("_at")
+        df = df.withColumn("_at", F.array_position(options, F.col(key)).cast("int") - 1).where("_at >= 0")
+    return df.withColumn("image_id", F.struct("image_id", F.col("_at").alias("run"))).drop("_at")
 
 
 def evaluate_runs(
@@ -61,9 +59,9 @@ def evaluate_runs(
     dets = _run_images(detections, key, values, truth=False)
     truth = _run_images(ground_truth, key, values, truth=True)
     matches = match_detections(dets, truth, iou_threshold, limit)
-    place = F.col("image_id") % len(values)
-    matches = matches.withColumn(key, F.get(F.array(*[F.lit(v) for v in values]), place.cast("int")))
-    rows = materialize(label_rows(dets, truth, matches, num_classes, eval_type, by, zeros=False), "eval-rows")
+    matches = matches.withColumn(key, F.get(F.array(*[F.lit(v) for v in values]), F.col("image_id.run")))
+    labelled = label_rows(dets, truth, matches, num_classes, eval_type, by, zeros=False)
+    rows = materialize(labelled.withColumn("image_id", F.col("image_id.image_id")), "eval-rows")  # the run has its own column
     runs = runs_table(detections, key, values)
     frame = run_frame(runs, classes)
     ap = average_precision_of(rows, frame, num_classes, points, by)
@@ -98,5 +96,3 @@ def evaluate_model(
     }
     return summary.drop("model").withColumns(settings), per_class.drop("model")
 
-
-__all__ = ["evaluate_model", "evaluate_runs", "evaluation_rows", "runs_table"]

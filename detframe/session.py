@@ -30,7 +30,8 @@ def work_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-detframe-", dir="/tmp")
     spark.conf.set(SETTING, folder)

@@ -42,7 +42,8 @@ def pair_by_stem(images: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
 def _lines(files: DataFrame) -> DataFrame:
     lines = F.split(F.col("label_text"), "\r\n|\r|\n")
     rows = files.select(*[c for c in files.columns if c != "label_text"], F.posexplode(lines).alias("pos", "line"))
-    return rows.withColumn("parts", F.split(F.trim(F.col("line")), r"\s+"))
+    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    return rows.withColumn("parts", F.when(bare != "", F.split(bare, r"\s+")).otherwise(F.array().cast("array<string>")))
 
 
 def parse_labels(files: DataFrame, num_classes: int) -> DataFrame:
@@ -54,17 +55,19 @@ def parse_labels(files: DataFrame, num_classes: int) -> DataFrame:
     numbers = [p.cast("double").alias(n) for p, n in zip(part[1:], ("cx", "cy", "w", "h"))]
     keep = [c for c in files.columns if c != "label_text"]
     rows = _lines(files).where(F.size("parts") >= 5)
-    boxes = rows.select(*keep, "pos", part[0].cast("double").cast("int").alias("class_id"), *numbers)
+    # held against the range before it becomes an integer, so that no number is too large
+    number = F.when(part[0].cast("double").between(-0.999, num_classes - 0.001), part[0].cast("double")).cast("int")
+    boxes = rows.select(*keep, "pos", number.alias("class_id"), *numbers)
     return boxes.where(F.col("class_id").between(0, num_classes - 1))
 
 
 def parse_labels_strict(files: DataFrame) -> DataFrame:
-    """Every non-blank line must hold a class and at least four numbers; anything else fails the job."""
+    """Every non-blank line must hold a class and at least four numbers, and nothing but numbers; anything else fails the job."""
     keep = [c for c in files.columns if c != "label_text"]
-    rows = _lines(files).where(F.trim("line") != "")
-    short = F.size("parts") < 5
-    text = F.concat(F.lit("label line with fewer than five fields: "), F.col("line"))
-    part = [F.when(short, F.raise_error(text).cast("string")).otherwise(F.get("parts", F.lit(i))) for i in range(5)]
+    rows = _lines(files).where(F.size("parts") > 0)
+    wrong = (F.size("parts") < 5) | F.exists("parts", lambda p: p.try_cast("double").isNull())
+    text = F.concat(F.lit("label line without five or more numbers: "), F.col("line"))
+    part = [F.when(wrong, F.raise_error(text).cast("string")).otherwise(F.get("parts", F.lit(i))) for i in range(5)]
     numbers = [p.cast("double").alias(n) for p, n in zip(part[1:], ("cx", "cy", "w", "h"))]
     return rows.select(*keep, "pos", part[0].cast("double").cast("int").alias("class_id"), *numbers)
 

@@ -31,30 +31,36 @@ def _folder(stream: DataFrame, label: str) -> str:
     return f"{work_dir(stream.sparkSession)}/detframe/streams/{label}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Append a stream to Parquet until its source is used up, then scan the result."""
+def _places(stream: DataFrame, label: str, path: str | None, checkpoint: str | None) -> tuple[str, str]:
+    """Output and state folders; a restarted job passes its own again and goes on where it stopped."""
     folder = _folder(stream, label)
+    return path or f"{folder}/data", checkpoint or f"{folder}/state"
+
+
+def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Append a stream to Parquet, then scan the result. ``trigger`` as for ``writeStream.trigger``; by default all there is now."""
+    path, checkpoint = _places(stream, label, path, checkpoint)
     query = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/data")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_log(kept: DataFrame, label: str = "log") -> DataFrame:
+def run_log(kept: DataFrame, label: str = "log", path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
     """Write the detection log batch by batch; a repeated batch overwrites itself, so rows appear once."""
-    folder = _folder(kept, label)
+    path, checkpoint = _places(kept, label, path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        detection_log(batch).write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
+        detection_log(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
-        kept.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
+        kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return kept.sparkSession.read.schema(detection_log(kept).schema).parquet(f"{folder}/data").drop("batch")
+    return kept.sparkSession.read.schema(detection_log(kept).schema).parquet(path).drop("batch")
 
 
 def running_total(frames: DataFrame) -> DataFrame:
@@ -62,13 +68,20 @@ def running_total(frames: DataFrame) -> DataFrame:
     return frames.groupBy().agg(F.count("*").alias("frames"))
 
 
-def run_total(frames: DataFrame, name: str = "frame_total") -> DataFrame:
-    """Drive :func:`running_total` over what the source holds now; one row."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    folder = _folder(frames, name)
+def run_total(frames: DataFrame, name: str = "frame_total", path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Drive :func:`running_total` over what the source holds now; one row.
+
+    The total is state of the stream, so it goes on where the checkpoint left it. Each batch writes it to a folder of its own.
+    """
+    path, checkpoint = _places(frames, name, path, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     query = (
-        running_total(frames).writeStream.format("memory").queryName(table).outputMode("complete")
-        .option("checkpointLocation", folder).trigger(availableNow=True).start()
+        running_total(frames).writeStream.foreachBatch(write).outputMode("complete")
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return frames.sparkSession.table(table)
+    # totals only grow, so the latest is the largest
+    return frames.sparkSession.read.parquet(path).agg(F.coalesce(F.max("frames"), F.lit(0)).cast("bigint").alias("frames"))

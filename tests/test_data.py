@@ -3,6 +3,8 @@
 import statistics
 
 import numpy as np
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +36,18 @@ def test_exact_quantiles(spark):
     assert one == pytest.approx(statistics.median(v for _, v in rows))
 
 
+def test_hash_spreads_and_seeds_differ(spark):
+    df = spark.range(4000).select((F.col("id") * 2**31).alias("image_id"))
+    assert df.select(ranking.seeded_hash(F.col("image_id"), 1)).distinct().count() == 4000
+    one, other = ({r.image_id for r in ranking.take_by_hash(df, [], "image_id", s, F.lit(1000)).collect()} for s in (1, 2))
+    assert len(one) == len(other) == 1000 and 190 < len(one & other) < 310  # a quarter by chance
+
+
 @pytest.mark.parametrize("n", [0, 1, 37, 199, 200, 500])
 def test_take_by_hash_is_the_hash_order(spark, n):
     df = spark.range(200).withColumnRenamed("id", "image_id")
     got = {r.image_id for r in ranking.take_by_hash(df, [], "image_id", 9, F.lit(n), bits=3).collect()}
-    order = sorted(range(200), key=lambda i: ((i * 1103515245 + 9 * 12345) % 2147483648, i))
+    order = sorted(range(200), key=lambda i: (md5(f"9:{i}".encode()).hexdigest()[:14], i))
     assert got == set(order[:n])
 
 
