@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,20 +79,15 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _packed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all texts end to end, the text each belongs to, and its share of that text."""
-    known: dict[bytes, list[int]] = {}
+def _packed(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all texts end to end, the text each belongs to, and its share of that text; one text's words at a time."""
     places, sizes = [], []
     for words in texts:
-        for word in words:
-            if word not in known:
-                known[word] = features(word)
-        own = np.fromiter((f for word in words for f in known[word]), np.int32)
-        numbers, counts = np.unique(own, return_counts=True)
+        numbers, counts = np.unique(np.fromiter((f for word in words for f in features(word)), np.int32), return_counts=True)
         places.append(numbers)
-        sizes.append(counts * (SCALE / max(1, len(words))))
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [x.size for x in places])
-    return np.concatenate(places or [np.empty(0, np.int32)]), owner, np.concatenate(sizes or [np.empty(0)])
+        sizes.append((counts * (SCALE / max(1, len(words)))).astype(np.float32))
+    owner = np.repeat(np.arange(len(places), dtype=np.int32), [x.size for x in places])
+    return np.concatenate(places or [np.empty(0, np.int32)]), owner, np.concatenate(sizes or [np.empty(0, np.float32)])
 
 
 def telling(place: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,7 +100,7 @@ def telling(place: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (with_it >= LEAST_DOCS) & ((a - expected) ** 2 >= LEAST_CHI * np.maximum(spread, 1e-12))
 
 
-def swaps(texts: list[list[bytes]], identities=IDENTITIES) -> list[tuple[bytes, bytes, float]]:
+def swaps(texts: Iterable[list[bytes]], identities=IDENTITIES) -> list[tuple[bytes, bytes, float]]:
     """Pairs of terms and how many labelled texts hold the first: a linear score changes by the difference of the two terms.
 
     Each pair has a weight of one at least, so that terms the sample lacks are held together too.
@@ -126,9 +121,8 @@ def train(texts: list[bytes], toxic: list[int], swap_weight: float = SWAP_WEIGHT
     y = np.array(toxic, np.float64)
     if len(set(toxic)) < 2:
         return Classifier()
-    words = [words_of(x) for x in texts]
-    place, owner, size = _packed(words)
-    pairs = swaps(words, identities)
+    place, owner, size = _packed(map(words_of, texts))
+    pairs = swaps(map(words_of, texts), identities)
     firsts, first_of, _ = _packed([[a] for a, _, _ in pairs])
     seconds, second_of, _ = _packed([[b] for _, b, _ in pairs])
     held = np.array([n for _, _, n in pairs])
