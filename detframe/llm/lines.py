@@ -94,7 +94,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         level = stored(pairs.join(named, ["first", "second"], "left").drop("first", "second"), "suffixes")
         length *= 2
     place = F.struct("doc_id", "row", "start")
-    first = runs.groupBy("size", "a", "b").agg(F.min(place).alias("earliest"))
+    # stored by itself, so that the join's rows of one common run can be split over tasks
+    first = stored(runs.groupBy("size", "a", "b").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held"), "first")
     return runs.join(first, ["size", "a", "b"]).filter(place > F.col("earliest")).select("row", "start", "size")
 
 
