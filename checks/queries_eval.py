@@ -8,8 +8,8 @@ from checks.fixtures import NUM_CLASSES
 from checks.queries_boxes import NORM, as_big, norm_boxes
 from checks.registry import cte_ap, cte_curve, cte_match, cte_nms, cte_rows, duck, iou, query
 from detframe.functions.conditions import CONDITIONS
-from detframe.operators import augment, compare, curves, match, pairs, profile, suppress
-from detframe.plans import evaluation
+from detframe.operators import compare, curves, match, profile, suppress
+from detframe.plans import evaluation, robustness, sweep
 from detframe.session import materialize
 
 DET = "det as (select 0 g, * from fx_det)"
@@ -163,19 +163,7 @@ SWEPT = [
 
 
 def swept(f):
-    kept = materialize(suppress.suppress_sweep(f("fx_raw")), "swept")
-    return kept, *evaluation.evaluate_runs(kept, f("fx_gt"), f("fx_classes"), NUM_CLASSES, "nms_threshold", list(TS))
-
-
-def duplicate_summary(kept, images_from):
-    found = pairs.duplicate_pairs(kept, 0.5, by=("nms_threshold",))
-    per = found.groupBy("nms_threshold", "image_id").agg(F.count("*").alias("n")).groupBy("nms_threshold").agg(
-        F.sum("n").alias("duplicate_pairs"), F.count("*").alias("images_with_pairs"))
-    seen = images_from.groupBy("nms_threshold", "image_id").agg(F.count("*").alias("n")).groupBy("nms_threshold").agg(F.count("*").alias("images"))
-    zero = F.lit(0).cast("bigint")
-    return seen.join(per, "nms_threshold", "left").withColumns(
-        {c: F.coalesce(F.col(c), zero) for c in ("duplicate_pairs", "images_with_pairs")}
-    ).withColumn("mean_pairs_per_image", F.col("duplicate_pairs") / F.col("images")).drop("images")
+    return sweep.threshold_sweep(f("fx_raw"), f("fx_gt"), f("fx_classes"), NUM_CLASSES)
 
 
 DUP = [
@@ -191,8 +179,7 @@ DUP = [
     "select g nms_threshold, duplicate_pairs, images_with_pairs, mean_pairs_per_image from dups",
     FX, [*cte_nms(TS), "det as (select t g, k.* exclude (t) from kept k)", *DUP], "nms_threshold mean_pairs_per_image"))
 def _(f):
-    kept = materialize(suppress.suppress_sweep(f("fx_raw")), "swept")
-    return duplicate_summary(kept, kept)
+    return sweep.duplicate_summary(materialize(suppress.suppress_sweep(f("fx_raw")), "swept"))
 
 
 SUMMARY = [
@@ -205,8 +192,7 @@ SUMMARY = [
     "select s.g nms_threshold, s.map, s.ground_truth, s.predictions, s.evaluation_rows, d.duplicate_pairs, d.images_with_pairs, d.mean_pairs_per_image from summary s join dups d on d.g = s.g",
     FX, [*SWEPT, *DUP, *SUMMARY], "nms_threshold map mean_pairs_per_image"))
 def _(f):
-    kept, summary, _ = swept(f)
-    return summary.join(duplicate_summary(kept, kept), "nms_threshold")
+    return swept(f)[1]
 
 
 @query("threshold_sensitivity", duck(
@@ -223,11 +209,7 @@ def _(f):
     "from summary s join dups d on d.g = s.g join summary r on r.g = 0.5 where s.g >= 0.5",
     FX, [*SWEPT, *DUP, *SUMMARY], "nms_threshold map map_change"))
 def _(f):
-    kept, summary, _ = swept(f)
-    near = compare.change_from(summary, "nms_threshold", 0.5).where(F.col("nms_threshold") >= 0.5)
-    dups = duplicate_summary(kept, kept)
-    return near.join(dups, "nms_threshold").select(
-        "nms_threshold", "map", "map_change", "predictions", "prediction_change", "duplicate_pairs", "images_with_pairs")
+    return sweep.threshold_decision(swept(f)[1], 0.5)
 
 
 CROWDED = (
@@ -240,20 +222,31 @@ def _(f):
     return profile.crowded_images(profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt")))
 
 
-@query("subset_summary", duck(
-    "select 'crowded_any_overlap' subset_name, (select count(*) from crowded) images, s.g nms_threshold, s.map, s.ground_truth, s.predictions, s.evaluation_rows, d.duplicate_pairs, "
-    "d.images_with_pairs from summary s join dups d on d.g = s.g",
-    FX, [CROWDED, *cte_nms(TS), "det as (select t g, k.* exclude (t) from kept k where image_id in (select image_id from crowded))",
-         "gt as (select t g, b.* from fx_gt b, kept_thr where image_id in (select image_id from crowded))",
-         *cte_match("det", "gt"), *cte_rows("det", "gt"), *cte_curve(), *cte_ap(groups="select t g from kept_thr"), *DUP, *SUMMARY],
-    "nms_threshold map"))
+SUBSETS = ("all_selected", "crowded_any_overlap")
+
+
+def subset_text() -> tuple[list[str], str]:
+    """Both subsets as runs of one evaluation: the key is (subset, threshold)."""
+    chosen = "chosen as materialized (select 'all_selected' s, image_id from fx_images union all select 'crowded_any_overlap', image_id from crowded)"
+    det = "det as (select c.s || ' ' || t g, k.* exclude (t) from kept k join chosen c using (image_id))"
+    gt = "gt as (select c.s || ' ' || t g, b.* from fx_gt b join chosen c using (image_id), kept_thr)"
+    runs = "runs as (select s || ' ' || t g, s, t from kept_thr, (select distinct s from chosen))"
+    summary = (
+        "summary as (select g, s, t, (select avg(ap) from ap where ap.g = runs.g) map, (select count(*) from gt where gt.g = runs.g) ground_truth, "
+        "(select count(*) from det where det.g = runs.g) predictions, (select count(*) from er where er.g = runs.g) evaluation_rows from runs)"
+    )
+    ctes = [CROWDED, *cte_nms(TS), chosen, runs, det, gt, *cte_match("det", "gt"), *cte_rows("det", "gt"), *cte_curve(), *cte_ap(groups="select g from runs"), *DUP, summary]
+    return ctes, (
+        "select s subset_name, (select count(*) from chosen c where c.s = summary.s) images, t nms_threshold, map, ground_truth, predictions, evaluation_rows, "
+        "duplicate_pairs, images_with_pairs, mean_pairs_per_image from summary join dups d using (g)"
+    )
+
+
+@query("subset_summary", duck(subset_text()[1], [*FX, "fx_images"], subset_text()[0], "nms_threshold map mean_pairs_per_image"))
 def _(f):
-    crowded = materialize(profile.crowded_images(profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt"))), "crowded")
-    kept = materialize(suppress.suppress_sweep(f("fx_raw")).join(crowded, "image_id", "left_semi"), "kept")
-    truth = f("fx_gt").join(crowded, "image_id", "left_semi")
-    summary, _ = evaluation.evaluate_runs(kept, truth, f("fx_classes"), NUM_CLASSES, "nms_threshold", list(TS))
-    out = summary.join(duplicate_summary(kept, kept).drop("mean_pairs_per_image"), "nms_threshold")
-    return out.withColumns({"subset_name": F.lit("crowded_any_overlap"), "images": crowded.agg(F.count("*")).scalar()})
+    crowded = profile.crowded_images(profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt")))
+    kept = materialize(suppress.suppress_sweep(f("fx_raw")), "swept")
+    return sweep.subset_summary(kept, f("fx_gt"), f("fx_classes"), NUM_CLASSES, f("fx_images"), {"crowded_any_overlap": crowded})
 
 
 # ---- conditions --------------------------------------------------------------
@@ -276,7 +269,7 @@ COND = [
 ]
 
 
-def condition_kept(f):
+def condition_raw(f):
     from detframe.functions.conditions import condition_array
 
     by = F.col("_k.condition_order")
@@ -284,19 +277,12 @@ def condition_kept(f):
     shifted = (
         F.when(by == 0, s).when(by == 1, s - 0.15).when(by == 2, s - 0.25).when(by == 3, s - 0.02).otherwise(s - 0.05)
     )
-    raw = f("fx_raw").withColumn("_k", F.explode(condition_array())).withColumns(
-        {"score": shifted, "condition": F.col("_k.condition"), "image_id": F.col("image_id") * 5 + by}).drop("_k")
-    return materialize(suppress.suppress(raw, 0.5), "condition-kept")
+    raw = f("fx_raw").withColumn("_k", F.explode(condition_array())).withColumns({"score": shifted, "condition": F.col("_k.condition")})
+    return raw.drop("_k")
 
 
 def conditions(f):
-    kept = condition_kept(f).withColumn("image_id", F.floor(F.col("image_id") / 5))
-    truth = augment.ground_truth_by_condition(exact_norm(f), f("fx_images"), clip=False).drop("condition_order")
-    return evaluation.evaluate_runs(kept, truth, f("fx_classes"), NUM_CLASSES, "condition", TAGS)
-
-
-def exact_norm(f):
-    return norm_boxes(f)
+    return robustness.condition_robustness(condition_raw(f), norm_boxes(f), f("fx_images"), f("fx_classes"), NUM_CLASSES, clip=False)
 
 
 COND_EXACT = [c.replace(
@@ -308,7 +294,7 @@ COND_EXACT = [c.replace(
 @query("nms_by_condition", duck(
     "select condition, image_id // 5 image_id, cast(pos as bigint) pos, score from kept", FX, COND_KEPT, "score"))
 def _(f):
-    kept = condition_kept(f).withColumn("image_id", F.floor(F.col("image_id") / 5))
+    kept = robustness.suppress_by(condition_raw(f), "condition", 0.5)
     return as_big(kept.select("condition", "image_id", "pos", "score"), "pos")
 
 
@@ -316,7 +302,7 @@ def _(f):
     "select s.g condition, s.map, s.ground_truth, s.predictions, s.evaluation_rows, s.map - r.map map_change, case when r.map <> 0 then (s.map - r.map) / r.map * 100 else 0 end map_percent_change, "
     "s.predictions - r.predictions prediction_change from summary s join summary r on r.g = 'original'", FX, COND_EXACT, "map map_change map_percent_change"))
 def _(f):
-    return compare.change_from(conditions(f)[0], "condition", "original")
+    return conditions(f)[1]
 
 
 AP_CHANGE = "select a.g condition, a.class_id, a.class_name, a.ap, r.ap reference_ap, a.ap - r.ap ap_change from ap a left join ap r on r.class_id = a.class_id and r.g = 'original'"
@@ -325,15 +311,14 @@ AP_CHANGE = "select a.g condition, a.class_id, a.class_name, a.ap, r.ap referenc
 @query("ap_change_vs_baseline", duck(
     f"select condition, cast(class_id as bigint) class_id, class_name, ap, reference_ap, ap_change from ({AP_CHANGE})", FX, COND_EXACT, "ap reference_ap ap_change"))
 def _(f):
-    out = compare.ap_change_from(conditions(f)[1], "condition", "original")
-    return as_big(out.drop("ground_truth_count", "prediction_count"), "class_id")
+    return as_big(conditions(f)[2].drop("ground_truth_count", "prediction_count"), "class_id")
 
 
 @query("largest_ap_drops", duck(
     f"select condition, cast(class_id as bigint) class_id, round(ap_change, 9) ap_change from ({AP_CHANGE}) where condition <> 'original' order by round(ap_change, 9), condition, class_id limit 15",
     FX, COND_EXACT, "ap_change"))
 def _(f):
-    changes = compare.ap_change_from(conditions(f)[1], "condition", "original").withColumn("ap_change", F.round("ap_change", 9))
+    changes = conditions(f)[2].withColumn("ap_change", F.round("ap_change", 9))
     return as_big(compare.largest_drops(changes, "condition", "original").select("condition", "class_id", "ap_change"), "class_id")
 
 

@@ -8,6 +8,7 @@ from checks.queries_boxes import as_big
 from checks.queries_profile import INDEX, index
 from checks.registry import duck, iou, query
 from detframe.operators import loss, mining
+from detframe.plans.miner import HardNegativeMiner
 from detframe.session import materialize
 
 FX = ["fx_det", "fx_gt", "fx_images", "fx_classes"]
@@ -95,7 +96,7 @@ def _(f):
     "select image_id, total_loss from (select image_id, 0.5*loc_loss + 0.5*conf_loss_obj + 0.5*conf_loss_noobj + 0.5*class_loss total_loss from comp) order by total_loss desc, image_id limit 50",
     FX, COMP, "total_loss"))
 def _(f):
-    return mining.hard_negatives(loss.total_loss(components(f, stored=False)), 50, "total_loss").select("image_id", "total_loss")
+    return HardNegativeMiner(components(f, stored=False)).hardest(50, "total_loss").select("image_id", "total_loss")
 
 
 @query("top10_by_component", duck(

@@ -9,6 +9,7 @@ from checks.registry import duck, iou, query
 from detframe.functions import buckets
 from detframe.operators import profile, sampling
 from detframe.operators.pairs import LIMIT
+from detframe.plans import selection
 from detframe.session import materialize
 
 FX = ["fx_images", "fx_gt", "fx_classes"]
@@ -312,6 +313,27 @@ def _(f):
     return as_big(out.select("class_id", "class_name", "image_count_full", "image_count_sample", "target_image_count", "sample_image_retention_pct"), "class_id")
 
 
+def quality_text(sample: str) -> str:
+    """The quality row of a sample, whose own relations carry its name."""
+    return (
+        f"select '{sample}' candidate, (select count(*) from {sample}_idx) images, (select cast(sum(num_objects) as bigint) from {sample}_idx) total_objects, (select avg(num_objects) from {sample}_idx) mean_objects_per_image, "
+        f"(select count(*) from {sample}_idx where num_objects >= 10) images_ge_10_objects, (select count(*) from {sample}_idx where num_objects >= 20) images_ge_20_objects, "
+        f"(select avg(abs(object_share_diff_pp)) from {sample}_cmp) class_object_share_mae_pp, (select max(abs(object_share_diff_pp)) from {sample}_cmp) class_object_share_max_error_pp, "
+        f"(select avg(abs(image_share_diff_pp)) from {sample}_dcmp) density_share_mae_pp, (select max(abs(image_share_diff_pp)) from {sample}_dcmp) density_share_max_error_pp, "
+        f"(select min(case when c.image_count_full > 0 then 100.0 * c.image_count_sample / cast(c.image_count_full as double) end) from {sample}_cmp c join rare r on r.class_id = c.class_id) min_rare_class_image_retention_pct"
+    )
+
+
+def quality_ctes(sample: str, ids: str) -> list[str]:
+    return [
+        f"{sample}_idx as materialized (select * from idx where image_id in ({ids}))",
+        f"{sample}_cc as materialized (select * from cc where image_id in ({ids}))",
+        f"{sample}_dist as materialized ({shares(DIST.format(cc=sample + '_cc'), sample + '_idx')})",
+        CLASS_CMP.replace("class_cmp as", f"{sample}_cmp as").replace("s_dist", f"{sample}_dist"),
+        f"{sample}_dcmp as ({bucket_cmp('density_bucket', 'idx', sample + '_idx', BUCKETS)})",
+    ]
+
+
 @query("sample_quality", duck(
     "select (select count(*) from sidx) images, (select cast(sum(num_objects) as bigint) from sidx) total_objects, (select avg(num_objects) from sidx) mean_objects_per_image, "
     "(select count(*) from sidx where num_objects >= 10) images_ge_10_objects, (select count(*) from sidx where num_objects >= 20) images_ge_20_objects, "
@@ -356,3 +378,14 @@ def _(f):
     presence = profile.class_counts(f("fx_gt")).select("image_id", "class_id")
     out = sampling.enforce_rare_targets(stratified(f, idx), idx, presence, rare_targets(f), half(f, idx), SEED)
     return out.select("image_id")
+
+
+CANDIDATES = {"random": f"select image_id from (select image_id from idx order by {hashed(SEED)}, image_id limit {HALF})", "stratified": "select image_id from strat", "rare_aware": "select image_id from chosen"}
+
+
+@query("candidate_sample_quality", duck(
+    " union all ".join(quality_text(n) for n in CANDIDATES), FX, [*STRAT, FULL, RARE, *rare_steps(), *(c for n, ids in CANDIDATES.items() for c in quality_ctes(n, ids))],
+    "mean_objects_per_image class_object_share_mae_pp class_object_share_max_error_pp density_share_mae_pp density_share_max_error_pp min_rare_class_image_retention_pct"))
+def _(f):
+    idx = slim(f)
+    return selection.candidate_quality(idx, f("fx_gt"), f("fx_classes"), half(f, idx), SEED)[1]
