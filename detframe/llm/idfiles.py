@@ -1,6 +1,6 @@
 """Token-id files: one shared zstandard dictionary, every document compressed by itself, an offset index for single reads.
 
-A shard file holds ``MAGIC``, the 32-byte hash of the dictionary, the compressed id arrays in ascending doc_id order, one
+A shard file holds ``MAGIC``, the 32-byte hash of the dictionary, the compressed id arrays (magicless zstandard frames) in ascending doc_id order, one
 ``INDEX`` entry for each document, then ``TAIL`` (where the index begins, entries, bytes of an id) and ``MAGIC`` again. The
 dictionary lies beside the shards as ``<hash>.dict``. Ids are stored in two bytes where all of them fit, else in four.
 
@@ -54,8 +54,9 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([narrow(ids[: 4 * SAMPLE_IDS])[0]], pa.binary())], ["ids"])
 
     sample = [bytes(r[0]) for r in keyed.orderBy("h").limit(SAMPLE_DOCS).mapInArrow(run, "ids binary").collect()]
+    size = max(256, min(DICTIONARY_BYTES, sum(map(len, sample)) // 10))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
+        return zstandard.train_dictionary(size, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -64,8 +65,14 @@ def _open(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(folder)
 
 
-def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+def compressor(trained: bytes) -> zstandard.ZstdCompressor:
+    """Frames without the marks that every document would repeat: the file names the format and the dictionary once."""
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_dict_id=False, write_content_size=True)
+    return zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+
+
+def decompressor(trained: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
 
 
 SHARD = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
@@ -91,8 +98,7 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None) -> DataFram
         task = TaskContext.get()
         shard = task.partitionId()
         final, own = f"{at}/shard-{shard:06d}.ids", f"{at}/.shard-{shard:06d}.{task.taskAttemptId()}"
-        shared = _dictionary(trained)
-        compress = (zstandard.ZstdCompressor(LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(LEVEL)).compress
+        compress = compressor(trained).compress
         entries, position, tokens, out = [], len(MAGIC) + 32, 0, None
         for batch in batches:
             for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encoded(byte_texts(column(batch, "text")), path)):
@@ -134,8 +140,7 @@ class ShardReader:
             trained = stream.read()
         if hashlib.sha256(trained).hexdigest() != name:
             raise ValueError(f"the dictionary of {file} has changed")
-        shared = _dictionary(trained)
-        self.reader = zstandard.ZstdDecompressor(dict_data=shared) if shared else zstandard.ZstdDecompressor()
+        self.reader = decompressor(trained)
 
     def ids(self, place: int) -> bytes:
         """The 32-bit ids of the document at a place of the index; reads only its bytes."""

@@ -109,4 +109,4 @@ def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def padded_length(length, window: int = WINDOW):
     """What a sequence takes in a batch: a power of two stays as it is, anything else is padded to the window."""
-    return F.when(F.bitwise_count(length) == 1, length).otherwise(F.lit(window))
+    return F.when(F.bit_count(length) == 1, F.col(length) if isinstance(length, str) else length).otherwise(F.lit(window))

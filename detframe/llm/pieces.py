@@ -166,7 +166,7 @@ class PieceCoder:
             return b""
         if BLANK in text or "￿" in text:
             return self._encode_marked(text, key)
-        if "  " in text or text == " ":
+        if "  " in text or text[0] == " ":  # the blank that stands before every text makes a run with its own
             words = _WORD.findall(BLANK + text.replace(" ", BLANK))
         else:
             words = [BLANK + x for x in text.split(" ")]
