@@ -149,32 +149,37 @@ def likeness(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.count_nonzero((one == others) & (one > 0), axis=1) / np.maximum(either, 1)
 
 
-def led(sketches: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
-    """Leaders of a bucket, and its ties (leader, member)."""
-    free, leaders, ties = np.ones(len(sketches), bool), [], []
+def led(sketches: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Leaders of a bucket, and for each set the first set of all that ties lead to.
+
+    What the ties join is joined by one tie for each set, so a bucket never has more of them than sets.
+    """
+    free, leaders, root = np.ones(len(sketches), bool), [], np.arange(len(sketches))
     for k in range(len(sketches)):
         if free[k]:
             leaders.append(k)
             like = likeness(sketches[k], sketches)
             free[like >= TIGHT] = False
-            ties += [(k, int(j)) for j in np.flatnonzero(like >= LOOSE) if j != k]
-    return leaders, ties
+            met = np.unique(root[(like >= LOOSE) | (np.arange(len(root)) == k)])
+            root[np.isin(root, met)] = met[0]
+    return leaders, root
 
 
 TIES = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def compare(records: DataFrame) -> DataFrame:
-    """Ties (``a`` leader, ``b`` member) of all groups of (``key``, ``block``); a leader also comes with ``b`` null. A task holds one group at a time."""
+    """Ties (``a``, ``b``) of all groups of (``key``, ``block``), fewer than sets; a leader also comes with ``b`` null. A task holds one group at a time."""
 
     def ties_of(key, nodes, sketches):
         unique, first = np.unique(np.array(nodes, "S16"), return_index=True)
         nodes = [nodes[k] for k in first]
         if len(nodes) < 2:
             return rows(TIES, key=[key] * len(nodes), a=nodes, b=[None] * len(nodes))
-        leaders, ties = led(np.stack([np.frombuffer(sketches[k], np.uint8) for k in first]))
-        a = [nodes[x] for x, _ in ties] + [nodes[x] for x in leaders]
-        return rows(TIES, key=[key] * len(a), a=a, b=[nodes[x] for _, x in ties] + [None] * len(leaders))
+        leaders, root = led(np.stack([np.frombuffer(sketches[k], np.uint8) for k in first]))
+        tied = np.flatnonzero(root != np.arange(len(root))).tolist()
+        a = [nodes[root[x]] for x in tied] + [nodes[x] for x in leaders]
+        return rows(TIES, key=[key] * len(a), a=a, b=[nodes[x] for x in tied] + [None] * len(leaders))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, nodes, sketches = None, [], []
@@ -195,7 +200,7 @@ def compare(records: DataFrame) -> DataFrame:
 
 def buckets(records: DataFrame) -> DataFrame:
     """Records (``key``, ``node``) of buckets with two sets or more, with the bucket's size."""
-    sizes = records.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = stored(records.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     return records.join(sizes, "key")
 
 

@@ -23,7 +23,7 @@ def test_against_brute_force(spark, texts, monkeypatch, first, block):
     monkeypatch.setattr(topk, "QUERY_ROWS", 3)
     rng = random.Random(1)
     rows = [(k, [rng.gauss(0, 0.3) for _ in range(6)]) for k in range(220)]
-    rows += [(300 + k, rows[0][1]) for k in range(60)] + [(500, rows[7][1]), (550, [0.5] * 3), (551, [0.25] * 3), (600, None), (650, [0.1, None, 0, 0, 0, 0])]
+    rows += [(300 + k, rows[0][1]) for k in range(60)] + [(500, rows[7][1]), (550, [0.5] * 3), (551, [0.25] * 3), (600, None), (650, [0.1, None, 0.0, 0.0, 0.0, 0.0])]
     rows += [(700, [float("nan")] * 6), (701, [float("inf")] * 6), (None, [0.1] * 6), (750, [])]
     found = topk.top_k(texts.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, node int, part int"))
     got = sorted(tuple(r) for r in found.collect())
