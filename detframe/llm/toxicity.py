@@ -29,7 +29,7 @@ from detframe.llm.common import byte_texts, column, filtered, fold, fold_column,
 SAMPLE_DOCS, FOLDS = 8_000, 5
 FEATURES, STEPS, RIDGE, SWAP_WEIGHT = 1 << 18, 150, 1e-5, 1.0
 #: Least documents and least chi-square of a feature that gets a weight; what a text's mean is multiplied with.
-LEAST_DOCS, LEAST_CHI, SCALE = 3, 8.0, 30.0
+LEAST_DOCS, LEAST_CHI, SCALE = 3, 10.0, 30.0
 BEGINNINGS = (4, 5, 6)
 #: Words whose score a worker keeps.
 KEPT_WORDS = 500_000
