@@ -11,7 +11,7 @@ FAST = [
     "box_hflip", "box_vflip", "conform_scores", "overlay_rows", "nms_sweep", "duplicate_pairs", "best_gt_per_prediction", "match_detections",
     "eval_rows", "pr_curve", "ap_per_class", "model_comparison", "dataset_index", "class_shares", "dense_image_counts", "overlap_profile",
     "sample_random", "stratified_targets", "image_loss_components", "lambda_summary", "gt_by_condition", "pixels_resize", "augment_plan",
-    "nms_hot", "match_hot", "best_gt_hot", "overlap_hot", "map_with_unlisted_run", "frame_sampling", "stream_frames", "stream_frame_sampling", "stream_nms", "stream_detection_log", "stream_frame_total",
+    "match_hot", "best_gt_hot", "frame_sampling", "stream_frames", "stream_frame_sampling", "stream_nms", "stream_detection_log", "stream_frame_total",
 ]
 
 
