@@ -1,9 +1,12 @@
 """Piece encoding with seeded merge dropout, and its exact inverse.
 
-A word's characters are merged in the order of the model's scores, from an agenda of neighbouring pairs; a pair whose turn comes is
-skipped when the keyed hash of (seed, variant, place, piece) falls below ``dropout``. Which of ``VARIANTS`` segmentations an
-occurrence gets follows from (seed, document, place in the text), so equal words are cut in different ways, and the same seed
-gives the same ids again on any cluster. Without dropout the ids are the library's own.
+A word's characters are merged in the order of the model's scores, from an agenda of neighbouring pairs; the n-th pair whose turn
+comes is skipped when the keyed hash of (seed, document, place of the word in the text, n) falls below ``dropout``. Every occurrence
+of a word thus has draws of its own, and the same seed gives the same ids again on any cluster. Without dropout the ids are the
+library's own.
+
+A segmentation follows from the word and from which of its pairs were skipped, so a worker keeps it under these two and answers
+with it only where an occurrence's own draws skip exactly the same pairs: the ids are those of an agenda run for each occurrence.
 
 Characters without a piece become their bytes, and so does a written U+2581, which stands for a blank inside pieces; decoding gives
 back every text byte for byte.
@@ -17,7 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +29,29 @@ from pyspark.sql import DataFrame
 
 from detframe.llm.common import byte_texts, column, rows
 
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-#: Words of which a worker keeps the ids, over all variants.
+DROPOUT, SEED = 0.1, 17
+#: Sample keys of occurrences, to list some segmentations of a word; encoding has a key for each occurrence.
+VARIANTS = 4
+#: Segmentations that a worker keeps.
 KEPT_WORDS = 800_000
 LONG_WORD = 48
+#: Draws made for all occurrences of a text at once; further ones are made when they are needed.
+DRAWS = 24
+MORE = 1 << DRAWS
 BLANK = "▁"
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 _NONE = 1 << 62
+_STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_FULL = 2**64 - 1
 _coders: dict[tuple, "PieceCoder"] = {}
 
 
-class _Variant(dict):
-    """Word -> ids as little-endian unsigned 16-bit integers."""
-
-    def __init__(self, coder: "PieceCoder", number: int):
-        super().__init__()
-        self.coder, self.number = coder, number
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS // VARIANTS:
-            self.clear()
-        found = self[word] = self.coder.word(word, self.number)
-        return found
-
-
 class PieceCoder:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.seed, self.limit = seed, min(2**64 - 1, int(dropout * 2**64))
-        self.skipped: dict[int, list[bytes]] = {}
         self.rank: dict[str, int] = {}
         self.ids: dict[str, bytes] = {}
         self.meant: list[bytes] = []
@@ -77,61 +72,72 @@ class PieceCoder:
             else:
                 self.rank[piece], self.ids[piece] = places[k], k.to_bytes(2, "little")
                 self.meant.append(piece.replace(BLANK, " ").encode())
-        self.variants = [_Variant(self, v) for v in range(VARIANTS)]
-
-    def hashed(self, variant: int, place: int, ranks: np.ndarray) -> np.ndarray:
-        """The keyed hash of the merges that give pieces of these ranks, at one place of a word."""
-        key = xxhash.xxh64_intdigest(b"%d %d %d" % (self.seed, variant, place))
-        x = (ranks.astype(np.uint64) + np.uint64(key)) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-    def skips(self, variant: int, place: int) -> bytes:
-        """For each rank 1 where its merge is skipped at this place."""
-        ranks = np.arange(max(self.rank.values(), default=0) + 1)
-        return (self.hashed(variant, place, ranks) < np.uint64(self.limit)).astype(np.uint8).tobytes()
-
-    def usual(self, variant: int) -> list[bytes]:
-        """``skips`` of all places of words up to ``LONG_WORD`` signs."""
-        if variant not in self.skipped:
-            self.skipped[variant] = [self.skips(variant, k) for k in range(LONG_WORD)]
-        return self.skipped[variant]
-
-    def skip(self, variant: int, place: int, rank: int) -> bool:
-        if place < LONG_WORD:
-            return self.usual(variant)[place][rank] == 1
-        return bool(self.hashed(variant, place, np.array([rank]))[0] < np.uint64(self.limit))
-
-    def merged(self, word: str, variant: int) -> list[str]:
-        """Pieces of a word. Its first sign is a blank; other blanks before the first letter were in the text too."""
+        self.plain: dict[str, bytes] = {}
+        #: Word -> [draws that its agenda asks for after the last skip, ids, the same again by the next pair that is skipped]
+        self.kept: dict[str, list] = {}
+        self.n_kept = 0
+
+    def occurrences(self, key: int, first: int, count: int) -> np.ndarray:
+        """Keys of the words ``first`` and following of the text of document ``key``."""
+        x = np.arange(first, first + count, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(b"%d %d" % (self.seed, key)))
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(33))
+
+    def draws(self, keys: np.ndarray) -> np.ndarray:
+        """The first ``DRAWS`` draws of each occurrence as bits, 1 for a skip; ``MORE`` is set."""
+        x = keys.reshape(-1, 1) + np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(_STEP)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(_MIX)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(_MIX)
+        x ^= x >> np.uint64(32)
+        bits = np.zeros((len(keys), 4), np.uint8)
+        bits[:, : DRAWS // 8] = np.packbits(x < np.uint64(self.limit), axis=1, bitorder="little")
+        return bits.view("<u4").ravel() | np.uint32(MORE)
+
+    def skip(self, key: int, n: int) -> bool:
+        """Draw ``n`` (from 0) of an occurrence."""
+        x = (key + (n + 1) * _STEP) & _FULL
+        x = ((x ^ (x >> 32)) * _MIX) & _FULL
+        x = ((x ^ (x >> 32)) * _MIX) & _FULL
+        return (x ^ (x >> 32)) < self.limit
+
+    def merged(self, word: str, key: int) -> list[str]:
+        """Pieces of a word at the occurrence ``key``. Its first sign is a blank; other blanks before the first letter were in the text too."""
+        if len(word) > LONG_WORD:
+            return self._merged_long(list(word), key)
+        return self._merged(word, key, int(self.draws(np.array([key], np.uint64))[0]) if self.limit else 0)[0]
+
+    def _merged(self, word: str, key: int, drawn: int) -> tuple[list[str], int, int]:
+        """Pieces, the pairs that were skipped (bit n for the n-th), and how many had their turn."""
         signs, rank = list(word), self.rank.get
-        if len(signs) > LONG_WORD:
-            return self._merged_long(signs, variant)
         waiting = [rank(a + b, _NONE) for a, b in zip(signs, signs[1:])]
-        starts = list(range(len(signs)))
-        skips = self.usual(variant) if self.limit else None
+        skipped, n = 0, -1
         while waiting:
             best = min(waiting)
             if best == _NONE:
                 break
             k = waiting.index(best)
-            if skips and skips[starts[k]][best]:
+            n += 1
+            if drawn >> n & 1 if n < DRAWS else self.skip(key, n):
+                skipped |= 1 << n
                 waiting[k] = _NONE
                 continue
             signs[k : k + 2] = [signs[k] + signs[k + 1]]
-            del waiting[k], starts[k + 1]
+            del waiting[k]
             if k:
                 waiting[k - 1] = rank(signs[k - 1] + signs[k], _NONE)
             if k < len(waiting):
                 waiting[k] = rank(signs[k] + signs[k + 1], _NONE)
-        return signs
+        return signs, skipped, n + 1
 
-    def _merged_long(self, signs: list[str], variant: int) -> list[str]:
+    def _merged_long(self, signs: list[str], key: int) -> list[str]:
         """The same with a heap: pairs by rank, then from the left; a pair that is no longer as it was is passed over."""
         n, rank = len(signs), self.rank.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         parts: list[str | None] = list(signs)
         agenda: list[tuple[int, int, str, str]] = []
+        turn = -1
 
         def propose(a: int, b: int) -> None:
             if a >= 0 and b >= 0 and (r := rank(parts[a] + parts[b])) is not None:
@@ -142,7 +148,10 @@ class PieceCoder:
         while agenda:
             r, a, left, right = heapq.heappop(agenda)
             b = after[a] if parts[a] == left else -1
-            if b < 0 or parts[b] != right or (self.limit and self.skip(variant, a, r)):
+            if b < 0 or parts[b] != right:
+                continue
+            turn += 1
+            if self.limit and self.skip(key, turn):
                 continue
             parts[a], parts[b] = left + right, None
             after[a] = after[b]
@@ -152,13 +161,46 @@ class PieceCoder:
             propose(a, after[a])
         return [x for x in parts if x is not None]
 
-    def word(self, word: str, variant: int) -> bytes:
-        known, out = self.ids, []
-        for piece in self.merged(word, variant):
-            found = known.get(piece)
+    def word(self, word: str, key: int) -> bytes:
+        """Ids of a word at the occurrence ``key``, as little-endian unsigned 16-bit integers."""
+        return self._ids(self.merged(word, key))
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        found = list(map(self.ids.get, pieces))
+        if None in found:
             # U+FFFF keeps the place of a written U+2581, see encode
-            out.append(found if found is not None else b"".join([self.bytes[b] for b in piece.replace("￿", BLANK).encode("utf-8", "surrogatepass")]))
-        return b"".join(out)
+            as_bytes = (b"".join([self.bytes[b] for b in x.replace("￿", BLANK).encode("utf-8", "surrogatepass")]) for x in pieces)
+            found = [other if x is None else x for x, other in zip(found, as_bytes)]
+        return b"".join(found)
+
+    def _unkept(self, word: str, key: int, drawn: int, path: int, put: Callable[[list], None]) -> bytes:
+        """Ids by an agenda of the occurrence itself; kept by ``put`` if it skips just the pairs of ``path``."""
+        if len(word) > LONG_WORD:
+            return self._ids(self._merged_long(list(word), key))
+        pieces, skipped, n = self._merged(word, key, drawn)
+        ids = self._ids(pieces)
+        if skipped == path and n <= DRAWS:
+            put([(1 << n) - (1 << path.bit_length()), ids, None])
+            self.n_kept += 1
+            if self.n_kept > KEPT_WORDS:
+                self.kept.clear()
+                self.n_kept = 0
+        return ids
+
+    def _next(self, node: list, hit: int, word: str, key: int, drawn: int) -> bytes:
+        """Ids where the draws ``hit`` skip pairs of a word's kept segmentation."""
+        path = 0
+        while hit:
+            low = hit & -hit
+            path |= low
+            if node[2] is None:
+                node[2] = {}
+            kids = node[2]
+            node = kids.get(low)
+            if node is None:
+                return self._unkept(word, key, drawn, path, lambda made: kids.__setitem__(low, made))
+            hit = drawn & node[0]
+        return node[1]
 
     def encode(self, text: str, key: int) -> bytes:
         """Ids of a text; ``key`` names the document."""
@@ -170,23 +212,38 @@ class PieceCoder:
             words = _WORD.findall(BLANK + text.replace(" ", BLANK))
         else:
             words = [BLANK + x for x in text.split(" ")]
-        return self._joined(words, key)
+        return self._joined(words, key, 0)
 
-    def _joined(self, words: list[str], key: int) -> bytes:
+    def _joined(self, words: list[str], key: int, first: int) -> bytes:
+        """Ids of the words that stand from place ``first`` on in the text of document ``key``."""
         if not self.limit:
-            return b"".join(map(self.variants[0].__getitem__, words))
-        places = np.arange(len(words), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(b"%d %d" % (self.seed, key)))
-        places = (places ^ (places >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        numbers = ((places >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
-        tables = self.variants
-        return b"".join([tables[v][w] for v, w in zip(numbers, words)])
+            return b"".join(map(self._plain, words))
+        keys = self.occurrences(key, first, len(words))
+        kept, out = self.kept, []
+        for k, (word, drawn) in enumerate(zip(words, self.draws(keys).tolist())):
+            node = kept.get(word)
+            if node is None:
+                out.append(self._unkept(word, int(keys[k]), drawn, 0, lambda made: kept.__setitem__(word, made)))
+            elif hit := drawn & node[0]:
+                out.append(self._next(node, hit, word, int(keys[k]), drawn))
+            else:
+                out.append(node[1])
+        return b"".join(out)
+
+    def _plain(self, word: str) -> bytes:
+        found = self.plain.get(word)
+        if found is None:
+            if len(self.plain) >= KEPT_WORDS:
+                self.plain.clear()
+            found = self.plain[word] = self.word(word, 0)
+        return found
 
     def _encode_marked(self, text: str, key: int) -> bytes:
         """A written U+2581 or U+FFFF is written as its bytes; what lies between is encoded as in one text."""
         parts = re.split(f"([{BLANK}￿])", BLANK + text.replace(" ", "\x00")) if "\x00" not in text else None
         if parts is None:  # no free sign to stand for the blank: byte by byte
             return self.ids[BLANK] + b"".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")])
-        out = []
+        out, place = [], 0
         for k, part in enumerate(parts[1:]):
             if k == 0:
                 out += [self.ids[BLANK]]
@@ -195,7 +252,8 @@ class PieceCoder:
                 out += [self.bytes[b] for b in part.encode()]
             elif part:
                 words = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", part.replace("\x00", BLANK))
-                out.append(self._joined(words, key + k))
+                out.append(self._joined(words, key, place))
+                place += len(words)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -42,6 +42,21 @@ def test_segmentations_vary_and_repeat():
     assert len(words) > 1
 
 
+def test_each_occurrence_has_draws_of_its_own():
+    coder = pieces.PieceCoder(PATH, 0.1, 3)
+    assert len({coder.encode("internationalization", key) for key in range(300)}) > 20
+    words = ["internationalization", "the", "antidisestablishmentarianism", "nationhood", "x" * 60, "été"] * 60
+    text, first = " ".join(words), []
+    for key in (1, 2, 1):
+        keys = coder.occurrences(key, 0, len(words)).tolist()
+        alone = [coder.word(pieces.BLANK + w, k) for w, k in zip(words, keys)]
+        assert coder.encode(text, key) == b"".join(alone)
+        first.append(alone)
+    assert first[0] == first[2] and len(set(first[0][::6])) > 10
+    plain = [PLAIN.word(pieces.BLANK + w, 0) for w in words]
+    assert any(a == b for a, b in zip(first[0], plain)) and first[0] != plain
+
+
 def test_rows(texts):
     rows = awkward()
     made = pieces.encode(frame(texts, rows), PATH, keep_ids=True)
