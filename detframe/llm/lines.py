@@ -8,7 +8,7 @@ the shortest ones within it that reach ``MIN_WORDS``, which have ``MIN_WORDS`` l
 log2(MIN_WORDS) rounds whatever the corpus, and overlapping deletions merge into the maximal runs.
 
 Lines are compared without blanks at their ends; a line without words belongs to the line before it. Words of a line are its parts
-between single blanks.
+between white space of any kind and length; a line of signs that only Unicode counts as blank has one.
 
 Defined cases: null text has no lines and stays null; null doc_ids come first; of equal rows the earlier in the table stays; a
 document that loses all its lines is left with an empty text (``dedup``) or goes (``drop_emptied``); an empty table stays empty;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from detframe.llm.common import stored
 
-MIN_WORDS = 50
+MIN_WORDS = 20
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -41,7 +41,8 @@ def lines_of(rows: DataFrame) -> DataFrame:
     """Lines with words: ``row``, ``doc_id``, ``pos`` (from 0, without gaps), ``words``, ``key``. No shuffle."""
     bare = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
     found = rows.select("row", "doc_id", F.posexplode(F.filter(bare, lambda x: x != "")).alias("pos", "line"))
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    # one at least, as windows of so many lines as words are enough then
+    words = F.greatest(F.regexp_count("line", F.lit(r"(?U)\S+")), F.lit(1))
     return found.select("row", "doc_id", "pos", words.alias("words"), F.unhex(F.md5("line")).alias("key"))
 
 

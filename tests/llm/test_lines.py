@@ -52,6 +52,14 @@ def test_passages_go_and_clean_documents_stay(texts):
         assert found[k].text.split("\n") == [t.split("\n")[0], t.split("\n")[3]] and [tuple(x) for x in found[k].removed] == [(1, 2)]
 
 
+def test_runs_of_twenty_words_by_white_space(texts):
+    words = lambda start, n, gap=" ": gap.join("w%d" % k for k in range(start, start + n))
+    runs = {"twenty": words(0, 12) + "\n" + words(12, 8), "nineteen": words(100, 19), "wide": words(200, 19, "   "), "mixed": words(300, 20, "\t\u3000"), "odd": "\u3000\n" + words(400, 19)}
+    docs = [(2 * k + n, "own %d %s\n%s\nend %d %s" % (n, name, run, n, name)) for k, (name, run) in enumerate(runs.items()) for n in (0, 1)]
+    found = {r.doc_id: [tuple(x) for x in r.removed] for r in lines.dedup(texts.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {k: [] for k in range(10)} | {1: [(1, 2)], 7: [(1, 1)], 9: [(1, 2)]}
+
+
 def test_awkward_rows_keep_their_columns(texts):
     docs = frame(texts, awkward())
     found = lines.dedup(docs, 5)
