@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detframe.llm import idfiles, jaccard, licences, lines, lm, packing, pieces, quality, topk, toxicity
+from detframe.llm import binfit, divergence, idfiles, jaccard, licences, lines, lm, oracles, packing, pieces, quality, topk, toxicity, turns
 from detframe.llm.common import table
 from detframe.llm.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -89,3 +90,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_piece_dropout")
 def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op11_source_divergence", oracles.DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_turn_repair", oracles.TURN_REPAIR)
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns_given = table(spark, sf_dir, "conversations")
+    return turns.digest(turns_given, turns.damage(turns_given))
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binfit.pack(table(spark, sf_dir, "documents"), WORD_BPE)
