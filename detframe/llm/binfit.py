@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from detframe.llm.common import byte_texts, column, rows, stored
+from detframe.llm.tokens import _byte_letters
 
 CAPACITY = 4096
 END = (1).to_bytes(4, "little")
@@ -41,14 +42,19 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and not word.islower() and word.isalpha():  # the vocabulary knows lower case only
-            found = self[word.lower()]
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():  # letters and signs are never one piece
+        packed = self.packed
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.lower().isalpha()):  # one piece of composed Latin letters
+            low = word.lower()  # the vocabulary knows lower case only
+            piece = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            found = self[low] if low != word else b"".join([packed[x.id] for x in self.merge(piece)])
+        elif word[-1:] in (".", ",") and word[:-1].isalpha() and word.lower()[:-1].isalpha():  # letters and signs are never one piece
             found = self[word[:-1]] + self[word[-1]]
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = b"".join([packed[x] for x in self.tokenizer.encode(word, add_special_tokens=False).ids])
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = found

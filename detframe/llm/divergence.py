@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from detframe.llm.common import byte_texts, column, stored
 
 LEAST_DOCS, TOP_TERMS = 10, 10
-FIRST_LEVEL, FILTER_BITS = 2, 1 << 25
+FIRST_LEVEL, FILTER_BITS = 4, 1 << 25
 #: Bytes of text put into one batch of term lists; terms in a block and sources in a tile of the comparison.
 TOGETHER, BLOCK_TERMS, TILE_SOURCES = 8 << 20, 4096, 64
 UNIT = 1_000_000_000
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 
-TERMS = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+#: Terms of a document end to end, with their lengths and counts as 32-bit integers: a row is three byte strings, not thousands of entries.
+TERMS = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("terms", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
@@ -45,24 +46,21 @@ def document_terms(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, first = byte_texts(column(batch, "text")), 0
             while first < len(texts):
-                last, size, terms, counts, ends = first, 0, [], [], [0]
+                last, size, made = first, 0, ([], [], [])
                 while last < len(texts) and size < TOGETHER:
                     found = Counter(TERM.findall(texts[last].lower()))
                     own = sorted(found)
-                    terms += own
-                    counts += [found[t] for t in own]
-                    ends.append(len(terms))
+                    made[0].append(b"".join(own))
+                    made[1].append(np.fromiter(map(len, own), "<i4", len(own)).tobytes())
+                    made[2].append(np.fromiter(map(found.__getitem__, own), "<i4", len(own)).tobytes())
                     size += len(texts[last])
                     last += 1
                 part = batch.slice(first, last - first)
-                offsets = pa.array(ends, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(byte_texts(column(part, "lang")), pa.binary()), pa.array(byte_texts(column(part, "source")), pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-                ], schema=TERMS)
+                names = [pa.array(byte_texts(column(part, n)), pa.binary()) for n in ("lang", "source")]
+                yield pa.RecordBatch.from_arrays([*names, *(pa.array(x, pa.binary()) for x in made)], schema=TERMS)
                 first = last
 
-    return docs.select("text", "lang", "source").mapInArrow(run, "lang binary, source binary, terms array<binary>, counts array<long>")
+    return docs.select("text", "lang", "source").mapInArrow(run, "lang binary, source binary, terms binary, sizes binary, counts binary")
 
 
 def _mark(lang: Column, term: Column) -> Column:
@@ -78,19 +76,39 @@ def filter_bits(found: DataFrame) -> np.ndarray:
     return made
 
 
-def _held(bits: np.ndarray, lang: pa.Array, term: pa.Array) -> pa.Array:
-    """Which terms are in the bit set: each different one is looked up once a batch."""
-    keys = pc.binary_join_element_wise(lang, term, pa.scalar(b"\x00", pa.binary())).dictionary_encode()
-    marks = np.fromiter((zlib.crc32(k) % (64 * len(bits)) for k in keys.dictionary.to_pylist()), np.int64, len(keys.dictionary))
-    known = (bits[marks >> 6] >> (marks & 63).astype(np.uint64)) & np.uint64(1)
-    return pa.array(known.astype(bool)[keys.indices.to_numpy()])
+def _joined(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column end to end, and how many each row has."""
+    values = column(batch, name)
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8), np.diff(ends)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Document number, language and term of every entry of a batch."""
-    lists = column(batch, "terms")
-    owner = pc.list_parent_indices(lists)
-    return owner, column(batch, "lang").take(owner), lists.flatten()
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Document number, length and bytes of every term of a batch."""
+    data, _ = _joined(batch, "terms")
+    packed, held = _joined(batch, "sizes")
+    sizes = packed.view(np.int32)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    terms = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return np.repeat(np.arange(len(held)), held // 4), sizes, terms
+
+
+def _codes(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Different values, and the place of each value among them."""
+    found = values.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
+def _held(bits: np.ndarray, langs: pa.Array, lang: np.ndarray, term: pa.Array) -> np.ndarray:
+    """Which terms of which languages (places in ``langs``) are in the bit set: each different one is looked up once a batch."""
+    terms, code = _codes(term)
+    pairs, place = _codes(pa.array(lang * len(terms) + code))
+    begun = [zlib.crc32(x + b"\x00") for x in langs.to_pylist()]
+    first, second = np.divmod(pairs.to_numpy(), max(1, len(terms)))
+    words = terms.take(pa.array(second)).to_pylist()
+    marks = np.fromiter((zlib.crc32(w, begun[x]) % (64 * len(bits)) for x, w in zip(first.tolist(), words)), np.int64, len(words))
+    return ((bits[marks >> 6] >> (marks & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)[place]
 
 
 def prefix_counts(terms: DataFrame, level: int, bits=None) -> DataFrame:
@@ -101,22 +119,26 @@ def prefix_counts(terms: DataFrame, level: int, bits=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, lang, term = _flat(batch)
+            owner, sizes, term = _flat(batch)
+            langs, own = _codes(column(batch, "lang"))
             if bits is not None:
-                longer = pc.greater(pc.binary_length(term), level // 2)
-                owner, lang, term = (x.filter(longer) for x in (owner, lang, term))
-                goes_on = _held(bits.value, lang, pc.binary_slice(term, 0, level // 2))
-                owner, lang, term = (x.filter(goes_on) for x in (owner, lang, term))
-            if not len(term):
+                longer = np.flatnonzero(sizes > level // 2)
+                owner, sizes, term = owner[longer], sizes[longer], term.take(pa.array(longer))
+                goes_on = np.flatnonzero(_held(bits.value, langs, own[owner], pc.binary_slice(term, 0, level // 2)))
+                owner, sizes, term = owner[goes_on], sizes[goes_on], term.take(pa.array(goes_on))
+            if not len(sizes):
                 continue
-            ended, key = pc.less_equal(pc.binary_length(term), level), pc.binary_slice(term, 0, level)
+            keys, code = _codes(pc.binary_slice(term, 0, level))
+            full = (own[owner] * len(keys) + code) * 2 + (sizes <= level)
             # terms of a document ascend, so equal prefixes are neighbours and one of them counts
-            same = pc.and_(pc.and_(pc.equal(owner[1:], owner[:-1]), pc.equal(key[1:], key[:-1])), pc.equal(ended[1:], ended[:-1]))
-            first = pa.concat_arrays([pa.array([True]), pc.invert(same)])
-            met = pa.table([lang, key, ended], ["lang", "term", "ended"]).filter(first).group_by(["lang", "term", "ended"]).aggregate([([], "count_all")])
-            yield from pa.table([met["lang"], met["term"], met["ended"], met["count_all"].cast(pa.int64())], ["lang", "term", "ended", "docs"]).combine_chunks().to_batches()
-
-    counted = terms.select("lang", "terms").mapInArrow(run, "lang binary, term binary, ended boolean, docs long")
+            first = np.concatenate([[True], (full[1:] != full[:-1]) | (owner[1:] != owner[:-1])])
+            met = pa.array(full[first]).value_counts()
+            pair, ended = np.divmod(met.field("values").to_numpy(), 2)
+            yield pa.RecordBatch.from_arrays([
+                langs.take(pa.array(pair // len(keys))), keys.take(pa.array(pair % len(keys))), pa.array(ended == 1), met.field("counts").cast(pa.int64()),
+            ], ["lang", "term", "ended", "docs"])
+
+    counted = terms.select("lang", "terms", "sizes").mapInArrow(run, "lang binary, term binary, ended boolean, docs long")
     return counted.groupBy("lang", "term", "ended").agg(F.sum("docs").alias("docs"))
 
 
@@ -141,11 +163,20 @@ def group_counts(terms: DataFrame, kept: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, lang, term = _flat(batch)
-            held = _held(bits.value, lang, term)
-            met = pa.table([lang, column(batch, "source").take(owner), term, column(batch, "counts").flatten()], ["lang", "source", "term", "n"]).filter(held)
-            summed = met.group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
-            yield from pa.table([summed[c] for c in ("lang", "source", "term", "n_sum")], ["lang", "source", "term", "n"]).combine_chunks().to_batches()
+            owner, _, term = _flat(batch)
+            counts = _joined(batch, "counts")[0].view(np.int32)
+            langs, lang = _codes(column(batch, "lang"))
+            sources, source = _codes(column(batch, "source"))
+            held = np.flatnonzero(_held(bits.value, langs, lang[owner], term))
+            owner, counts = owner[held], counts[held]
+            terms_met, code = _codes(term.take(pa.array(held)))
+            full = (lang[owner] * len(sources) + source[owner]) * len(terms_met) + code
+            summed = pa.table({"full": full, "n": counts.astype(np.int64)}).group_by("full").aggregate([("n", "sum")])
+            group, place = np.divmod(summed["full"].to_numpy(), max(1, len(terms_met)))
+            yield pa.RecordBatch.from_arrays([
+                langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), terms_met.take(pa.array(place)),
+                summed["n_sum"].combine_chunks(),
+            ], ["lang", "source", "term", "n"])
 
     counted = terms.mapInArrow(run, "lang binary, source binary, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return counted.join(kept, ["lang", "term"])
