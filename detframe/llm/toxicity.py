@@ -8,7 +8,8 @@ The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, those with th
 every document whole and shuffles nothing.
 
 Defined cases: null text is empty and gets the score of the intercept alone; without labelled documents of both kinds every
-score is 0 and nothing is predicted toxic; labels that are null are no labels; equal texts get equal scores.
+score is 0 and nothing is predicted toxic; labels that are null are no labels; a label given twice counts as toxic if one is;
+documents that share a labelled id all count, up to the bound; equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -149,20 +150,40 @@ def train(texts: list[bytes], toxic: list[int], swap_weight: float = SWAP_WEIGHT
     return Classifier(w.astype(np.float32), float(c))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> tuple[list[bytes], list[int]]:
-    """At most ``SAMPLE_DOCS`` labelled texts; with ``folds``, none whose fold is 0."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> DataFrame:
+    """``text`` and ``toxic`` of at most ``SAMPLE_DOCS`` labelled documents, in one partition; with ``folds``, none whose fold is 0."""
     usable = labels.filter("toxic is not null and doc_id is not null")
     if folds:
         usable = usable.filter(fold_column("doc_id", folds) != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    found = pick(docs, chosen, ("toxic",)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).toArrow()
-    return byte_texts(found.column("text").combine_chunks()), found.column("toxic").to_pylist()
+    return pick(docs, chosen, ("toxic",)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS) -> Classifier:
-    return train(*labelled_sample(docs, labels, folds))
+    """Trained in one task on the bounded sample; only the weights that are not zero come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        toxic: list[int] = []
+        for batch in batches:
+            texts += byte_texts(column(batch, "text"))
+            toxic += column(batch, "toxic").to_pylist()
+        if not texts:
+            return
+        model = train(texts, toxic)
+        if model.weights is not None:
+            used = np.flatnonzero(model.weights).astype(np.int32)
+            yield rows(WEIGHTS, intercept=[model.intercept], place=[used.tobytes()], weight=[model.weights[used].tobytes()])
+
+    found = labelled_sample(docs, labels, folds).mapInArrow(run, "intercept double, place binary, weight binary").collect()
+    if not found:
+        return Classifier()
+    weights = np.zeros(FEATURES, np.float32)
+    weights[np.frombuffer(found[0]["place"], np.int32)] = np.frombuffer(found[0]["weight"], np.float32)
+    return Classifier(weights, found[0]["intercept"])
 
 
+WEIGHTS = pa.schema([("intercept", pa.float64()), ("place", pa.binary()), ("weight", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
