@@ -29,7 +29,7 @@ from detframe.llm.tokens import encoded, in_order
 MAGIC = b"IDSHARD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("tokens", "<u8")])
 TAIL = "<QQB"
-#: The dictionary is trained on this many documents, the smallest by a hash of their ids and texts, and at most so many ids of each.
+#: The dictionary is trained on this many documents, the smallest by a hash of their ids and texts, and a window of so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1_000, 8_192, 65_536, 3
 
 
@@ -49,9 +49,10 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in byte_texts(column(batch, "text")):
-                # an id covers a byte at least, so so many bytes are enough for the sample's ids
-                for ids in encoded([text[: SAMPLE_IDS * 16]], path):
-                    yield pa.RecordBatch.from_arrays([pa.array([narrow(ids[: 4 * SAMPLE_IDS])[0]], pa.binary())], ["ids"])
+                # the window's place is a hash of the text, so all parts of long texts are alike likely
+                for ids in encoded([text], path):
+                    begin = zlib.crc32(text) % max(1, len(ids) // 4 - SAMPLE_IDS + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([narrow(ids[4 * begin : 4 * (begin + SAMPLE_IDS)])[0]], pa.binary())], ["ids"])
 
     sample = [bytes(r[0]) for r in keyed.orderBy("h").limit(SAMPLE_DOCS).mapInArrow(run, "ids binary").collect()]
     size = max(256, min(DICTIONARY_BYTES, sum(map(len, sample)) // 10))

@@ -2,7 +2,8 @@
 
 The vocabulary splits a text into pieces before it merges bytes, and a single space between two other characters always begins
 such a piece; so is a single line end a piece of its own. So a text may be cut before each of these; the library's model is asked once for each different part, and
-the worker keeps the answers. A text with other white space beside a space is cut only where the rule holds.
+the worker keeps the answers. A text with other white space beside a space is cut only where the rule holds. A written special
+token holds no white space and ends no part early, so the library's default holds: it becomes its own id.
 """
 
 from __future__ import annotations
@@ -71,7 +72,6 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         self.first = _Parts(tokenizer, "")
         self.later = _Parts(tokenizer, " ", self.first)
 

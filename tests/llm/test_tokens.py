@@ -12,7 +12,6 @@ from detframe.llm import idfiles, packing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def plain(text):
@@ -29,6 +28,11 @@ def test_parts_equal_whole(text):
     assert own(text) == plain(text)
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "a\n<|endoftext|>\nb", "x<|endoftext|>y. ", "a  <|endoftext|>\n\n<|endoftext|>", "a \n<|endoftext|>", "<|endoftext|><|endoftext|> c", "<|ENDOFTEXT|> <|endoftext"])
+def test_written_special_token(text):
+    assert own(text) == plain(text)
+
+
 def test_many_parts_forget(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_PARTS", 3)
     fresh = tokens.PartEncoder(PATH)
