@@ -243,8 +243,8 @@ for axis, column in (("horizontal", "cx"), ("vertical", "cy")):
     rest = ("y1", "y2") if column == "cx" else ("x1", "x2")
 
     @query(f"box_{axis[0]}flip", duck(
-        f"select n.image_id, cast(n.pos as bigint) pos, 1 - n.{column} {column}, n.{other}, {side} - c.{high} {low}, {side} - c.{low} {high}, "
-        f"c.{rest[0]}, c.{rest[1]} from ({NORM}) n join ({CORNERS}) c on n.image_id = c.image_id and n.pos = c.pos",
+        f"select image_id, cast(pos as bigint) pos, 1 - {column} {column}, {other}, {side} - {high} {low}, {side} - {low} {high}, {rest[0]}, {rest[1]} "
+        "from (select image_id, pos, (x+w/2)/640 cx, (y+h/2)/480 cy, x x1, y y1, x+w x2, y+h y2 from fx_gt)",
         ["fx_gt"], (), "cx cy x1 y1 x2 y2"))
     def _(f, axis=axis):
         yolo = geometry.flip_boxes(norm_boxes(f), axis).select("image_id", "pos", "cx", "cy")
@@ -344,16 +344,21 @@ def _(f):
 
 # ---- pairs and suppression --------------------------------------------------
 
+# All ordered pairs of an image's boxes from its list, so that a relation is read once.
+PAIRED = "select image_id, a, unnest(l) b from (select image_id, l, unnest(l) a from (select image_id, list(struct_pack({columns})) l from {table} group by image_id))"
+
+
 @query("gt_box_pairs", duck(
-    f"select * from (select a.image_id, cast(a.pos as bigint) l_pos, cast(b.pos as bigint) r_pos, {iou('a.', 'b.')} iou from fx_gt a join fx_gt b "
-    "on a.image_id = b.image_id and a.pos < b.pos) where iou > 0", ["fx_gt"], (), "iou"))
+    f"select image_id, cast(a.pos as bigint) l_pos, cast(b.pos as bigint) r_pos, iou from (select image_id, a, b, {iou('a.', 'b.')} iou from "
+    f"({PAIRED.format(columns='pos := pos, x := x, y := y, w := w, h := h', table='fx_gt')}) where a.pos < b.pos) where iou > 0", ["fx_gt"], (), "iou"))
 def _(f):
     return as_big(pairs.box_pairs(f("fx_gt")).select("image_id", "l_pos", "r_pos", "iou"), "l_pos", "r_pos")
 
 
 DUPLICATES = (
-    f"select * from (select a.image_id, a.class_id, a.pos l_pos, b.pos r_pos, {iou('a.', 'b.')} iou from fx_raw a join fx_raw b "
-    "on a.image_id = b.image_id and a.class_id = b.class_id and a.pos < b.pos) where iou > 0.5"
+    f"select image_id, a.class_id class_id, a.pos l_pos, b.pos r_pos, iou from (select image_id, a, b, {iou('a.', 'b.')} iou from "
+    f"({PAIRED.format(columns='pos := pos, class_id := class_id, x := x, y := y, w := w, h := h', table='fx_raw')}) "
+    "where a.class_id = b.class_id and a.pos < b.pos) where iou > 0.5"
 )
 
 
