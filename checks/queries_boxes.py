@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 
 from checks.fixtures import NUM_CLASSES
@@ -9,6 +13,7 @@ from checks.registry import cte_nms, duck, iou, query, score_text
 from detframe.functions import buckets, geometry, scores
 from detframe.functions.scoring import batch_score
 from detframe.operators import augment, decode, pairs, sampling, suppress
+from detframe.session import work_dir
 from detframe.sources import labels
 
 BIG = "cast({0} as bigint) {0}"
@@ -49,6 +54,44 @@ def _(f):
     return as_big(parsed(f), "pos", "class_id")
 
 
+def folder_of(f, rows, name: str, suffix: str) -> str:
+    """A new folder with one file for each row (``image_id``, ``body``)."""
+    folder = f"{work_dir(f.spark)}/detframe/{name}-{uuid.uuid4().hex}"
+    system, root = arrow_fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+
+    def write(batches):
+        here, at = arrow_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for image_id, body in zip(*(batch.column(n).to_pylist() for n in ("image_id", "body"))):
+                with here.open_output_stream(f"{at}/{image_id}.{suffix}") as out:
+                    out.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("image_id", F.col("body").cast("binary").alias("body")).mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+@query("read_label_files", duck(
+    "select image_id, cast(pos as bigint) pos, cast(class_id as bigint) class_id, cx, cy, w, h from parsed",
+    ["fx_labels"], LABEL_CTES, "cx cy w h"))
+def _(f):
+    # one file for each image, empty ones included, written to the shared folder and read back
+    folder = folder_of(f, f("fx_labels").withColumn("body", F.coalesce("label_text", F.lit(""))), "label-files", "txt")
+    files = labels.read_label_files(f.spark, folder).withColumn("image_id", F.col("stem").cast("bigint")).drop("path", "stem")
+    return as_big(labels.parse_labels(files, NUM_CLASSES), "pos", "class_id")
+
+
+@query("read_image_sizes", duck("select image_id, cast(width as bigint) width, cast(height as bigint) height from fx_images", ["fx_images"]))
+def _(f):
+    # the first bytes of a bitmap hold its sizes, least byte first
+    number = lambda c: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(255)), 2, "0")) for k in range(4)])
+    body = F.concat(F.lit(b"BM" + bytes(16)), number(F.col("width")), number(F.col("height")))
+    folder = folder_of(f, f("fx_images").withColumn("body", body), "image-files", "bmp")
+    sizes = labels.image_sizes(f.spark, folder)
+    return as_big(sizes.select(F.col("stem").cast("bigint").alias("image_id"), "width", "height"), "width", "height")
+
+
 @query("scan_labels_strict", duck(
     "select image_id, cast(pos as bigint) pos, cast(cast(cast(p[1] as double) as int) as bigint) class_id, cast(p[2] as double) cx, "
     "cast(p[3] as double) cy, cast(p[4] as double) w, cast(p[5] as double) h from parts where len(p) >= 5",

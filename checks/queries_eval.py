@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import NUM_CLASSES
 from checks.queries_boxes import NORM, as_big, norm_boxes
-from checks.registry import cte_ap, cte_curve, cte_match, cte_nms, cte_rows, duck, iou, query
+from checks.registry import ORACLES, cte_ap, cte_curve, cte_match, cte_nms, cte_rows, duck, iou, query
 from detframe.functions.conditions import CONDITIONS
 from detframe.operators import compare, curves, match, profile, suppress
 from detframe.plans import evaluation, robustness, sweep
@@ -132,6 +132,17 @@ def _(f):
     return as_big(evaluation.evaluate_model(f("fx_raw"), f("fx_gt"), f("fx_classes"), NUM_CLASSES)[1], "class_id")
 
 
+def by_file(f, name: str):
+    """A relation with the image file's name as its image key."""
+    named = f("fx_images").select("image_id", "image_file")
+    return f(name).join(named, "image_id").drop("image_id").withColumnRenamed("image_file", "image_id")
+
+
+@query("evaluate_model_by_file", ORACLES["evaluate_model"])
+def _(f):
+    return as_big(evaluation.evaluate_model(by_file(f, "fx_raw"), by_file(f, "fx_gt"), f("fx_classes"), NUM_CLASSES)[1], "class_id")
+
+
 MODELS = [
     "det1 as (select * from fx_raw where score > 0.5)", "det2 as (select * from fx_raw2 where score > 0.5)",
     *cte_nms([0.4], "det1", "ka"), *cte_nms([0.4], "det2", "kb"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from detframe.functions.scores import conform
 from detframe.operators.ranking import running_totals
@@ -90,9 +91,10 @@ def average_precision(curves: DataFrame, classes: DataFrame, points: int = 11, b
     return classes.join(ap, groups, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-# Score buckets above and below zero, and image buckets of the rows scored exactly zero.
+# Score buckets above and below zero, and image buckets of the rows scored exactly zero (for keys that are no numbers: marks between buckets).
 SCORE_BUCKETS = 4096
 TIE_BUCKETS = 256
+TIE_MARKS = 63
 
 
 def _score_bucket(score: Column) -> Column:
@@ -102,12 +104,22 @@ def _score_bucket(score: Column) -> Column:
     return F.when(score > 0, up).when(score < 0, down).otherwise(0).cast("int")
 
 
-def _tie_bucket() -> Column:
-    """Order-keeping bucket of the image, the first tie key."""
+def _tie_bucket(numeric: bool) -> Column:
+    """Order-keeping bucket of the image, the first tie key: by its distance from the first number, or by the marks it has reached."""
+    if not numeric:
+        return F.size(F.filter(F.col("_b.marks"), lambda m: m <= F.col("image_id")))
     span = (F.col("_b.last") - F.col("_b.first") + 1).cast("double")
     return F.floor((F.col("image_id") - F.col("_b.first")) / span * TIE_BUCKETS).cast("int")
 
 
+def _tie_bounds(rows: DataFrame, numeric: bool) -> list[Column]:
+    """What :func:`_tie_bucket` needs; marks are the images with the smallest hashes, so they fall evenly into any kind of key."""
+    if numeric:
+        return [F.min("image_id").alias("first"), F.max("image_id").alias("last")]
+    marks = rows.select("image_id").distinct().orderBy(F.xxhash64("image_id"), "image_id").limit(TIE_MARKS)
+    return [F.first(marks.agg(F.array_sort(F.collect_list("image_id"))).scalar()).alias("marks")]
+
+
 def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
     """The curve points that can decide an interpolated AP, without sorting the whole curve.
 
@@ -124,20 +136,18 @@ def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=())
     from the full curve.
     """
     groups = [*by, "class_id"]
+    numeric = isinstance(rows.schema["image_id"].dataType, NumericType)
     bounds = rows.agg(
-        F.struct(
-            F.max(F.array_max("scores")).alias("high"), F.min(F.array_min("scores")).alias("low"),
-            F.min("image_id").alias("first"), F.max("image_id").alias("last"),
-        )
+        F.struct(F.max(F.array_max("scores")).alias("high"), F.min(F.array_min("scores")).alias("low"), *_tie_bounds(rows, numeric))
     ).scalar()
     tagged = rows.withColumn("_b", bounds)
     keep = [*by, "image_id", "kind", "det_score", "pos", "y_true"]
     spread = tagged.where(F.col("kind") == 0).select(*keep, "_b", F.posexplode(conform(F.col("scores"), num_classes)).alias("class_id", "score"))
     found = spread.select(
         *keep, "class_id", "score", _score_bucket(F.col("score")).alias("b1"),
-        F.when(F.col("score") == 0, _tie_bucket()).otherwise(0).alias("b2"),
+        F.when(F.col("score") == 0, _tie_bucket(numeric)).otherwise(0).alias("b2"),
     )
-    missed = tagged.where(F.col("kind") == 1).select(*keep, _tie_bucket().alias("b2"))
+    missed = tagged.where(F.col("kind") == 1).select(*keep, _tie_bucket(numeric).alias("b2"))
     hit = (F.col("y_true") == F.col("class_id")).cast("bigint")
 
     ids = F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1)))

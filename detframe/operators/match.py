@@ -133,6 +133,60 @@ def match_detections(
     return matched.unionAll(_match_hot(materialize(hot_d, "dets"), materialize(hot_t, "truth"), iou_threshold, hot))
 
 
+# Runs that fit a bit set of one long.
+MOST_RUNS = 63
+
+
+def run_mask(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Different rows of ``keys`` with ``mask``, the bits of the ``run`` numbers they occur in."""
+    return rows.groupBy(*keys).agg(F.expr("bit_or(shiftleft(1L, run))").alias("mask"))
+
+
+def _of_run(candidates: Column, run: int) -> Column:
+    bit = F.lit(1 << run).cast("bigint")
+    return F.filter(candidates, lambda c: c["mask"].bitwiseAND(bit) != 0)
+
+
+def match_runs(
+    detections: DataFrame, ground_truth: DataFrame, runs: int, iou_threshold: float = 0.5, limit: int = LIMIT
+) -> DataFrame:
+    """Matches of many runs from one pairing: ``(image_id, run, pos, gt_pos, gt_class, iou)``.
+
+    ``detections`` carry ``run``, a number from 0; so may ``ground_truth``, else all runs share it. A box that several runs hold is
+    one row with a bit set of runs and is paired once; each run folds the candidates whose both sides it holds.
+    """
+    if runs > MOST_RUNS:
+        raise ValueError(f"at most {MOST_RUNS} runs share one pairing")
+    dets = detections.withColumn("pos", F.col("pos").cast("int"))
+    truth = ground_truth.withColumn("pos", F.col("pos").cast("int"))
+    own = "run" in truth.columns
+    every = F.lit((1 << runs) - 1).cast("bigint")
+    left = run_mask(dets, ["image_id", "pos", "score", *BOX])
+    right = run_mask(truth, ["image_id", "pos", "class_id", *BOX]) if own else truth.select("image_id", "pos", "class_id", *BOX, every.alias("mask"))
+    hot = hot_images(left, right, limit=limit)
+    cool_l, _ = split_hot(left, hot)
+    cool_r, _ = split_hot(right, hot)
+    shared = F.col("l_mask").bitwiseAND(F.col("r_mask"))
+    pairs = overlapping_pairs(cool_l, cool_r, lambda: F.col("l_mask").bitwiseAND(F.col("r_mask")) != 0, iou_threshold, strict=False)
+    candidate = F.struct(
+        (-F.col("l_score")).alias("by_score"), F.col("l_pos").alias("pos"), (-F.col("iou")).alias("by_iou"), F.col("r_pos").alias("gt_pos"),
+        F.col("r_class_id").cast("int").alias("gt_class"), "iou", shared.alias("mask"),
+    )
+    grouped = pairs.groupBy("image_id").agg(F.array_sort(F.collect_list(candidate)).alias("c"))
+    folded = F.array(*[F.struct(F.lit(r).alias("run"), _fold(_of_run(F.col("c"), r)).alias("found")) for r in range(runs)])
+    found = grouped.select("image_id", F.explode(folded).alias("r")).select("image_id", "r.run", F.explode("r.found").alias("m")).select("image_id", "run", "m.*")
+    if hot is None:
+        return found
+    # images too big for one task: run and image together are one image there
+    spread = truth if own else truth.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    key = F.struct("image_id", "run")
+    big = match_detections(
+        dets.join(hot.select("image_id"), "image_id", "left_semi").withColumn("image_id", key),
+        spread.join(hot.select("image_id"), "image_id", "left_semi").withColumn("image_id", key), iou_threshold, limit,
+    )
+    return found.unionByName(big.select("image_id.image_id", "image_id.run", "pos", "gt_pos", "gt_class", "iou"))
+
+
 def missed_ground_truth(ground_truth: DataFrame, matches: DataFrame) -> DataFrame:
     """Ground-truth rows no detection took."""
     taken = matches.select("image_id", F.col("gt_pos").alias("pos"))

@@ -143,21 +143,27 @@ def box_pairs(boxes: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def duplicate_pairs(detections: DataFrame, iou_threshold: float = 0.5, by=(), limit: int = LIMIT) -> DataFrame:
+def duplicate_pairs(detections: DataFrame, iou_threshold: float = 0.5, by=(), limit: int = LIMIT, mask: str | None = None) -> DataFrame:
     """Same-class pairs of detections with IoU strictly above the threshold.
 
-    ``by`` names further columns (a run, a threshold) that must be equal too.
+    ``by`` names further columns (a run, a threshold) that must be equal too; ``mask`` a bit set (of runs) that both must share
+    bits of, and pairs have what they share.
     """
-    narrow = detections.select("image_id", "pos", "class_id", *by, *BOX)
+    bits = [mask] if mask else []
+    narrow = detections.select("image_id", "pos", "class_id", *by, *bits, *BOX)
 
     def same_class() -> Column:
         condition = (F.col("l_class_id") == F.col("r_class_id")) & (F.col("l_pos") < F.col("r_pos"))
         for name in by:
             condition = condition & (F.col(f"l_{name}") == F.col(f"r_{name}"))
+        for name in bits:
+            condition = condition & (F.col(f"l_{name}").bitwiseAND(F.col(f"r_{name}")) != 0)
         return condition
 
     pairs = overlapping_pairs(narrow, narrow, same_class, iou_threshold, hot=hot_images(narrow, limit=limit, by=by))
     renamed = {f"l_{name}": name for name in ("class_id", *by)}
+    for name in bits:
+        pairs = pairs.withColumn(name, F.col(f"l_{name}").bitwiseAND(F.col(f"r_{name}"))).drop(f"l_{name}", f"r_{name}")
     return pairs.withColumnsRenamed(renamed).drop(*[f"r_{n}" for n in ("class_id", *by)])
 
 

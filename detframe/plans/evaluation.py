@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detframe.operators.compare import per_class_counts, run_frame
+from detframe.operators.compare import run_frame
 from detframe.operators.curves import average_precision_of, mean_average_precision
-from detframe.operators.match import label_rows, match_detections
+from detframe.operators.match import label_rows, match_runs
 from detframe.operators.pairs import LIMIT
 from detframe.operators.suppress import suppress
 from detframe.session import materialize
@@ -25,17 +25,57 @@ def runs_table(like: DataFrame, key: str, values: Sequence) -> DataFrame:
     return like.sparkSession.range(1).select(F.explode(options).alias(key))
 
 
-def _run_images(df: DataFrame, key: str, values: Sequence, truth: bool) -> DataFrame:
-    """One image key (image, run) of any image id, so per-image operators see one image per run; keys sort by image, then run.
+def _numbered(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """``run``, the place of the row's key in ``values``; rows of runs that are not there are left out."""
+    options = F.array(*[F.lit(v) for v in values])
+    return df.withColumn("run", F.array_position(options, F.col(key)).cast("int") - 1).where("run >= 0")
+
 
-    Rows of runs that are not in ``values`` are left out.
+def run_rows(
+    detections: DataFrame, ground_truth: DataFrame, num_classes: int, key: str, values: Sequence, iou_threshold: float = 0.5,
+    eval_type: str = "combined", limit: int = LIMIT,
+) -> DataFrame:
+    """Stored evaluation rows of every run, with ``key``. Boxes are paired once for all runs, see :func:`match_runs`.
+
+    Rows depend on their image alone, so those of a subset of images are a filter of these.
     """
     options = F.array(*[F.lit(v) for v in values])
-    if truth and key not in df.columns:
-        df = df.select("*", F.posexplode(options).alias("_at", key))
-    else:
-        df = df.withColumn("_at", F.array_position(options, F.col(key)).cast("int") - 1).where("_at >= 0")
-    return df.withColumn("image_id", F.struct("image_id", F.col("_at").alias("run"))).drop("_at")
+    dets = _numbered(detections, key, values)
+    truth = _numbered(ground_truth, key, values) if key in ground_truth.columns else ground_truth
+    matches = match_runs(dets, truth, len(values), iou_threshold, limit).withColumn(key, F.get(options, F.col("run"))).drop("run")
+    if key not in ground_truth.columns:
+        truth = truth.withColumn(key, F.explode(options))
+    return materialize(label_rows(dets, truth, matches, num_classes, eval_type, [key], zeros=False), "eval-rows")
+
+
+def summarise_runs(
+    rows: DataFrame, detections: DataFrame, ground_truth: DataFrame, classes: DataFrame, num_classes: int, key: str, values: Sequence,
+    points: int = 11,
+) -> tuple[DataFrame, DataFrame]:
+    """``(summary, per_class)`` of every run from its evaluation rows and the tables they were made of."""
+    by = [key]
+    dets = _numbered(detections, key, values)
+    runs = runs_table(detections, key, values)
+    ap = average_precision_of(rows, run_frame(runs, classes), num_classes, points, by)
+    shared = key not in ground_truth.columns
+    # a truth that all runs share is counted once, then given to each
+    truth = ground_truth.groupBy("class_id").agg(F.count("*").alias("n")) if shared else _numbered(ground_truth, key, values).groupBy(key, "class_id").agg(F.count("*").alias("n"))
+    truth = materialize(truth.withColumn(key, F.explode(F.array(*[F.lit(v) for v in values]))) if shared else truth, "truth-counts")
+    found = dets.groupBy(key, "class_id").agg(F.count("*").alias("n"))
+    counts = run_frame(runs, classes).join(truth.withColumnRenamed("n", "ground_truth_count"), [key, "class_id"], "left").join(
+        found.withColumnRenamed("n", "prediction_count"), [key, "class_id"], "left"
+    )
+    zero = F.lit(0).cast("bigint")
+    counts = counts.select(key, "class_id", *[F.coalesce(F.col(c), zero).alias(c) for c in ("ground_truth_count", "prediction_count")])
+    per_class = materialize(ap.join(counts, [key, "class_id"]), "per-class")
+    row_counts = rows.groupBy(key).agg(F.count("*").alias("evaluation_rows"))
+    boxes = truth.groupBy(key).agg(F.sum("n").alias("ground_truth"))
+    predictions = found.groupBy(key).agg(F.sum("n").alias("predictions"))
+    summary = (
+        mean_average_precision(per_class, by).join(boxes, key, "left").join(predictions, key, "left").join(row_counts, key, "left")
+        .withColumns({c: F.coalesce(F.col(c), zero) for c in ("ground_truth", "predictions", "evaluation_rows")})
+    )
+    return summary, per_class
 
 
 def evaluate_runs(
@@ -53,31 +93,10 @@ def evaluate_runs(
     """``(summary, per_class)`` of every run.
 
     ``detections`` carry ``key``; ``ground_truth`` carries it too, or is shared
-    by all runs.
+    by all runs. Images may have keys of any type that can be ordered.
     """
-    by = [key]
-    dets = _run_images(detections, key, values, truth=False)
-    truth = _run_images(ground_truth, key, values, truth=True)
-    matches = match_detections(dets, truth, iou_threshold, limit)
-    matches = matches.withColumn(key, F.get(F.array(*[F.lit(v) for v in values]), F.col("image_id.run")))
-    labelled = label_rows(dets, truth, matches, num_classes, eval_type, by, zeros=False)
-    rows = materialize(labelled.withColumn("image_id", F.col("image_id.image_id")), "eval-rows")  # the run has its own column
-    runs = runs_table(detections, key, values)
-    frame = run_frame(runs, classes)
-    ap = average_precision_of(rows, frame, num_classes, points, by)
-    counts = per_class_counts(classes, dets, truth, runs)
-    per_class = materialize(
-        ap.join(counts.select(key, "class_id", "ground_truth_count", "prediction_count"), [key, "class_id"]), "per-class"
-    )
-    row_counts = rows.groupBy(key).agg(F.count("*").alias("evaluation_rows"))
-    boxes = truth.groupBy(key).agg(F.count("*").alias("ground_truth"))
-    found = dets.groupBy(key).agg(F.count("*").alias("predictions"))
-    zero = F.lit(0).cast("bigint")
-    summary = (
-        mean_average_precision(per_class, by).join(boxes, key, "left").join(found, key, "left").join(row_counts, key, "left")
-        .withColumns({c: F.coalesce(F.col(c), zero) for c in ("ground_truth", "predictions", "evaluation_rows")})
-    )
-    return summary, per_class
+    rows = run_rows(detections, ground_truth, num_classes, key, values, iou_threshold, eval_type, limit)
+    return summarise_runs(rows, detections, ground_truth, classes, num_classes, key, values, points)
 
 
 def evaluate_model(

@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from detframe.functions.geometry import center_to_xywh
+from detframe.sources.files import PARTITION_BYTES, PARTITION_FILES, ImageHeaders, LabelFiles, read_files
 
 
 def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
-def read_label_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per label file: ``path, stem, label_text``. An empty file keeps its row."""
-    # The text and binary sources leave out files of length zero, which here are images without objects;
-    # the whole-file reader keeps them.
-    files = spark.sparkContext.wholeTextFiles(f"{folder.rstrip('/')}/*.txt").toDF("path string, label_text string")
-    return files.select("path", _stem(F.col("path")).alias("stem"), "label_text")
+def read_label_files(spark: SparkSession, folder: str, most_bytes: int = PARTITION_BYTES, most_files: int = PARTITION_FILES) -> DataFrame:
+    """One row per label file: ``path, stem, label_text``. An empty file keeps its row; partitions follow bytes and number of files."""
+    return read_files(spark, LabelFiles, folder, "*.txt", most_bytes, most_files)
 
 
 def list_images(spark: SparkSession, folder: str, glob: str = "*.jpg") -> DataFrame:
@@ -26,12 +24,19 @@ def list_images(spark: SparkSession, folder: str, glob: str = "*.jpg") -> DataFr
     return files.withColumn("stem", _stem(F.col("path")))
 
 
-def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Height and width of every readable image; unreadable files are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return images.select(F.col("image.origin").alias("path"), "image.width", "image.height").withColumn(
-        "stem", _stem(F.col("path"))
-    )
+def image_headers(spark: SparkSession, folder: str, glob: str = "*", most_files: int = PARTITION_FILES) -> DataFrame:
+    """``path, stem, width, height`` of every matching file by its first bytes; unreadable files have null sizes."""
+    return read_files(spark, ImageHeaders, folder, glob, most_files=most_files)
+
+
+def image_sizes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """Height and width of every readable image; unreadable files are left out (:func:`unreadable_images` counts them)."""
+    return image_headers(spark, folder, glob).where("width is not null")
+
+
+def unreadable_images(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """One row: ``unreadable``, the files of a folder that hold no image."""
+    return image_headers(spark, folder, glob).agg(F.count_if(F.col("width").isNull()).alias("unreadable"))
 
 
 def pair_by_stem(images: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

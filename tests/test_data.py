@@ -1,6 +1,7 @@
 """Order statistics, samples, profiles, sources and tables."""
 
 import statistics
+import struct
 
 import numpy as np
 from hashlib import md5
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions import buckets
 from detframe.operators import profile, ranking, sampling
+from detframe.sources import files as sources
 from detframe.sources import frames, labels, tables
 
 
@@ -130,12 +132,46 @@ def test_label_files(spark, tmp_path):
     assert {r.stem for r in files.collect()} == {"a", "b", "c"}
     got = labels.parse_labels(files, 20).orderBy("pos").select("stem", "pos", "class_id", "h").collect()
     assert [tuple(r) for r in got] == [("a", 0, 1, 0.2), ("a", 4, 2, 0.4)]
-    with pytest.raises(Exception, match="fewer than five"):
+    with pytest.raises(Exception, match="without five or more numbers"):
         labels.parse_labels_strict(files).collect()
     paired, missing = labels.pair_by_stem(labels.list_images(spark, str(tmp_path)), files.drop("path"))
     assert {r.stem for r in paired.collect()} == {"a", "b"} and [r.stem for r in missing.collect()] == ["d"]
 
 
+def test_label_folder_is_dealt_by_files_and_bytes(spark, tmp_path):
+    for k in range(10_000):
+        (tmp_path / f"{k:05d}.txt").write_text("" if k % 3 else "1 0.1 0.2 0.3 0.4\n")
+    files = labels.read_label_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 3
+    assert labels.read_label_files(spark, str(tmp_path), most_files=700).rdd.getNumPartitions() == 15
+    got = files.selectExpr("count(*) n", "count(distinct stem) stems", "count_if(label_text = '') blank").first()
+    assert tuple(got) == (10_000, 10_000, 6_666)
+    assert labels.parse_labels(files, 20).count() == 3_334
+    assert sources.dealt([("a", 50), ("b", 60 << 20), ("c", 70 << 20), ("d", 1)]) == [["a", "b"], ["c"], ["d"]]
+    with pytest.raises(FileNotFoundError):
+        labels.read_label_files(spark, str(tmp_path / "none"))
+
+
+def test_image_sizes_from_headers(spark, tmp_path):
+    def segment(mark, body):
+        return bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
+
+    frame_head = segment(0xC2, struct.pack(">BHHB", 8, 480, 640, 3) + b"\x00" * 9)
+    images = {
+        "a.png": b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 31, 17) + b"\x08\x02\x00\x00\x00",
+        "b.gif": b"GIF89a" + struct.pack("<HH", 9, 4) + b"\x00" * 3,
+        "c.bmp": b"BM" + b"\x00" * 16 + struct.pack("<ii", 12, -7),
+        "d.jpg": b"\xff\xd8" + segment(0xE0, b"JFIF\x00" + b"\x00" * 9) + b"\xff" + frame_head + b"junk",
+        "e.jpg": b"\xff\xd8" + segment(0xE1, b"\x00" * 60_000) + segment(0xC4, b"\x01" * 20) + frame_head,
+        "f.jpg": b"\xff\xd8\xff", "g.txt": b"not an image", "h.png": b"",
+    }
+    for name, data in images.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.stem: (r.width, r.height) for r in labels.image_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a": (31, 17), "b": (9, 4), "c": (12, 7), "d": (640, 480), "e": (640, 480)}
+    assert labels.unreadable_images(spark, str(tmp_path)).first().unreadable == 3
+
+
 def test_class_file(spark, tmp_path):
     path = tmp_path / "names"
     path.write_text("box\n\n van \n")

@@ -1,11 +1,13 @@
 """Guards against lost rows, keys of any kind, resumable streams, label text as written."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from detframe.functions.buckets import parse_list
-from detframe.operators import augment, pairs
-from detframe.plans.evaluation import evaluate_runs
+from detframe.operators import augment, match, pairs
+from detframe.plans.evaluation import evaluate_model, evaluate_runs
 from detframe.plans.miner import HardNegativeMiner
 from detframe.sources import labels
 from detframe.streaming import frames
@@ -102,3 +104,37 @@ def test_miner_builds_its_table_once(spark):
     assert [r.image_id for r in miner.hardest(2, "loc_loss").collect()] == [5, 4] and miner.hardest(3).count() == 3
     with pytest.raises(KeyError):
         miner.hardest(1, "nothing")
+
+
+@pytest.mark.parametrize("limit", [1024, 3])
+def test_many_runs_from_one_pairing(spark, limit):
+    """Runs with shared and with own boxes and truths, ordinary and large images: each as if it were matched alone."""
+    rng = random.Random(limit)
+    box = lambda: [float(rng.randrange(0, 40)), float(rng.randrange(0, 40)), float(rng.randrange(5, 30)), float(rng.randrange(5, 30))]
+    shared = {(i, p): box() for i in ("a.jpg", "b.jpg", "c.jpg") for p in range(7)}
+    dets = [(run, i, p, rng.choice([0.6, 0.7, 0.9]), *(b if rng.random() < 0.7 else box())) for run in range(3) for (i, p), b in shared.items() if rng.random() < 0.8]
+    truth = [(run, i, p, p % 2, *(b if p % 3 else box())) for run in range(3) for (i, p), b in shared.items()]
+    d = spark.createDataFrame(dets, "run int, image_id string, pos int, score double, x double, y double, w double, h double")
+    t = spark.createDataFrame(truth, "run int, image_id string, pos int, class_id int, x double, y double, w double, h double")
+    for own in (t, t.where("run = 1").drop("run")):
+        got = sorted(tuple(r) for r in match.match_runs(d, own, 3, 0.3, limit).select("run", "image_id", "pos", "gt_pos", "gt_class", "iou").collect())
+        want = []
+        for run in range(3):
+            alone = own.where(F.col("run") == run) if "run" in own.columns else own
+            want += [(run, *r) for r in match.match_detections(d.where(F.col("run") == run), alone, 0.3).select("image_id", "pos", "gt_pos", "gt_class", "iou").collect()]
+        assert got == sorted(want) and len(got) > 10
+    with pytest.raises(ValueError):
+        match.match_runs(d, t, 64)
+
+
+def test_value_is_the_same_for_any_image_key(spark):
+    rng = random.Random(11)
+    rows = [(i, p, p % 3, float(rng.randrange(60)), float(rng.randrange(60)), 20.0, 20.0, rng.choice([0.0, 0.55, 0.6, 0.9]), [rng.choice([0.0, 0.5, 0.9]) for _ in range(3)]) for i in range(80) for p in range(4)]
+    raw = spark.createDataFrame(rows, "image_id long, pos int, class_id int, x double, y double, w double, h double, score double, cs array<double>")
+    truth = raw.where("pos < 3").select("image_id", "pos", "class_id", (F.col("x") + 2).alias("x"), "y", "w", "h")
+    classes = spark.createDataFrame([(k, f"c{k}") for k in range(3)], "class_id int, class_name string")
+    text = lambda df: df.withColumn("image_id", F.format_string("img_%04d.jpg", "image_id"))
+    pair = lambda df: df.withColumn("image_id", F.struct((F.col("image_id") % 7).alias("folder"), "image_id"))
+    found = [sorted(tuple(r) for r in evaluate_model(f(raw), f(truth), classes, 3)[1].select("class_id", "ap", "prediction_count").collect()) for f in (lambda df: df, text)]
+    assert found[0] == found[1] and any(0 < ap < 1 for _, ap, _ in found[0])
+    assert len(evaluate_model(pair(raw), pair(truth), classes, 3)[1].collect()) == 3
