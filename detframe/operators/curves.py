@@ -112,12 +112,19 @@ def _tie_bucket(numeric: bool) -> Column:
     return F.floor((F.col("image_id") - F.col("_b.first")) / span * TIE_BUCKETS).cast("int")
 
 
-def _tie_bounds(rows: DataFrame, numeric: bool) -> list[Column]:
-    """What :func:`_tie_bucket` needs; marks are the images with the smallest hashes, so they fall evenly into any kind of key."""
-    if numeric:
-        return [F.min("image_id").alias("first"), F.max("image_id").alias("last")]
-    marks = rows.select("image_id").distinct().orderBy(F.xxhash64("image_id"), "image_id").limit(TIE_MARKS)
-    return [F.first(marks.agg(F.array_sort(F.collect_list("image_id"))).scalar()).alias("marks")]
+def _bounds(rows: DataFrame, numeric: bool) -> Column:
+    """What the buckets need, as one constant: a row of four numbers is read once, where a subquery would run in every plan that uses it.
+
+    For keys that are no numbers, marks are the images with the smallest hashes, so they fall evenly into any kind of key.
+    """
+    ends = [F.min("image_id").alias("first"), F.max("image_id").alias("last")] if numeric else []
+    known = rows.agg(F.max(F.array_max("scores")).alias("high"), F.min(F.array_min("scores")).alias("low"), *ends)
+    found, kinds = known.first(), dict(known.dtypes)
+    fields = [F.lit(found[n]).cast(kinds[n]).alias(n) for n in known.columns]
+    if not numeric:
+        marks = rows.select("image_id").distinct().orderBy(F.xxhash64("image_id"), "image_id").limit(TIE_MARKS)
+        fields.append(marks.agg(F.array_sort(F.collect_list("image_id"))).scalar().alias("marks"))
+    return F.struct(*fields)
 
 
 def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
@@ -137,9 +144,7 @@ def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=())
     """
     groups = [*by, "class_id"]
     numeric = isinstance(rows.schema["image_id"].dataType, NumericType)
-    bounds = rows.agg(
-        F.struct(F.max(F.array_max("scores")).alias("high"), F.min(F.array_min("scores")).alias("low"), *_tie_bounds(rows, numeric))
-    ).scalar()
+    bounds = _bounds(rows, numeric)
     tagged = rows.withColumn("_b", bounds)
     keep = [*by, "image_id", "kind", "det_score", "pos", "y_true"]
     spread = tagged.where(F.col("kind") == 0).select(*keep, "_b", F.posexplode(conform(F.col("scores"), num_classes)).alias("class_id", "score"))
