@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.geometry import BOX
 from detframe.functions.scores import evaluation_vector
+from detframe.operators.islands import FOLD, fold_islands, split_islands, taken_boxes
 from detframe.operators.pairs import LIMIT, hot_images, overlapping_pairs, split_hot
 from detframe.operators.ranking import ranked
 from detframe.session import materialize
@@ -84,8 +85,39 @@ def _proposals(asking: DataFrame, boxes: DataFrame, threshold: float, hot: DataF
     )
 
 
-def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
-    """The same matching by rounds of proposals, for images too big for one task.
+def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFrame, fold: int = FOLD) -> DataFrame:
+    """The same matching in images too big for one task: islands of candidates are folded in order, only giant ones go to rounds.
+
+    Exact copies of a detection are paired once, as their first, and count as many candidates; so a pile of them is never spread
+    over its boxes unless that fits a task.
+    """
+    lead = dets.groupBy("image_id", *BOX).agg(F.count("*").alias("copies"), F.min("pos").alias("pos"))
+    pairs = materialize(
+        overlapping_pairs(lead, truth, min_iou=threshold, strict=False, hot=hot).select(
+            "image_id", F.col("l_pos").alias("lead"), F.col("l_copies").alias("copies"), F.col("r_pos").alias("gt_pos"),
+            F.col("r_class_id").cast("int").alias("gt_class"), "iou",
+            (F.col("l_pos").cast("bigint") * 2).alias("a"), (F.col("r_pos").cast("bigint") * 2 + 1).alias("b"),
+        ),
+        "candidates",
+    )
+    small, giant = split_islands(pairs, "a", "b", F.col("copies"), fold)
+    leads = lead.select("image_id", *BOX, F.col("pos").alias("lead"))
+    members = materialize(dets.join(leads, ["image_id", *BOX]).select("image_id", "lead", "pos", "score"), "members")
+    asked = small.join(members, ["image_id", "lead"]).select("image_id", "island", "pos", "score", "gt_pos", "gt_class", "iou")
+    done = fold_islands(asked, taken_boxes, "pos int, gt_pos int, gt_class int, iou double").select(
+        "image_id", "pos", "gt_pos", "gt_class", "iou"
+    )
+    if giant is None:
+        return done
+    pile = members.join(giant.select("image_id", "lead"), ["image_id", "lead"], "left_semi").select("image_id", "pos")
+    boxes = giant.select("image_id", F.col("gt_pos").alias("pos"))
+    left = materialize(dets.join(pile, ["image_id", "pos"], "left_semi"), "dets")
+    right = materialize(truth.join(boxes, ["image_id", "pos"], "left_semi"), "truth")
+    return done.unionByName(_match_rounds(left, right, threshold, hot))
+
+
+def _match_rounds(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
+    """The same matching by rounds of proposals, for islands too big for one task.
 
     Each box holds its best proposer so far and releases the former holder,
     which asks again. Boxes rank detections by one common order, so the stable
@@ -119,7 +151,7 @@ def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFra
 
 
 def match_detections(
-    detections: DataFrame, ground_truth: DataFrame, iou_threshold: float = 0.5, limit: int = LIMIT
+    detections: DataFrame, ground_truth: DataFrame, iou_threshold: float = 0.5, limit: int = LIMIT, fold: int = FOLD
 ) -> DataFrame:
     """Matched pairs ``(image_id, pos, gt_pos, gt_class, iou)``; a detection or box appears at most once."""
     dets = detections.select("image_id", F.col("pos").cast("int").alias("pos"), "score", *BOX)
@@ -130,7 +162,7 @@ def match_detections(
     matched = _match_cool(cool_d, cool_t, iou_threshold)
     if hot is None:
         return matched
-    return matched.unionAll(_match_hot(materialize(hot_d, "dets"), materialize(hot_t, "truth"), iou_threshold, hot))
+    return matched.unionAll(_match_hot(materialize(hot_d, "dets"), materialize(hot_t, "truth"), iou_threshold, hot, fold))
 
 
 # Runs that fit a bit set of one long.

@@ -4,7 +4,7 @@ A detection survives when no surviving detection with a higher
 ``(score, pos)`` overlaps it by more than the threshold. Detections of an
 image that overlap nothing are kept by the join alone; only the overlap edges
 of an image are folded in priority order, which settles every threshold of a
-sweep from one join. Images above ``limit`` boxes are settled by joins only,
+sweep from one join. Images above ``limit`` boxes are settled slice by slice,
 see :func:`_suppress_hot`.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.geometry import BOX, iou_xywh
 from detframe.functions.scores import above
+from detframe.operators.islands import FOLD, fold_islands, lost_boxes, split_islands
 from detframe.operators.pairs import LIMIT, hot_images, overlapping_pairs, split_hot
 from detframe.session import materialize
 
@@ -55,22 +56,34 @@ def _lost_by_image(dets: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return grouped.select("image_id", *[_lost(F.col("edges"), t).alias(f"lost_{i}") for i, t in enumerate(thresholds)])
 
 
-def _settle(dets: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
-    """Exact survivors of ``dets`` by rounds of joins over the overlap edges.
-
-    Each round keeps every open box without an open better neighbour and drops
-    what those boxes suppress; this is the greedy result, reached in parallel.
-    """
+def _settle(dets: DataFrame, threshold: float, hot: DataFrame, fold: int = FOLD) -> DataFrame:
+    """Exact survivors of ``dets``: islands of the overlap graph are folded in order, only giant ones go to rounds."""
     edges = materialize(
         overlapping_pairs(dets, dets, _left_wins, threshold, hot=hot).select(
-            "image_id", F.col("l_pos").alias("winner"), F.col("r_pos").alias("loser")
+            "image_id", F.col("l_pos").alias("winner"), F.col("r_pos").alias("loser"), F.col("l_score").alias("score")
         ),
         "edges",
     )
+    small, giant = split_islands(edges, "winner", "loser", fold=fold)
+    lost = fold_islands(small, lost_boxes, "pos bigint").select("image_id", F.col("pos").cast("int").alias("pos"))
+    if giant is None:
+        return dets.select(*KEY).join(lost, [*KEY], "left_anti")
+    giant = materialize(giant.drop("score"), "giant-edges")
+    ends = giant.select("image_id", F.explode(F.array("winner", "loser")).alias("pos")).distinct()
+    boxes = materialize(ends, "giant-boxes")
+    rest = dets.select(*KEY).join(lost, [*KEY], "left_anti").join(boxes, [*KEY], "left_anti")
+    return rest.unionByName(_settle_rounds(boxes, giant))
+
+
+def _settle_rounds(dets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by rounds of joins over stored edges, for islands too large for one task.
+
+    Each round keeps every open box without an open better neighbour and drops
+    what those boxes suppress; this is the greedy result, reached in parallel.
+    """
     loser = edges.select("image_id", F.col("loser").alias("pos"))
-    kept = [dets.select(*KEY).join(loser, [*KEY], "left_anti")]
     open_ = materialize(dets.select(*KEY).join(loser, [*KEY], "left_semi"), "open")
-    fresh = materialize(kept[0], "kept")
+    fresh = materialize(dets.select(*KEY).join(loser, [*KEY], "left_anti"), "kept")
     kept = [fresh]
     while not open_.isEmpty():
         winners = fresh.withColumnRenamed("pos", "winner")
@@ -92,7 +105,7 @@ def _settle(dets: DataFrame, threshold: float, hot: DataFrame) -> DataFrame:
 _CUTS = (0.0, 0.5, 0.75, 0.9, 0.97, 0.99, 0.997, 0.999, 0.9997, 0.9999, 0.99999)
 
 
-def _suppress_hot(dets: DataFrame, threshold: float, hot: DataFrame, first: int = 4096) -> DataFrame:
+def _suppress_hot(dets: DataFrame, threshold: float, hot: DataFrame, first: int = 4096, fold: int = FOLD) -> DataFrame:
     """Survivors in hot images, from the best-scored slice downwards.
 
     The top slice is settled, everything it suppresses is dropped, and the next
@@ -118,7 +131,7 @@ def _suppress_hot(dets: DataFrame, threshold: float, hot: DataFrame, first: int
         marked = materialize(rest.join(stats.select("image_id", lowest.alias("cut")), "image_id"), "marked")
         head = marked.where(F.col("score") >= F.col("cut")).drop("cut")
         tail = marked.where(F.col("score") < F.col("cut")).drop("cut")
-        fresh = materialize(head.join(_settle(head, threshold, hot), [*KEY], "left_semi"), "survivors")
+        fresh = materialize(head.join(_settle(head, threshold, hot, fold), [*KEY], "left_semi"), "survivors")
         hit = overlapping_pairs(fresh, tail, min_iou=threshold, hot=hot)
         rest = materialize(
             tail.join(hit.select("image_id", F.col("r_pos").alias("pos")), [*KEY], "left_anti"), "rest"
@@ -133,8 +146,12 @@ def suppress_sweep(
     thresholds: Sequence[float] = SWEEP_THRESHOLDS,
     score_threshold: float = 0.5,
     limit: int = LIMIT,
+    fold: int = FOLD,
 ) -> DataFrame:
-    """Survivors at every threshold, with a column ``nms_threshold``; one overlap join for all of them."""
+    """Survivors at every threshold, with a column ``nms_threshold``; one overlap join for all of them.
+
+    Images above ``limit`` boxes are settled by islands of up to ``fold`` overlaps, see :func:`_settle`.
+    """
     passed = detections.where(above(F.col("score"), score_threshold))
     narrow = passed.select("image_id", F.col("pos").cast("int").alias("pos"), "score", *BOX)
     thresholds = [float(t) for t in thresholds]
@@ -153,7 +170,7 @@ def suppress_sweep(
         .select(*detections.columns, F.col("option.t").alias("nms_threshold"))
     )
     for t in thresholds if hot is not None else []:
-        keys = _suppress_hot(hot_dets, t, hot)
+        keys = _suppress_hot(hot_dets, t, hot, fold=fold)
         out = out.unionAll(
             hot_rows.join(keys, [*KEY], "left_semi").select(*detections.columns, F.lit(t).alias("nms_threshold"))
         )
@@ -161,10 +178,10 @@ def suppress_sweep(
 
 
 def suppress(
-    detections: DataFrame, iou_threshold: float = 0.4, score_threshold: float = 0.5, limit: int = LIMIT
+    detections: DataFrame, iou_threshold: float = 0.4, score_threshold: float = 0.5, limit: int = LIMIT, fold: int = FOLD
 ) -> DataFrame:
     """Survivors at one threshold, all columns kept."""
-    return suppress_sweep(detections, [iou_threshold], score_threshold, limit).drop("nms_threshold")
+    return suppress_sweep(detections, [iou_threshold], score_threshold, limit, fold).drop("nms_threshold")
 
 
 def suppress_array(dets: Column, iou: float = 0.4, score: float = 0.5) -> Column:
