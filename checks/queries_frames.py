@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import HEIGHT, WIDTH, spark_sql  # noqa: F401
 from checks.queries_boxes import as_big
 from checks.registry import cte_nms, duck, query
 from detframe.operators import augment
+from detframe.session import work_dir
 from detframe.sources import frames as frame_source
+from detframe.sources import numbered
 from detframe.sources.schemas import FRAME_DETECTIONS, FRAMES
 from detframe.streaming import frames as stream
 
@@ -198,16 +202,20 @@ def _(f):
     return stream.frame_counts(stream.suppressed_frames(nested(f)))
 
 
+def numbered_events(f, drop_rate=1):
+    source = numbered.numbered_stream(f.spark, f"{f.sf_dir}/events.parquet", "event_id bigint, user_id bigint", drop_rate, "event_id")
+    return source.select(F.col("event_id").alias("frame_number"), "frame_count", F.col("user_id").alias("camera_id"))
+
+
 @query("stream_frames", duck("select frame_number, camera_id from fx_frames", ["fx_frames"]))
 def _(f):
-    return stream.run_to_table(event_stream(f).select("frame_number", "camera_id"), "frames")
+    return stream.run_to_table(numbered_events(f).drop("frame_count"), "frames")
 
 
 @query("stream_frame_sampling", duck(
     f"select frame_number, frame_number // {RATE} frame_count, camera_id from fx_frames where frame_number % {RATE} = 0", ["fx_frames"]))
 def _(f):
-    sampled = frame_source.every_nth(event_stream(f), RATE).select("frame_number", "frame_count", "camera_id")
-    return stream.run_to_table(sampled, "sampled")
+    return stream.run_to_table(numbered_events(f, RATE), "sampled")
 
 
 @query("stream_nms", duck(COUNTS, ["fx_det", "fx_images"], cte_nms([0.4])))
@@ -220,6 +228,14 @@ def _(f):
     return as_big(stream.run_log(stream.suppressed_frames(dets_stream(f))), "order", "class_id")
 
 
+@query("stream_log_replay", duck(LOG.replace("cast(pos as bigint) pos, ", ""), ["fx_det"], cte_nms([0.4]), KEPT_REALS))
+def _(f):
+    # the same frames again after the state of the stream is lost: nothing is logged twice
+    kept, path = stream.suppressed_frames(dets_stream(f)), f"{work_dir(f.spark)}/detframe/logs/{uuid.uuid4().hex}"
+    stream.run_log(kept, path=path)
+    return as_big(stream.run_log(kept, path=path), "order", "class_id")
+
+
 @query("stream_frame_total", duck("select count(*) frames from fx_frames", ["fx_frames"]))
 def _(f):
     return stream.run_total(event_stream(f))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from detframe.session import path_exists
+
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A stored table with its declared schema; ``csv`` has a header and JSON text in list columns."""
@@ -32,14 +34,20 @@ def lists_to_json(df: DataFrame) -> DataFrame:
 def write_table(
     df: DataFrame, path: str, run_label: str, force: bool = False, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Write under ``path/run_label=<label>`` unless it is there already; ``force`` rewrites it. Returns a scan of it."""
+    """Write under ``path/run_label=<label>`` unless it is there already; ``force`` rewrites it. Returns a scan of it.
+
+    A table is there when its write was committed, which Spark marks last; what an interrupted run left is replaced.
+    """
     target = f"{path}/run_label={run_label}"
     out = lists_to_json(df) if fmt == "csv" else df
-    writer = out.write.mode("overwrite" if force else "ignore").partitionBy(*partition_by)
+    writer = out.write.mode("overwrite").partitionBy(*partition_by)
+    missing = force or not path_exists(df.sparkSession, f"{target}/_SUCCESS")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(target)
+        if missing:
+            writer.option("header", True).option("escape", '"').csv(target)
         return df.sparkSession.read.option("header", True).option("escape", '"').schema(out.schema).csv(target)
-    writer.format(fmt).save(target)
+    if missing:
+        writer.format(fmt).save(target)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(target)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detframe.operators.suppress import suppress_array
-from detframe.session import work_dir
+from detframe.session import path_exists, work_dir
 
 
 def suppressed_frames(frames: DataFrame, iou: float = 0.4, score: float = 0.5) -> DataFrame:
@@ -48,19 +48,47 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpo
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_log(kept: DataFrame, label: str = "log", path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
-    """Write the detection log batch by batch; a repeated batch overwrites itself, so rows appear once."""
+#: Frame numbers of one folder of the log, the least that a batch has to look through.
+LOG_SPAN = 100_000
+
+
+def logged_frames(kept: DataFrame, path: str) -> DataFrame:
+    """What a log holds: one row per frame with its ``detections`` and the boxes ``kept``; ``kept`` gives the types."""
+    spark = kept.sparkSession
+    schema = kept.select("frame_number", F.size("kept").cast("bigint").alias("detections"), "kept", F.lit(0).cast("bigint").alias("span")).schema
+    stored = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    return stored
+
+
+def run_log(
+    kept: DataFrame, label: str = "log", path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None,
+    span: int = LOG_SPAN,
+) -> DataFrame:
+    """Write the detection log, each numbered frame once, whatever batch brings it and however often.
+
+    A frame is one row of the stored log, in a folder for its range of ``span`` numbers. A batch adds the frames that the folders
+    it touches do not hold yet; so a repeated batch, a half-written one and a new start without its checkpoint add nothing twice.
+    One job writes to a path at a time. Returns the log with one row per detection; :func:`logged_frames` gives it with counts.
+    """
     path, checkpoint = _places(kept, label, path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        detection_log(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.select(
+            "frame_number", F.size("kept").cast("bigint").alias("detections"), "kept",
+            F.floor(F.col("frame_number") / span).alias("span"),
+        ).dropDuplicates(["frame_number"]).persist()
+        ends = rows.agg(F.min("span").alias("low"), F.max("span").alias("high")).first()
+        if ends.low is not None:
+            there = logged_frames(kept, path).where(F.col("span").between(ends.low, ends.high)).select("span", "frame_number")
+            rows.join(there, ["span", "frame_number"], "left_anti").write.mode("append").partitionBy("span").parquet(path)
+        rows.unpersist()
 
     query = (
         kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return kept.sparkSession.read.schema(detection_log(kept).schema).parquet(path).drop("batch")
+    return detection_log(logged_frames(kept, path))
 
 
 def running_total(frames: DataFrame) -> DataFrame:
