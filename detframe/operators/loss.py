@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.scores import class_score
 from detframe.operators.pairs import LIMIT, best_ground_truth
-from detframe.operators.ranking import exact_quantiles
+from detframe.operators.ranking import column_quantiles, exact_quantiles
 
 COMPONENTS = ("loc_loss", "conf_loss_obj", "conf_loss_noobj", "class_loss")
 COUNTS = (
@@ -95,7 +95,7 @@ def describe_components(components: DataFrame, columns=(*COMPONENTS, *COUNTS)) -
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, ["component"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quartiles = column_quantiles(components, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return basic.join(quartiles, "component")
 
 
@@ -106,7 +106,7 @@ def nonzero_components(components: DataFrame) -> DataFrame:
 def component_scales(components: DataFrame, prob: float = 0.95) -> DataFrame:
     """Per component its ``prob`` quantile as ``scale`` (1 when not positive) and its mean."""
     long = stacked(components, COMPONENTS)
-    high = exact_quantiles(long, ["component"], "value", {"p": prob})
+    high = column_quantiles(components, COMPONENTS, {"p": prob})
     means = long.groupBy("component").agg(F.avg("value").alias("mean"))
     scale = F.when(F.col("p") > 0, F.col("p")).otherwise(1.0)
     return high.join(means, "component").select("component", scale.alias("scale"), "mean")

@@ -2,11 +2,13 @@
 
 * ``running_totals`` - cumulative sums over a global or per-group order.
 * ``exact_quantiles`` - interpolated quantiles from value counts.
+* ``column_quantiles`` - the same for many columns of a table, from narrow bands around each quantile.
 * ``take_by_hash`` - exactly n rows per group in a uniform hash order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +80,66 @@ def exact_quantiles(values: DataFrame, group_by: Sequence[str], value: str, prob
     return found.select(*group_by, *out)
 
 
+#: Accuracy of the sketches that place the bands of ``column_quantiles``: a band holds some 8 rows of this many.
+ACCURACY = 10_000
+
+
+def _bands(table: DataFrame, columns: Sequence[str], probs: dict[str, float], accuracy: int) -> list[Column]:
+    """For each column and quantile, a struct of the row's value with the bounds of a band that is sure to hold the quantile.
+
+    Sketches propose the bounds, exact counts below and up to them prove that the band holds the wanted places; a band that
+    does not is widened. Both passes are one row of partial aggregates; a band as wide as the column always holds.
+    """
+    todo, bands, slack = [(c, name) for c in columns for name in probs], [], 4 / accuracy
+    value = {c: F.col(c).cast("double") for c in columns}
+    while todo:
+        ends = table.agg(*[
+            F.percentile_approx(value[c], [max(0.0, probs[name] - slack), min(1.0, probs[name] + slack)], accuracy)
+            for c, name in todo
+        ]).first()
+        todo = [(c, name, *end) for (c, name), end in zip(todo, ends) if end is not None]  # no values, no quantile
+        if not todo:
+            break
+        counts = table.agg(*[
+            F.struct(F.count(c), F.count_if(value[c] < F.lit(low)), F.count_if(value[c] <= F.lit(high))) for c, _, low, high in todo
+        ]).first()
+        missed = []
+        for (c, name, low, high), (total, below, upto) in zip(todo, counts):
+            at = probs[name] * (total - 1)
+            if below <= math.floor(at) and math.ceil(at) < upto:
+                bands.append(F.struct(
+                    F.lit(c).alias("component"), F.lit(name).alias("prob"), value[c].alias("value"), F.lit(low).alias("low"),
+                    F.lit(high).alias("high"), F.lit(below).cast("bigint").alias("below"), F.lit(at).cast("double").alias("at"),
+                ))
+            else:
+                missed.append((c, name))
+        todo, slack = missed, slack * 8
+    return bands
+
+
+def column_quantiles(table: DataFrame, columns: Sequence[str], probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """Linearly interpolated quantiles of each column: ``component`` and one column per entry of ``probs``, nulls left out.
+
+    No row is sorted or shuffled but those in the bands. ``table`` is read three times or so and should be stored; a column
+    without values has no row.
+    """
+    bands = _bands(table, columns, probs, accuracy)
+    if not bands:
+        return table.sparkSession.createDataFrame([], ", ".join(["component string", *[f"`{n}` double" for n in probs]]))
+    held = F.filter(F.array(*bands), lambda b: (b["value"] >= b["low"]) & (b["value"] <= b["high"]))
+    inside = table.select(F.explode(held).alias("b")).select("b.*")
+    counted = inside.groupBy("component", "prob", "below", "at", "value").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("component", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.col("below") + F.sum("_n").over(order))
+
+    def pick(index: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col("value")))
+
+    found = placed.groupBy("component", "prob", "at").agg(pick(F.floor("at")).alias("_lo"), pick(F.ceil("at")).alias("_hi"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("at") - F.floor("at"))
+    return found.groupBy("component").agg(*[F.max(F.when(F.col("prob") == name, between)).alias(name) for name in probs])
+
+
 # Hex digits of md5 that order a sample, and how many values they take.
 HASH_DIGITS = 14
 HASH_RANGE = 16**HASH_DIGITS
