@@ -9,7 +9,7 @@ from checks.queries_boxes import NORM, as_big, norm_boxes
 from checks.registry import ORACLES, cte_ap, cte_curve, cte_match, cte_nms, cte_rows, duck, iou, query
 from detframe.functions.conditions import CONDITIONS
 from detframe.operators import compare, curves, match, profile, suppress
-from detframe.plans import evaluation, robustness, sweep
+from detframe.plans import evaluation, reports, robustness, sweep
 from detframe.session import materialize
 
 DET = "det as (select 0 g, * from fx_det)"
@@ -68,6 +68,18 @@ def _(f):
                             "score_sum": F.coalesce("score_sum", F.lit(0.0))})
 
 
+@query("eval_lists", duck(
+    "select k.image_id, cast(k.chunk as bigint) chunk, coalesce(dets, '') dets, coalesce(boxes, '') boxes from k left join d using (image_id, chunk) left join b using (image_id, chunk)", FX, [
+        "d as (select image_id, pos // 4 chunk, string_agg(pos || ':' || class_id, ',' order by pos) dets from fx_det group by all)",
+        "b as (select image_id, pos // 4 chunk, string_agg(pos || ':' || class_id, ',' order by pos) boxes from fx_gt group by all)",
+        "k as (select image_id, 0 chunk from fx_images union select image_id, chunk from d union select image_id, chunk from b)",
+    ]))
+def _(f):
+    text = lambda n: F.array_join(F.transform(n, lambda e: F.concat_ws(":", e["pos"], e["class_id"])), ",")
+    rows = reports.image_lists(f("fx_images"), f("fx_det"), f("fx_gt"), chunk=4)
+    return rows.select("image_id", "chunk", text("detections").alias("dets"), text("boxes").alias("boxes"))
+
+
 @query("pr_curve", duck(
     "select cast(class_id as bigint) class_id, rnk \"rank\", prec \"precision\", recall, threshold from pr",
     FX, [*PLAIN, *cte_curve()], "\"precision\" recall threshold"))
@@ -158,10 +170,8 @@ MODELS = [
     "left join (select class_id, count(*) n from fx_gt group by 1) n on n.class_id = a.class_id",
     ["fx_raw", "fx_raw2", "fx_gt", "fx_classes"], MODELS, "model1_ap model2_ap ap_difference"))
 def _(f):
-    kept = [suppress.suppress(f(n), 0.4).withColumn("model", F.lit(m)) for n, m in (("fx_raw", "model1"), ("fx_raw2", "model2"))]
-    both = materialize(kept[0].unionByName(kept[1]), "models")
-    _, per_class = evaluation.evaluate_runs(both, f("fx_gt"), f("fx_classes"), NUM_CLASSES, "model", ["model1", "model2"])
-    return as_big(compare.model_comparison(per_class, "model1", "model2"), "class_id")
+    report = reports.compare_models({"model1": f("fx_raw"), "model2": f("fx_raw2")}, f("fx_gt"), f("fx_classes"), NUM_CLASSES)
+    return as_big(report.comparison, "class_id")
 
 
 # ---- threshold sweep ---------------------------------------------------------

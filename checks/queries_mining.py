@@ -8,6 +8,7 @@ from checks.queries_boxes import as_big
 from checks.queries_profile import INDEX, index
 from checks.registry import duck, iou, query
 from detframe.operators import loss, mining
+from detframe.plans import reports
 from detframe.plans.miner import HardNegativeMiner
 from detframe.session import materialize
 
@@ -141,6 +142,10 @@ def top(f):
     return materialize(mining.top_images(scored(f)), "top")
 
 
+def sweep(f):
+    return reports.sweep_weightings(f("fx_images").select("image_id", "image_file"), f("fx_det"), f("fx_gt"), f("fx_classes"))
+
+
 @query("hnm_scores", duck("select score_mode, config_name, image_id, hnm_score from scored", FX, SCORED, "hnm_score"))
 def _(f):
     return scored(f).select("score_mode", "config_name", "image_id", "hnm_score")
@@ -171,7 +176,7 @@ SUMMARY_REALS = " ".join(
 
 @query("lambda_summary", duck(SUMMARY, FX, TOP, SUMMARY_REALS))
 def _(f):
-    return mining.run_summary(top(f))
+    return sweep(f).summary
 
 
 OVERLAP = (
@@ -184,7 +189,7 @@ OVERLAP = (
 
 @query("lambda_overlap", duck("select * from ovl", FX, [*TOP, OVERLAP], "jaccard_overlap"))
 def _(f):
-    return mining.run_overlap(top(f))
+    return sweep(f).overlap
 
 
 DENSE = (

@@ -9,7 +9,7 @@ from checks.registry import duck, iou, query
 from detframe.functions import buckets
 from detframe.operators import profile, sampling
 from detframe.operators.pairs import LIMIT
-from detframe.plans import selection
+from detframe.plans import reports, selection
 from detframe.session import materialize
 
 FX = ["fx_images", "fx_gt", "fx_classes"]
@@ -71,7 +71,7 @@ def _(f):
     "count(*) filter (num_objects >= 15) images_ge_15_objects, count(*) filter (num_objects >= 20) images_ge_20_objects from idx",
     FX, INDEX, "mean_objects_per_image median_objects_per_image"))
 def _(f):
-    return profile.dataset_summary(slim(f))
+    return reports.profile_dataset(f("fx_images").select("image_id", "image_file"), f("fx_gt"), f("fx_classes")).summary
 
 
 def shares(dist: str, images: str) -> str:
@@ -156,12 +156,12 @@ def _(f):
     "count(*) filter (pairs_iou_gt_0_3 > 0) images_with_any_iou_gt_0_3, count(*) filter (pairs_iou_gt_0_5 > 0) images_with_any_iou_gt_0_5, count(*) filter (pairs_iou_gt_0_1 >= 20) images_with_20plus_iou_gt_0_1_pairs from prof",
     FX, [*INDEX, *PROFILE], "mean_pair_count mean_max_pairwise_iou mean_pairs_iou_gt_0_1"))
 def _(f):
-    return profile.overlap_summary(overlap(f))
+    return reports.profile_overlap(f("fx_images"), f("fx_gt")).summary
 
 
 @query("crowding_distribution", duck(bucket_text("prof", "crowding_bucket", CROWDS), FX, [*INDEX, *PROFILE], "image_share_pct"))
 def _(f):
-    return as_big(profile.crowding_distribution(materialize(overlap(f), "profile")), "bucket_order")
+    return as_big(reports.profile_overlap(f("fx_images"), f("fx_gt")).crowding, "bucket_order")
 
 
 # ---- samples ----------------------------------------------------------------
