@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
 
 BOX = ("x", "y", "w", "h")
 
@@ -93,6 +94,28 @@ def flip_boxes(df: DataFrame, axis: str, box_format: str = "yolo") -> DataFrame:
     return df.withColumns({low: F.col(extent) - F.col(high), high: F.col(extent) - F.col(low)})
 
 
+def boxes_of_arrays(images: DataFrame, column: str = "boxes", box_format: str = "yolo") -> DataFrame:
+    """One row per box from an array of boxes per image, each ``class_id`` and four coordinates, perhaps more values.
+
+    Coordinates are single precision, as in the label files' arrays. The column must be two-dimensional; a box of fewer than five
+    values, a null box or a null among its first five values raises when the box is read. Further values are kept in ``extra``;
+    an image without boxes gives no row.
+    """
+    _known_format(box_format)
+    kind = images.schema[column].dataType
+    flat = not isinstance(kind, ArrayType) or not isinstance(kind.elementType, ArrayType)
+    if flat or not isinstance(kind.elementType.elementType, NumericType):
+        raise ValueError("boxes must be an array of arrays of numbers")
+    names = ("cx", "cy", "w", "h") if box_format == "yolo" else ("x1", "y1", "x2", "y2")
+    each = images.select(*[c for c in images.columns if c != column], F.posexplode(column).alias("pos", "_box"))
+    sound = (F.size("_box") >= 5) & F.forall(F.slice("_box", 1, 5), lambda v: v.isNotNull())
+    short = F.raise_error(F.lit("boxes must have shape N x 5 or more")).cast(kind.elementType)
+    box = each.withColumn("_box", F.when(F.coalesce(sound, F.lit(False)), F.col("_box")).otherwise(short))
+    values = [F.col("_box")[i + 1].cast("float").cast("double").alias(n) for i, n in enumerate(names)]
+    rest = F.slice("_box", F.lit(6), F.greatest(F.size("_box") - 5, F.lit(0))).alias("extra")
+    return box.select(*[c for c in each.columns if c != "_box"], F.col("_box")[0].cast("int").alias("class_id"), *values, rest)
+
+
 def target_size(width: Column, height: Column, target=None, scale: float | None = None) -> tuple[Column, Column]:
     """Size after a resize: given outright, or the old size times ``scale`` rounded half to even."""
     if target is not None:

@@ -1,8 +1,7 @@
 """Image augmentation over a pixel table ``(image_id, y, x, c, v)``, and boxes under a condition.
 
-Flips and brightness are column arithmetic. Blur and resize are separable: one
-pass over pixel rows, one over pixel columns. A line is one row or column of one
-channel, so its length is the image side and a big image spreads over its lines.
+Flips and brightness are column arithmetic. Blur, resize and chains of transforms
+gather the pixels to scan lines once and work on these, see ``scanlines``.
 """
 
 from __future__ import annotations
@@ -11,10 +10,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from detframe.functions.conditions import CONDITIONS, condition_array
 from detframe.functions.geometry import center_to_xywh, target_size
-from detframe.session import materialize
+from detframe.operators.scanlines import (
+    along_x, banded, blur_lines, interpolation_taps, kernel_bands, kernel_taps, lines_of, own_lines, pixels_of, resize_bands, resize_lines, resized_lines, rounded, tap_array, within_bytes,
+)
 
 # Kernels used for automatic sigma at small sizes.
 SMALL_KERNELS = {1: [1.0], 3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625],
@@ -53,67 +55,17 @@ def gaussian_kernel(size: int, sigma: float = 0.0) -> list[float]:
     return [r / sum(raw) for r in raw]
 
 
-def _over_lines(pixels: DataFrame, along: str, line: Column, width: Column | None = None) -> DataFrame:
-    """Replace each line of values along one axis by the array expression ``line`` over ``vals``."""
-    across = "y" if along == "x" else "x"
-    keep = [c for c in pixels.columns if c not in (along, "v")]
-    lines = pixels.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(along, "v"))).alias("cells"))
-    lines = lines.withColumn("vals", F.transform("cells", lambda s: s["v"].cast("double")))
-    out = lines.select(*keep, F.posexplode(line).alias(along, "v"))
-    assert across in keep
-    return out.select(pixels.columns)
-
-
-def _mirrored(i: Column, n: Column) -> Column:
-    """Index reflected at the edges without repeating the edge, also for lines shorter than the kernel."""
-    period = F.greatest((n - 1) * 2, F.lit(1))
-    folded = F.pmod(i, period)
-    return F.least(folded, F.when(n > 1, period - folded).otherwise(F.lit(0)))
-
-
 def blur(pixels: DataFrame, kernel_size: int = 5, sigma: float = 0.0) -> DataFrame:
     """Gaussian blur with mirrored borders, rounded once at the end."""
-    weights = gaussian_kernel(kernel_size, sigma)
-    half = len(weights) // 2
-    vals = F.col("vals")
-
-    def at(_: Column, i: Column) -> Column:
-        total = None
-        for k, w in enumerate(weights):
-            term = F.lit(w) * F.get(vals, _mirrored(i + F.lit(k - half), F.size(vals)).cast("int"))
-            total = term if total is None else total + term
-        return total
-
-    line = F.transform(vals, at)
-    wide = _over_lines(pixels.withColumn("v", F.col("v").cast("double")), "x", line)
-    both = _over_lines(wide, "y", line)
-    return both.withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
-
+    return pixels_of(blur_lines(lines_of(pixels), gaussian_kernel(kernel_size, sigma)), pixels.columns)
 
-def _linear(vals: Column, length: Column) -> Column:
-    """A line resampled to ``length`` values, linear between pixel centres, edges held."""
-    n = F.size(vals)
-    ratio = n / length
 
-    def at(i: Column) -> Column:
-        place = F.least(F.greatest((i + 0.5) * ratio - 0.5, F.lit(0.0)), (n - 1).cast("double"))
-        low = F.floor(place).cast("int")
-        f = place - low
-        return F.get(vals, low) * (1 - f) + F.get(vals, F.least(low + 1, n - 1)) * f
-
-    return F.transform(F.sequence(F.lit(0), length - 1), at)
-
-
-def resize(pixels: DataFrame, images: DataFrame, target=None, scale: float | None = None) -> DataFrame:
-    """Bilinear resize to a given size or by a scale, rounded once at the end."""
+def resize(pixels: DataFrame, images: DataFrame, target=None, scale: float | None = None, interpolation: str = "linear") -> DataFrame:
+    """Resize to a given size or by a scale, rounded once at the end; ``interpolation`` is nearest, linear, cubic or area."""
     new_w, new_h = target_size(F.col("width"), F.col("height"), target, scale)
-    sized = pixels.join(images.select("image_id", new_w.alias("new_w"), new_h.alias("new_h")), "image_id")
-    sized = sized.withColumn("v", F.col("v").cast("double"))
-    wide = _over_lines(sized, "x", _linear(F.col("vals"), F.col("new_w")))
-    both = _over_lines(wide, "y", _linear(F.col("vals"), F.col("new_h")))
-    return both.select(*[c for c in pixels.columns if c != "v"], F.floor(F.col("v") + 0.5).cast("int").alias("v")).select(
-        pixels.columns
-    )
+    sizes = images.select("image_id", F.col("height").alias("_h"), new_w.alias("_new_w"), new_h.alias("_new_h"))
+    sized = lines_of(pixels).join(sizes, "image_id")
+    return pixels_of(resize_lines(sized, F.col("_h"), F.col("_new_w"), F.col("_new_h"), interpolation), pixels.columns)
 
 
 def by_condition(pixels: DataFrame, images: DataFrame, conditions=CONDITIONS) -> DataFrame:
@@ -138,13 +90,15 @@ CHAIN = ("vertical_flip", "gaussian_blur", "change_brightness")
 
 
 def augment_plan(images: DataFrame, seed: int, max_transforms: int = 3, include_resize: bool = False) -> DataFrame:
-    """Per image an ordered chain of 1..max transforms, drawn from its seeded hash."""
+    """Per image an ordered chain of 1..max transforms, drawn from its seeded hash; keys that are no numbers count by their crc32."""
     names = [*CHAIN, "resize"] if include_resize else list(CHAIN)
     most = min(max(1, max_transforms), len(names))
+    numeric = isinstance(images.schema["image_id"].dataType, NumericType)
+    number = F.col("image_id") if numeric else F.crc32(F.col("image_id").cast("string"))
 
     def draw(slot: int) -> Column:
         # Later slots read other bits, so chains do not repeat in a fixed cycle. Both factors stay below 2**31, whatever the id.
-        low = F.pmod(F.pmod(F.col("image_id"), F.lit(2147483648)) + 1, F.lit(2147483648))
+        low = F.pmod(F.pmod(number, F.lit(2147483648)) + 1, F.lit(2147483648))
         base = low * F.lit((slot + 7) * 1103515245 % 2147483648).cast("bigint") + F.lit(seed * 12345)
         return F.floor(base % F.lit(2147483648) / F.lit(1024))
 
@@ -155,8 +109,10 @@ def augment_plan(images: DataFrame, seed: int, max_transforms: int = 3, include_
 
 def apply_plan(
     pixels: DataFrame, images: DataFrame, plan: DataFrame, kernel_size: int = 5, sigma: float = 0.0, alpha: float = 1.0, beta: float = 30, resize_to=None, scale: float | None = None,
+    interpolation: str = "linear",
 ) -> DataFrame:
-    """Run each image's chain stage by stage, to the end of the longest; images at the same stage are handled together.
+    """Run each image's chain stage by stage, to the end of the longest, over scan lines: one shuffle of lines for a stage that blurs
+    or resizes, none for others, and nothing stored between stages.
 
     A plan that resizes needs ``resize_to`` or ``scale``, and a plan with any other name is refused: no image may fall between.
     """
@@ -169,27 +125,48 @@ def apply_plan(
         raise ValueError(f"unknown transforms in the plan: {odd}")
     if resizes and resize_to is None and scale is None:
         raise ValueError("the plan resizes images: give resize_to or scale")
-    state = pixels.join(images.select("image_id", "width", "height"), "image_id").join(plan, "image_id")
-    columns = state.columns
+    needs = plan.select(F.posexplode("chain").alias("stage", "op")).groupBy("stage").agg(F.max(F.col("op").isin("gaussian_blur", "resize")).alias("moves"))
+    moving = {r["stage"] for r in needs.where("moves").collect()}
+    sizes = images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    state = lines_of(pixels).join(sizes, "image_id").join(plan.select("image_id", F.col("chain").alias("_chain")), "image_id")
+    kernel, level = gaussian_kernel(kernel_size, sigma), (F.lit(float(alpha)), F.lit(float(beta)))
     for stage in range(longest):
-        op = F.get("chain", F.lit(stage))
-        tagged = state.withColumn("_op", F.coalesce(op, F.lit("")))
-        y, v, kind = F.col("y"), F.col("v"), F.col("_op")
-        simple = tagged.where(~kind.isin("gaussian_blur", "resize")).withColumns({
-            "y": F.when(kind == "vertical_flip", F.col("height") - 1 - y).otherwise(y),
-            "v": F.when(kind == "change_brightness", _brighter(v, F.lit(float(alpha)), F.lit(float(beta)))).otherwise(v),
-        })
-        blurred = blur(tagged.where(kind == "gaussian_blur").select(columns), kernel_size, sigma)
-        nxt = simple.select(columns).unionByName(blurred)
-        if resizes:
-            todo = tagged.where(kind == "resize")
-            new_w, new_h = target_size(F.col("width"), F.col("height"), resize_to, scale)
-            sizes = todo.select("image_id", "width", "height").distinct()
-            done = resize(todo.select("image_id", "y", "x", "c", "v"), sizes, resize_to, scale)
-            grown = sizes.select("image_id", new_w.alias("width"), new_h.alias("height"))
-            nxt = nxt.unionByName(done.join(grown, "image_id").join(plan, "image_id").select(columns))
-        state = materialize(nxt, "stage")
-    return state.select(pixels.columns)
+        state = _chain_stage(state, F.get("_chain", F.lit(stage)), stage in moving, kernel, level, resize_to if resizes else None, scale if resizes else None, interpolation)
+    return pixels_of(state.drop("_w", "_h", "_chain"), pixels.columns)
+
+
+def _chain_stage(state: DataFrame, op: Column, moving: bool, kernel: list[float], level, resize_to, scale, interpolation: str) -> DataFrame:
+    """One step of every image's chain over lines; images whose step needs no neighbours pass through as they are."""
+    y, vals, height = F.col("y"), F.col("vals"), F.col("_h")
+    tagged = state.withColumn("_op", F.coalesce(op, F.lit("")))
+    kind = F.col("_op")
+    flipped = F.when(kind == "vertical_flip", height - 1 - y).otherwise(y).cast("int")
+    bright = F.transform(vals, lambda v: _brighter(v, *level).cast("double"))
+    if not moving:
+        return tagged.withColumns({"y": flipped, "vals": F.when(kind == "change_brightness", bright).otherwise(vals)}).drop("_op")
+    sizing = resize_to is not None or scale is not None
+    new_w, new_h = target_size(F.col("_w"), height, resize_to, scale) if sizing else (F.col("_w"), height)
+    smooth, fit = kernel_taps(kernel), interpolation_taps(interpolation)
+    ahead = tagged.withColumns({
+        "_new_w": F.when(kind == "resize", new_w).otherwise(F.col("_w")), "_new_h": F.when(kind == "resize", new_h).otherwise(height),
+        "y": flipped,
+        "vals": F.when(kind == "change_brightness", bright).when(kind == "gaussian_blur", along_x(vals, F.size(vals), smooth))
+        .when(kind == "resize", along_x(vals, new_w, fit)).otherwise(vals),
+    })
+    bands = (
+        F.when(kind == "gaussian_blur", kernel_bands(y, len(kernel))).when(kind == "resize", resize_bands(y, height, F.col("_new_h")))
+        .otherwise(kernel_bands(y, 1))
+    )
+    targets = lambda band, places: F.when(kind == "resize", resized_lines(band, F.col("_new_h"))).otherwise(own_lines(band, places))
+    taps = lambda at, _, last: (
+        F.when(kind == "gaussian_blur", tap_array(smooth(at, height, height))).when(kind == "resize", tap_array(fit(at, height, F.col("_new_h"))))
+        .otherwise(tap_array(kernel_taps([1.0])(at, height, height)))
+    )
+    done = banded(ahead, bands, targets, taps)
+    if interpolation == "cubic":
+        done = done.withColumn("vals", F.when(kind == "resize", within_bytes(vals)).otherwise(vals))
+    steady = done.withColumns({"_w": F.col("_new_w"), "_h": F.col("_new_h"), "vals": F.transform("vals", lambda v: rounded(v).cast("double"))})
+    return steady.drop("_op", "_new_w", "_new_h")
 
 
 def boxes_after_plan(boxes: DataFrame, images: DataFrame, plan: DataFrame, resize_to=None, scale: float | None = None) -> DataFrame:
