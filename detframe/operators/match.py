@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from detframe.functions.geometry import BOX
 from detframe.functions.scores import evaluation_vector
 from detframe.operators.islands import FOLD, fold_islands, split_islands, taken_boxes
-from detframe.operators.pairs import LIMIT, hot_images, overlapping_pairs, split_hot
+from detframe.operators.pairs import LIMIT, hot_images, hot_pairs, overlapping_pairs, split_hot
 from detframe.operators.ranking import ranked
 from detframe.session import materialize
 
@@ -62,7 +62,7 @@ def _proposals(asking: DataFrame, boxes: DataFrame, threshold: float, hot: DataF
     lead = groups.select(
         "image_id", *BOX, "copies", F.col("top.score").alias("score"), (-F.col("top.order")).cast("int").alias("pos")
     )
-    pairs = overlapping_pairs(lead, boxes, lambda: _wins("l_score", "l_pos"), threshold, strict=False, hot=hot)
+    pairs = hot_pairs(lead, boxes, hot, lambda: _wins("l_score", "l_pos"), threshold, strict=False)
     best = F.max(F.struct("iou", (-F.col("r_pos")).alias("order"), "r_pos", "r_class_id")).alias("b")
     lone = (
         pairs.where(F.col("l_copies") == 1)
@@ -93,7 +93,7 @@ def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFra
     """
     lead = dets.groupBy("image_id", *BOX).agg(F.count("*").alias("copies"), F.min("pos").alias("pos"))
     pairs = materialize(
-        overlapping_pairs(lead, truth, min_iou=threshold, strict=False, hot=hot).select(
+        hot_pairs(lead, truth, hot, min_iou=threshold, strict=False).select(
             "image_id", F.col("l_pos").alias("lead"), F.col("l_copies").alias("copies"), F.col("r_pos").alias("gt_pos"),
             F.col("r_class_id").cast("int").alias("gt_class"), "iou",
             (F.col("l_pos").cast("bigint") * 2).alias("a"), (F.col("r_pos").cast("bigint") * 2 + 1).alias("b"),
@@ -104,9 +104,8 @@ def _match_hot(dets: DataFrame, truth: DataFrame, threshold: float, hot: DataFra
     leads = lead.select("image_id", *BOX, F.col("pos").alias("lead"))
     members = materialize(dets.join(leads, ["image_id", *BOX]).select("image_id", "lead", "pos", "score"), "members")
     asked = small.join(members, ["image_id", "lead"]).select("image_id", "island", "pos", "score", "gt_pos", "gt_class", "iou")
-    done = fold_islands(asked, taken_boxes, "pos int, gt_pos int, gt_class int, iou double").select(
-        "image_id", "pos", "gt_pos", "gt_class", "iou"
-    )
+    order = [(-F.col("score")).asc_nulls_last(), F.col("pos"), F.col("iou").desc(), F.col("gt_pos")]
+    done = fold_islands(asked, order, "pos", "gt_pos", taken_boxes).select("image_id", "pos", "gt_pos", "gt_class", "iou")
     if giant is None:
         return done
     pile = members.join(giant.select("image_id", "lead"), ["image_id", "lead"], "left_semi").select("image_id", "pos")

@@ -125,3 +125,19 @@ def test_array_form_equals_table_form(spark):
     nested = df.groupBy("image_id").agg(F.collect_list(F.struct("pos", "x", "y", "w", "h", "score")).alias("d"))
     out = nested.select("image_id", F.explode(suppress.suppress_array(F.col("d"), 0.3)).alias("k")).select("image_id", "k.pos").collect()
     assert {tuple(r) for r in out} == brute.suppressed(rows, 0.3)
+
+
+def test_hot_images_copy_boxes_by_their_number(spark):
+    """An image of few boxes has one grid and no salts, however low the limit; one of many has all, with the same pairs."""
+    df = frame(spark, brute.boxes(17)).select("image_id", "pos", "x", "y", "w", "h")
+    few, many = pairs.hot_images(df, limit=3), pairs.hot_images(df, limit=3, room=3)
+    assert few.where("salts <> 1 or size(levels) <> 1").count() == 0
+    assert many.where("salts > 1").count() > 0
+    assert pairs._cells(df, few).count() <= 4 * df.count()
+    found = [
+        {(r.image_id, r.l_pos, r.r_pos, r.iou) for r in pairs.hot_pairs(df, df, hot, lambda: F.col("l_pos") < F.col("r_pos")).collect()}
+        for hot in (few, many)
+    ]
+    ids = {r.image_id for r in few.collect()}
+    plain = {(r.image_id, r.l_pos, r.r_pos, r.iou) for r in pairs.box_pairs(df).collect() if r.image_id in ids}
+    assert found[0] == found[1] == plain and plain

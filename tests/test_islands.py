@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from detframe.operators.islands import component_roots
+from detframe.operators.islands import component_roots, fold_islands, lost_boxes
 from detframe.operators.match import match_detections
 from detframe.operators.suppress import suppress
 from tests import brute
@@ -133,3 +133,17 @@ def test_roots_of_components(spark):
     got = component_roots(spark.createDataFrame(pairs, "image_id string, p int, q int"), "p", "q")
     assert {(r.image_id, r.node): r.root for r in got.collect()} == {n: find(n)[1] for n in list(root)}
     assert got.groupBy("image_id", "node").count().where(F.col("count") > 1).count() == 0
+
+
+def test_islands_of_a_task_are_read_one_after_the_other(spark):
+    """Islands span Arrow batches, share tasks and keep image keys of any type."""
+    rows = [(str(i), 0, w, l, 1.0 - w / 10) for i in range(40) for w, l in ((0, 1), (1, 2), (2, 3), (3, 4))]
+    edges = spark.createDataFrame(rows, "image string, island bigint, winner int, loser int, score double")
+    edges = edges.select(F.struct("image", F.lit(1).alias("run")).alias("image_id"), "island", "winner", "loser", "score").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = fold_islands(edges, [F.col("score").desc(), F.col("winner").desc()], "winner", "loser", lost_boxes)
+        assert sorted((int(r.image_id.image), r.loser) for r in got.collect()) == [(i, n) for i in range(40) for n in (1, 3)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
