@@ -1,7 +1,9 @@
 """Folders of many small files as rows, through the Python data source API.
 
-Spark's text source drops empty files and its whole-file reader ignores the session's partitioning. Here a folder is listed once and
-dealt into partitions by bytes and by number of files, as Spark's own scans are; each task then opens its files, all through Arrow's file systems. An empty file is a row like any other. Two sources share this:
+Spark's text source drops empty files and its whole-file reader ignores the session's partitioning. Here a task lists a folder once and
+deals it into partitions by bytes and by number of files, as Spark's own scans do. The names of a partition are stored in the shared
+folder as they are found, so the driver holds none of them; each task then opens its files, all through Arrow's file systems. An empty
+file is a row like any other. Two sources share this:
 
 * ``label_files``: ``path, stem, label_text`` of every matching file;
 * ``image_headers``: ``path, stem, width, height`` from the first bytes of JPEG, PNG, GIF and BMP files, pixels untouched; a file that
@@ -14,9 +16,11 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
 import struct
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -24,6 +28,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from detframe.session import work_dir
+
 #: Most bytes and files of a partition, and what opening a file counts as, in bytes.
 PARTITION_BYTES, PARTITION_FILES, OPEN_BYTES = 64 << 20, 4_096, 16 << 10
 #: Rows in an output batch, and their text at most.
@@ -32,25 +38,54 @@ BATCH_ROWS, BATCH_BYTES = 1_024, 8 << 20
 HEAD = 4_096
 
 
-def list_files(folder: str, glob: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the matching files of a folder, by name; a missing folder is an error."""
+def listed(folder: str, glob: str) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the matching files of a folder; those of a local folder one by one, others as Arrow lists them, all at once."""
     system, root = _open(folder)
-    found = [(f.base_name, f.size) for f in system.get_file_info(arrow_fs.FileSelector(root)) if f.is_file and fnmatch.fnmatchcase(f.base_name, glob)]
-    return [(f"{folder.rstrip('/')}/{name}", size) for name, size in sorted(found)]
-
-
-def dealt(files: list[tuple[str, int]], most_bytes: int = PARTITION_BYTES, most_files: int = PARTITION_FILES) -> list[list[str]]:
-    """Neighbouring files put together up to a number of bytes and of files."""
-    parts: list[list[str]] = []
+    if isinstance(system, arrow_fs.LocalFileSystem):
+        with os.scandir(root) as entries:
+            for entry in entries:
+                if fnmatch.fnmatchcase(entry.name, glob) and entry.is_file():
+                    yield f"{folder.rstrip('/')}/{entry.name}", entry.stat().st_size
+        return
+    for f in system.get_file_info(arrow_fs.FileSelector(root)):
+        if f.is_file and fnmatch.fnmatchcase(f.base_name, glob):
+            yield f"{folder.rstrip('/')}/{f.base_name}", f.size
+
+
+def parts_of(files: Iterable[tuple[str, int]], most_bytes: int, most_files: int) -> Iterator[list[str]]:
+    """Neighbouring files put together up to a number of bytes and of files, one part at a time."""
+    part: list[str] = []
     held = 0
     for path, size in files:
         cost = size + OPEN_BYTES
-        if not parts or held + cost > most_bytes or len(parts[-1]) >= most_files:
-            parts.append([])
-            held = 0
-        parts[-1].append(path)
+        if part and (held + cost > most_bytes or len(part) >= most_files):
+            yield part
+            part, held = [], 0
+        part.append(path)
         held += cost
-    return parts
+    if part:
+        yield part
+
+
+def dealt(files: list[tuple[str, int]], most_bytes: int = PARTITION_BYTES, most_files: int = PARTITION_FILES) -> list[list[str]]:
+    return list(parts_of(files, most_bytes, most_files))
+
+
+def _lister(folder: str, glob: str, most_bytes: int, most_files: int, shared: str) -> Callable:
+    """The listing as a task: a file of names for each part in a folder of the attempt's own; its row tells the folder and the number of parts."""
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = f"{shared}/listing-{uuid.uuid4().hex}"
+        system, root = _open(place)
+        system.create_dir(root, recursive=True)
+        count = 0
+        for part in parts_of(listed(folder, glob), most_bytes, most_files):
+            with system.open_output_stream(f"{root}/{count}.json") as out:
+                out.write(json.dumps(part).encode())
+            count += 1
+        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([count], pa.int32())], ["place", "parts"])
+
+    return run
 
 
 def stem(path: str) -> str:
@@ -94,21 +129,28 @@ def image_size(read) -> tuple[int, int] | None:
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """A part of a stored listing."""
+
+    def __init__(self, names: str):
+        self.names = names
+
+    def paths(self) -> list[str]:
+        system, place = _open(self.names)
+        with system.open_input_stream(place) as stream:
+            return json.loads(stream.read())
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: pa.Schema):
-        self.parts, self.schema = json.loads(options["parts"]), schema
+        self.place, self.parts, self.schema = options["place"], int(options["parts"]), schema
 
     def partitions(self) -> list[InputPartition]:
-        return [_Files(paths) for paths in self.parts]
+        return [_Files(f"{self.place}/{k}.json") for k in range(self.parts)]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for path in partition.paths:
+        for path in partition.paths():
             system, place = _open(path)
             row = self.row(system, place)
             rows.append((path, stem(path), *row))
@@ -164,10 +206,14 @@ class ImageHeaders(DataSource):
 def read_files(spark: SparkSession, source: type[DataSource], folder: str, glob: str, most_bytes: int = PARTITION_BYTES, most_files: int = PARTITION_FILES) -> DataFrame:
     """Rows of ``source`` for the matching files of a folder."""
     spark.dataSource.register(source)
-    parts = dealt(list_files(folder, glob), most_bytes, most_files)
-    if not parts:
+    system, root = _open(folder)
+    if system.get_file_info(root).type != arrow_fs.FileType.Directory:
+        raise FileNotFoundError(f"no folder {folder}")
+    lister = _lister(folder, glob, most_bytes, most_files, f"{work_dir(spark)}/detframe")
+    found = spark.range(0, 1, 1, 1).mapInArrow(lister, "place string, parts int").collect()[0]
+    if not found.parts:
         return spark.createDataFrame([], source.schema(source))
-    return spark.read.format(source.name()).option("parts", json.dumps(parts)).load()
+    return spark.read.format(source.name()).option("place", found.place).option("parts", found.parts).load()
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -152,6 +152,17 @@ def test_label_folder_is_dealt_by_files_and_bytes(spark, tmp_path):
         labels.read_label_files(spark, str(tmp_path / "none"))
 
 
+def test_driver_holds_no_names_of_a_folder(spark, tmp_path):
+    """The driver lists nothing: partitions name a stored part of the listing, however many files that holds."""
+    for k in range(500):
+        (tmp_path / f"{k:05d}.txt").write_text("1 0.1 0.2 0.3 0.4\n")
+    files = labels.read_label_files(spark, str(tmp_path), most_files=100)
+    assert files.rdd.getNumPartitions() == 5
+    parts = sources._LabelReader({"place": "/listing", "parts": "5"}, None).partitions()
+    assert [p.names for p in parts] == [f"/listing/{k}.json" for k in range(5)]
+    assert sorted(r.path for r in files.collect()) == sorted(f"{tmp_path}/{k:05d}.txt" for k in range(500))
+
+
 def test_image_sizes_from_headers(spark, tmp_path):
     def segment(mark, body):
         return bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
