@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Lines of a band.
 BAND = 64
@@ -23,16 +24,32 @@ Taps = Callable[[Column, Column, Column], list[tuple[Column, Column]] | Column]
 def lines_of(pixels: DataFrame) -> DataFrame:
     """Gather pixels ``(..., y, x, c, v)`` to lines. A line with a hole, a pixel twice or a null raises."""
     keep = [c for c in pixels.columns if c not in ("x", "v")]
-    cells = F.array_sort(F.collect_list(F.struct("x", "v")))
+    cell, place, value = _packed() if all(pixels.schema[c].dataType == IntegerType() for c in ("x", "v")) else _paired()
+    cells = F.array_sort(F.collect_list(cell))
     lines = pixels.groupBy(*keep).agg(cells.alias("_cells"), F.count("*").alias("_n"))
-    whole = (F.element_at("_cells", -1)["x"] == F.col("_n") - 1) & (F.col("_cells")[0]["x"] == 0)
-    sound = whole & (F.size(F.array_distinct(F.transform("_cells", lambda s: s["x"]))) == F.col("_n"))
-    sound = sound & F.forall("_cells", lambda s: s["x"].isNotNull() & s["v"].isNotNull())
-    vals = F.transform("_cells", lambda s: s["v"].cast("double"))
+    whole = (place(F.element_at("_cells", -1)) == F.col("_n") - 1) & (place(F.col("_cells")[0]) == 0)
+    sound = whole & (F.size(F.array_distinct(F.transform("_cells", place))) == F.col("_n"))
+    sound = sound & F.forall("_cells", lambda s: place(s).isNotNull() & value(s).isNotNull())
+    # a line of nulls alone has no cells
+    sound = (F.size("_cells") == F.col("_n")) & sound
+    vals = F.transform("_cells", lambda s: value(s).cast("double"))
     broken = F.raise_error(F.concat(F.lit("broken line of pixels in image "), F.col("image_id").cast("string"))).cast("array<double>")
     return lines.select(*keep, F.when(F.coalesce(sound, F.lit(False)), vals).otherwise(broken).alias("vals"))
 
 
+def _paired() -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """Place and value of a pixel as a struct, and how each is read."""
+    return F.struct("x", "v"), lambda s: s["x"], lambda s: s["v"]
+
+
+def _packed() -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """The same for whole numbers, place above value in one number: a quarter of the bytes to gather, the same order. A null in
+    either leaves a hole."""
+    low = lambda s: F.shiftright(F.shiftleft(s, 32), 32).cast("int")
+    bits = F.col("v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(F.col("x").cast("bigint"), 32).bitwiseOR(bits), lambda s: F.shiftright(s, 32).cast("int"), low
+
+
 def pixels_of(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spread lines to pixels; a value is rounded half up to a whole number."""
     keep = [c for c in lines.columns if c != "vals"]

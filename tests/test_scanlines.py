@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from checks import fixtures
 from detframe.functions import geometry
 from detframe.operators import augment, curves, scanlines
 
@@ -156,3 +157,26 @@ def test_curve_with_many_zeros_and_scores_below(spark, seed):
         own = [r for r in got if r.class_id == cls]
         assert [r["rank"] for r in own] == list(range(1, len(made) + 1))
         assert [(r.precision, r.recall, r.threshold) for r in own] == brute.curve(want, cls)
+
+
+def test_whole_numbers_are_gathered_packed(spark):
+    """Any int value survives the packing, other types go unpacked, and a null or a hole still raises."""
+    ends = [-(2**31), -1, 0, 255, 2**31 - 1]
+    rows = [(1, 0, x, 0, v) for x, v in enumerate(ends)]
+    pixels = spark.createDataFrame(rows[::-1], "image_id bigint, y int, x int, c int, v int")
+    assert scanlines.lines_of(pixels).first().vals == [float(v) for v in ends]
+    assert scanlines.lines_of(pixels.withColumn("v", F.col("v") + 0.5)).first().vals == [v + 0.5 for v in ends]
+    for bad in (F.when(F.col("x") != 2, F.col("v")), F.lit(None).cast("int")):
+        with pytest.raises(Exception, match="broken line"):
+            scanlines.lines_of(pixels.withColumn("v", bad)).collect()
+    with pytest.raises(Exception, match="broken line"):
+        scanlines.lines_of(pixels.where("x <> 4 and x <> 1")).collect()
+
+
+def test_pixels_of_an_image_share_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "PIXEL_IMAGES", 50)
+    f = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    pixels = f("fx_pixels")
+    assert pixels.rdd.getNumPartitions() == f("fx_images").count() // 50 + 1
+    spread = pixels.withColumn("p", F.spark_partition_id()).groupBy("image_id").agg(F.countDistinct("p").alias("n"), F.count("*").alias("rows"))
+    assert spread.where("n <> 1 or rows <> 288").count() == 0
