@@ -8,11 +8,13 @@ missed boxes) is spread by the tie order.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from detframe.functions.scores import conform
+from detframe.operators.curvebuckets import SLOTS, TIE_BUCKETS, TIE_MARKS, count_buckets, points_in
 from detframe.operators.ranking import running_totals
 from detframe.session import materialize
 
@@ -91,17 +93,8 @@ def average_precision(curves: DataFrame, classes: DataFrame, points: int = 11, b
     return classes.join(ap, groups, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-# Score buckets above and below zero, and image buckets of the rows scored exactly zero (for keys that are no numbers: marks between buckets).
-SCORE_BUCKETS = 4096
-TIE_BUCKETS = 256
-TIE_MARKS = 63
-
-
-def _score_bucket(score: Column) -> Column:
-    """Order-keeping bucket: positive above 0, 0 for exactly zero, negative below."""
-    up = F.floor(score / F.col("_b.high") * (SCORE_BUCKETS - 1)) + 1
-    down = -F.floor(score / F.col("_b.low") * (SCORE_BUCKETS - 1)) - 1
-    return F.when(score > 0, up).when(score < 0, down).otherwise(0).cast("int")
+# Points of a bucket that one task may order.
+BUCKET = 1 << 20
 
 
 def _tie_bucket(numeric: bool) -> Column:
@@ -112,8 +105,8 @@ def _tie_bucket(numeric: bool) -> Column:
     return F.floor((F.col("image_id") - F.col("_b.first")) / span * TIE_BUCKETS).cast("int")
 
 
-def _bounds(rows: DataFrame, numeric: bool) -> Column:
-    """What the buckets need, as one constant: a row of four numbers is read once, where a subquery would run in every plan that uses it.
+def _bounds(rows: DataFrame, numeric: bool) -> tuple[Column, float, float]:
+    """What the buckets need, as constants: the image bounds as a struct ``_b``, the lowest and the highest score.
 
     For keys that are no numbers, marks are the images with the smallest hashes, so they fall evenly into any kind of key.
     """
@@ -124,19 +117,26 @@ def _bounds(rows: DataFrame, numeric: bool) -> Column:
     if not numeric:
         marks = rows.select("image_id").distinct().orderBy(F.xxhash64("image_id"), "image_id").limit(TIE_MARKS)
         fields.append(marks.agg(F.array_sort(F.collect_list("image_id"))).scalar().alias("marks"))
-    return F.struct(*fields)
+    return F.struct(*fields), float(found["low"] or 0.0), float(found["high"] or 0.0)
+
+
+def _codes(buckets: DataFrame, code: Column, by) -> dict[tuple, np.ndarray]:
+    """The buckets of each run as numbers: at most ``SLOTS`` for a class."""
+    listed = buckets.groupBy(*by).agg(F.collect_list(code).alias("codes")).collect()
+    return {tuple(r[name] for name in by): np.array(r["codes"], dtype=np.int32) for r in listed if r["codes"]}
 
 
-def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
+def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=(), bucket: int = BUCKET) -> DataFrame:
     """The curve points that can decide an interpolated AP, without sorting the whole curve.
 
-    1. Count rows and hits per class and bucket of the curve order. Missed boxes
-       score zero for every class, so they are counted before they are spread
-       over the classes.
+    1. Count rows and hits per class and bucket of the curve order, a batch of
+       rows at a time: the points of a row never become rows here.
     2. Running totals over the buckets (a bounded table) bound the precision of
        the hits in each bucket from both sides. A bucket whose upper bound is
        below what its recall level surely reaches cannot decide anything.
-    3. Only the rows of the remaining buckets are ordered.
+    3. Only the rows of the remaining buckets are ordered, each bucket by
+       itself, one of more than ``bucket`` rows over many tasks. Their list is
+       bounded by runs, classes and buckets, so tasks get it as a constant.
 
     The result holds the exact ``precision`` and ``recall`` of the hits in
     those buckets; :func:`average_precision` gives the same value from it as
@@ -144,25 +144,11 @@ def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=())
     """
     groups = [*by, "class_id"]
     numeric = isinstance(rows.schema["image_id"].dataType, NumericType)
-    bounds = _bounds(rows, numeric)
+    bounds, low, high = _bounds(rows, numeric)
     tagged = rows.withColumn("_b", bounds)
-    keep = [*by, "image_id", "kind", "det_score", "pos", "y_true"]
-    spread = tagged.where(F.col("kind") == 0).select(*keep, "_b", F.posexplode(conform(F.col("scores"), num_classes)).alias("class_id", "score"))
-    found = spread.select(
-        *keep, "class_id", "score", _score_bucket(F.col("score")).alias("b1"),
-        F.when(F.col("score") == 0, _tie_bucket(numeric)).otherwise(0).alias("b2"),
-    )
-    missed = tagged.where(F.col("kind") == 1).select(*keep, _tie_bucket(numeric).alias("b2"))
-    hit = (F.col("y_true") == F.col("class_id")).cast("bigint")
-
-    ids = F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1)))
-    counted = missed.groupBy(*by, "y_true", "b2").agg(F.count("*").alias("n")).withColumn("class_id", ids)
-    histogram = (
-        found.groupBy(*groups, "b1", "b2").agg(F.count("*").alias("n"), F.sum(hit).alias("t"))
-        .unionByName(counted.select(*groups, F.lit(0).alias("b1"), "b2", "n", (hit * F.col("n")).alias("t")))
-        .groupBy(*groups, "b1", "b2").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    )
-    ordered = Window.partitionBy(*groups).orderBy(F.col("b1").desc(), F.col("b2").desc())
+    tie = _tie_bucket(numeric)
+    histogram = count_buckets(tagged, num_classes, tie, low, high, by)
+    ordered = Window.partitionBy(*groups).orderBy(F.col("slot").desc())
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
     spans = histogram.withColumns({
@@ -176,20 +162,21 @@ def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=())
     })
     open_buckets = materialize(
         judged.withColumn("sure", F.max("least").over(reach)).where(F.col("most") >= F.col("sure"))
-        .select(*groups, "b1", "b2", n_before.alias("n_before"), t_before.alias("t_before"), "positives"),
+        .select(*groups, "slot", "n", n_before.alias("n_before"), t_before.alias("t_before"), "positives"),
         "open-buckets",
     )
-    sums = ["n_before", "t_before", "positives"]
-    columns = [*groups, "b1", "b2", *sums, "image_id", "kind", "det_score", "pos", "score", hit.alias("hit")]
-    from_found = found.join(open_buckets, [*groups, "b1", "b2"]).select(*columns)
-    zero = open_buckets.where(F.col("b1") == 0)
-    from_missed = missed.join(zero, [*by, "b2"]).withColumn("score", F.lit(0.0)).select(*columns)
-    running = running_totals(
-        from_found.unionByName(from_missed), [*groups, "b1", "b2"], [F.col("score").desc(), *evaluation_order()],
-        {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}, "deciding",
-    )
+    code = (F.col("class_id") * SLOTS + F.col("slot")).cast("int")
+    order, counts = [F.col("score").desc(), *evaluation_order()], {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}
+    inside = points_in(tagged, num_classes, tie, low, high, _codes(open_buckets.where(F.col("n") <= bucket), code, by), by)
+    upto = Window.partitionBy(*groups, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = inside.withColumns({name: F.sum(value).over(upto) for name, value in counts.items()})
+    large = _codes(open_buckets.where(F.col("n") > bucket), code, by)
+    if large:
+        inside = points_in(tagged, num_classes, tie, low, high, large, by)
+        running = running.unionByName(running_totals(inside, [*groups, "slot"], order, counts, "deciding"))
+    placed = running.where(F.col("hit") == 1).join(open_buckets, [*groups, "slot"])
     tp, rank = F.col("t_before") + F.col("_tp"), F.col("n_before") + F.col("_rank")
-    return running.where(F.col("hit") == 1).select(*groups, (tp / rank).alias("precision"), (tp / F.col("positives")).alias("recall"))
+    return placed.select(*groups, (tp / rank).alias("precision"), (tp / F.col("positives")).alias("recall"))
 
 
 def average_precision_of(rows: DataFrame, classes: DataFrame, num_classes: int, points: int = 11, by=()) -> DataFrame:
