@@ -200,7 +200,7 @@ DUP = [
     "select g nms_threshold, duplicate_pairs, images_with_pairs, mean_pairs_per_image from dups",
     FX, [*cte_nms(TS), "det as (select t g, k.* exclude (t) from kept k)", *DUP], "nms_threshold mean_pairs_per_image"))
 def _(f):
-    return sweep.duplicate_summary(materialize(suppress.suppress_sweep(f("fx_raw")), "swept"))
+    return sweep.duplicate_summary(materialize(suppress.suppress_sweep(f("fx_raw")), "swept", "image_id"))
 
 
 SUMMARY = [
@@ -266,7 +266,7 @@ def subset_text() -> tuple[list[str], str]:
 @query("subset_summary", duck(subset_text()[1], [*FX, "fx_images"], subset_text()[0], "nms_threshold map mean_pairs_per_image"))
 def _(f):
     crowded = profile.crowded_images(profile.overlap_profile(f("fx_images").select("image_id"), f("fx_gt")))
-    kept = materialize(suppress.suppress_sweep(f("fx_raw")), "swept")
+    kept = materialize(suppress.suppress_sweep(f("fx_raw")), "swept", "image_id")
     return sweep.subset_summary(kept, f("fx_gt"), f("fx_classes"), NUM_CLASSES, f("fx_images"), {"crowded_any_overlap": crowded})
 
 

@@ -61,12 +61,6 @@ def _vectors(found: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarra
     return flat.to_numpy(zero_copy_only=False).reshape(-1, classes), nulls
 
 
-def _split(part: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """(detections, missed boxes)."""
-    kind = part.column("kind").to_numpy(zero_copy_only=False)
-    return part.filter(pa.array(kind == 0)), part.filter(pa.array(kind == 1))
-
-
 def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -125,7 +119,7 @@ def count_buckets(rows: DataFrame, classes: int, tie: Column, low: float, high:
 def points_in(
     rows: DataFrame, classes: int, tie: Column, low: float, high: float, chosen: dict[tuple, np.ndarray], by=(), keep=("image_id", "kind", "det_score", "pos"),
 ) -> DataFrame:
-    """The points in the ``chosen`` buckets (per run: sorted ``class * SLOTS + slot``), with ``class_id, slot, score, hit``."""
+    """The points of detections in the ``chosen`` buckets (per run: sorted ``class * SLOTS + slot``), with ``class_id, slot, score, hit``."""
     by, keep = list(by), list(keep)
     names = [*by, *keep, "class_id", "slot", "score", "hit"]
 
@@ -135,38 +129,34 @@ def points_in(
             masks[key] = np.zeros(classes * SLOTS, dtype=bool)
             masks[key][codes] = True
 
-        def rows_of(part, row, class_id, slot, score):
-            taken = part.take(pa.array(row))
-            hit = (_ints(taken, "y_true") == class_id).astype(np.int64)
-            own = [taken.column(name) for name in (*by, *keep)]
-            numbers = [pa.array(class_id.astype(np.int32)), pa.array(slot.astype(np.int32)), score, pa.array(hit)]
-            return pa.RecordBatch.from_arrays([*own, *numbers], names=names)
-
         for batch in batches:
             for key, part in _groups(batch, by):
                 if key not in masks:
                     continue
                 mask = masks[key]
-                found, missed = _split(part)
-                if found.num_rows:
-                    scores, nulls = _vectors(found, classes)
-                    slot = _slots(scores, nulls, _ints(found, "_tie"), low, high)
-                    row, class_id = np.nonzero(mask[slot + np.arange(classes) * SLOTS])
-                    flat = found.column("scores").flatten().take(pa.array(row * classes + class_id))
-                    yield rows_of(found, row, class_id, slot[row, class_id], flat)
-                if missed.num_rows:
-                    place = _ints(missed, "_tie") + ZERO
-                    for c in range(classes):
-                        row = np.flatnonzero(mask[c * SLOTS + place])
-                        if len(row):
-                            yield rows_of(missed, row, np.full(len(row), c), place[row], pa.array(np.zeros(len(row))))
+                scores, nulls = _vectors(part, classes)
+                slot = _slots(scores, nulls, _ints(part, "_tie"), low, high)
+                row, class_id = np.nonzero(mask[slot + np.arange(classes) * SLOTS])
+                taken, place = part.take(pa.array(row)), pa.array(row * classes + class_id)
+                hit = (_ints(taken, "y_true") == class_id).astype(np.int64)
+                own = [taken.column(name) for name in (*by, *keep)]
+                numbers = [pa.array(class_id.astype(np.int32)), pa.array(slot[row, class_id]), part.column("scores").flatten().take(place), pa.array(hit)]
+                yield pa.RecordBatch.from_arrays([*own, *numbers], names=names)
 
     fields = [rows.schema[name] for name in (*by, *keep)]
     schema = StructType([
         *fields, StructField("class_id", IntegerType()), StructField("slot", IntegerType()), StructField("score", DoubleType()),
         StructField("hit", LongType()),
     ])
-    return _prepared(rows, classes, tie, [*by, *keep]).mapInArrow(picked, schema)
+    return _prepared(rows.where(F.col("kind") == 0), classes, tie, [*by, *keep]).mapInArrow(picked, schema)
+
+
+def missed_in(rows: DataFrame, tie: Column, buckets: DataFrame, by=(), keep=("image_id", "kind", "det_score", "pos")) -> DataFrame:
+    """The same for missed boxes, scored zero on every curve: joined to the zero buckets among ``buckets`` (a bounded table)."""
+    zero = buckets.where(F.col("slot").between(ZERO, ZERO + TIE_BUCKETS - 1)).select(*by, "class_id", "slot")
+    missed = rows.where(F.col("kind") == 1).withColumn("slot", (tie + ZERO).cast("int")).join(zero, [*by, "slot"])
+    hit = (F.col("y_true") == F.col("class_id")).cast("bigint")
+    return missed.select(*by, *keep, "class_id", "slot", F.lit(0.0).alias("score"), hit.alias("hit"))
 
 
 # Workers need not have this package.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from detframe.functions.scores import conform
-from detframe.operators.curvebuckets import SLOTS, TIE_BUCKETS, TIE_MARKS, count_buckets, points_in
+from detframe.operators.curvebuckets import SLOTS, TIE_BUCKETS, TIE_MARKS, count_buckets, missed_in, points_in
 from detframe.operators.ranking import running_totals
 from detframe.session import materialize
 
@@ -167,13 +167,16 @@ def deciding_points(rows: DataFrame, num_classes: int, points: int = 11, by=(),
     )
     code = (F.col("class_id") * SLOTS + F.col("slot")).cast("int")
     order, counts = [F.col("score").desc(), *evaluation_order()], {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}
-    inside = points_in(tagged, num_classes, tie, low, high, _codes(open_buckets.where(F.col("n") <= bucket), code, by), by)
+
+    def inside(part: DataFrame, codes: dict[tuple, np.ndarray]) -> DataFrame:
+        return points_in(tagged, num_classes, tie, low, high, codes, by).unionByName(missed_in(tagged, tie, part, by))
+
+    small, large = open_buckets.where(F.col("n") <= bucket), open_buckets.where(F.col("n") > bucket)
     upto = Window.partitionBy(*groups, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = inside.withColumns({name: F.sum(value).over(upto) for name, value in counts.items()})
-    large = _codes(open_buckets.where(F.col("n") > bucket), code, by)
-    if large:
-        inside = points_in(tagged, num_classes, tie, low, high, large, by)
-        running = running.unionByName(running_totals(inside, [*groups, "slot"], order, counts, "deciding"))
+    running = inside(small, _codes(small, code, by)).withColumns({name: F.sum(value).over(upto) for name, value in counts.items()})
+    codes = _codes(large, code, by)
+    if codes:
+        running = running.unionByName(running_totals(inside(large, codes), [*groups, "slot"], order, counts, "deciding"))
     placed = running.where(F.col("hit") == 1).join(open_buckets, [*groups, "slot"])
     tp, rank = F.col("t_before") + F.col("_tp"), F.col("n_before") + F.col("_rank")
     return placed.select(*groups, (tp / rank).alias("precision"), (tp / F.col("positives")).alias("recall"))

@@ -178,18 +178,16 @@ def _of_run(candidates: Column, run: int) -> Column:
     return F.filter(candidates, lambda c: c["mask"].bitwiseAND(bit) != 0)
 
 
-def match_runs(
-    detections: DataFrame, ground_truth: DataFrame, runs: int, iou_threshold: float = 0.5, limit: int = LIMIT
-) -> DataFrame:
-    """Matches of many runs from one pairing: ``(image_id, run, pos, gt_pos, gt_class, iou)``.
+def _fold_runs(
+    dets: DataFrame, truth: DataFrame, runs: int, iou_threshold: float, limit: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """(for each ordinary image with candidates ``folded``: its matches of each run; the hot images).
 
-    ``detections`` carry ``run``, a number from 0; so may ``ground_truth``, else all runs share it. A box that several runs hold is
-    one row with a bit set of runs and is paired once; each run folds the candidates whose both sides it holds.
+    A box that several runs hold is one row with a bit set of runs and is paired once; each run folds the candidates whose both
+    sides it holds. Rows are grouped and joined by image alone.
     """
     if runs > MOST_RUNS:
         raise ValueError(f"at most {MOST_RUNS} runs share one pairing")
-    dets = detections.withColumn("pos", F.col("pos").cast("int"))
-    truth = ground_truth.withColumn("pos", F.col("pos").cast("int"))
     own = "run" in truth.columns
     every = F.lit((1 << runs) - 1).cast("bigint")
     left = run_mask(dets, ["image_id", "pos", "score", *BOX])
@@ -205,17 +203,69 @@ def match_runs(
     )
     grouped = pairs.groupBy("image_id").agg(F.array_sort(F.collect_list(candidate)).alias("c"))
     folded = F.array(*[F.struct(F.lit(r).alias("run"), _fold(_of_run(F.col("c"), r)).alias("found")) for r in range(runs)])
-    found = grouped.select("image_id", F.explode(folded).alias("r")).select("image_id", "r.run", F.explode("r.found").alias("m")).select("image_id", "run", "m.*")
-    if hot is None:
-        return found
-    # images too big for one task: run and image together are one image there
-    spread = truth if own else truth.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    return grouped.select("image_id", folded.alias("folded")), hot
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.withColumn("pos", F.col("pos").cast("int"))
+
+
+def _match_runs_hot(dets: DataFrame, truth: DataFrame, runs: int, iou_threshold: float, limit: int, hot: DataFrame) -> DataFrame:
+    """Images too big for one task: run and image together are one image there."""
+    spread = truth if "run" in truth.columns else truth.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     key = F.struct("image_id", "run")
     big = match_detections(
         dets.join(hot.select("image_id"), "image_id", "left_semi").withColumn("image_id", key),
         spread.join(hot.select("image_id"), "image_id", "left_semi").withColumn("image_id", key), iou_threshold, limit,
     )
-    return found.unionByName(big.select("image_id.image_id", "image_id.run", "pos", "gt_pos", "gt_class", "iou"))
+    return big.select("image_id.image_id", "image_id.run", "pos", "gt_pos", "gt_class", "iou")
+
+
+def match_runs(
+    detections: DataFrame, ground_truth: DataFrame, runs: int, iou_threshold: float = 0.5, limit: int = LIMIT
+) -> DataFrame:
+    """Matches of many runs from one pairing: ``(image_id, run, pos, gt_pos, gt_class, iou)``.
+
+    ``detections`` carry ``run``, a number from 0; so may ``ground_truth``, else all runs share it. See :func:`_fold_runs`.
+    """
+    dets, truth = _whole(detections), _whole(ground_truth)
+    folded, hot = _fold_runs(dets, truth, runs, iou_threshold, limit)
+    found = folded.select("image_id", F.explode("folded").alias("r")).select("image_id", "r.run", F.explode("r.found").alias("m")).select("image_id", "run", "m.*")
+    return found if hot is None else found.unionByName(_match_runs_hot(dets, truth, runs, iou_threshold, limit, hot))
+
+
+def label_runs(
+    detections: DataFrame, ground_truth: DataFrame, runs: int, num_classes: int, iou_threshold: float = 0.5, eval_type: str = "combined",
+    limit: int = LIMIT,
+) -> DataFrame:
+    """Evaluation rows of many runs with ``run``; the vectors of missed boxes stay NULL.
+
+    The matches of an ordinary image are one row, looked up where its boxes lie, so neither vectors nor boxes are shuffled by
+    position; those of hot images are joined, see :func:`label_rows`.
+    """
+    dets, truth = _whole(detections), _whole(ground_truth)
+    folded, hot = _fold_runs(dets, truth, runs, iou_threshold, limit)
+    short = F.transform("folded", lambda r: F.transform(r["found"], lambda m: F.struct(m["pos"].alias("pos"), m["gt_pos"].alias("gt_pos"), m["gt_class"].alias("gt_class"))))
+    matched = materialize(folded.select("image_id", short.alias("runs")), "run-matches", "image_id")
+    spread = truth if "run" in truth.columns else truth.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    cool_d, hot_d = split_hot(dets, hot)
+    cool_t, hot_t = split_hot(spread, hot)
+    vector = evaluation_vector(F.col("score"), F.col("cs"), F.col("class_id"), num_classes, eval_type)
+    of_run = F.get("runs", F.col("run"))
+    taken = F.get(F.filter(of_run, lambda m: m["pos"] == F.col("pos")), F.lit(0))["gt_class"]
+    found = cool_d.join(matched, "image_id", "left").select(
+        "run", "image_id", F.lit(0).alias("kind"), F.col("score").alias("det_score"), "pos", F.coalesce(taken, F.lit(-1)).alias("y_true"), vector.alias("scores")
+    )
+    free = ~F.coalesce(F.exists(of_run, lambda m: m["gt_pos"] == F.col("pos")), F.lit(False))
+    missed = cool_t.join(matched, "image_id", "left").where(free).select(
+        "run", "image_id", F.lit(1).alias("kind"), F.lit(0.0).alias("det_score"), "pos", F.col("class_id").cast("int").alias("y_true"),
+        F.lit(None).cast("array<double>").alias("scores"),
+    )
+    rows = found.unionAll(missed)
+    if hot is None:
+        return rows
+    matches = _match_runs_hot(dets, truth, runs, iou_threshold, limit, hot)
+    return rows.unionByName(label_rows(hot_d, hot_t, matches, num_classes, eval_type, ["run"], zeros=False))
 
 
 def missed_ground_truth(ground_truth: DataFrame, matches: DataFrame) -> DataFrame:

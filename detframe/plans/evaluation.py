@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from detframe.operators.compare import run_frame
 from detframe.operators.curves import average_precision_of, mean_average_precision
-from detframe.operators.match import label_rows, match_runs
+from detframe.operators.match import label_runs
 from detframe.operators.pairs import LIMIT
 from detframe.operators.suppress import suppress
 from detframe.session import materialize
@@ -35,17 +35,24 @@ def run_rows(
     detections: DataFrame, ground_truth: DataFrame, num_classes: int, key: str, values: Sequence, iou_threshold: float = 0.5,
     eval_type: str = "combined", limit: int = LIMIT,
 ) -> DataFrame:
-    """Stored evaluation rows of every run, with ``key``. Boxes are paired once for all runs, see :func:`match_runs`.
+    """Stored evaluation rows of every run, with ``key``. Boxes are paired once for all runs, see :func:`label_runs`.
 
     Rows depend on their image alone, so those of a subset of images are a filter of these.
     """
     options = F.array(*[F.lit(v) for v in values])
     dets = _numbered(detections, key, values)
     truth = _numbered(ground_truth, key, values) if key in ground_truth.columns else ground_truth
-    matches = match_runs(dets, truth, len(values), iou_threshold, limit).withColumn(key, F.get(options, F.col("run"))).drop("run")
-    if key not in ground_truth.columns:
-        truth = truth.withColumn(key, F.explode(options))
-    return materialize(label_rows(dets, truth, matches, num_classes, eval_type, [key], zeros=False), "eval-rows")
+    rows = label_runs(dets, truth, len(values), num_classes, iou_threshold, eval_type, limit)
+    return _stored_rows(rows.select(F.get(options, F.col("run")).alias(key), *[c for c in rows.columns if c != "run"]))
+
+
+def _stored_rows(rows: DataFrame) -> DataFrame:
+    """Evaluation rows stored by image, missed boxes as a table without vectors, so that a reader of either kind reads no other."""
+    found = materialize(rows.where(F.col("kind") == 0).drop("kind"), "eval-found", "image_id").withColumn("kind", F.lit(0))
+    missed = materialize(rows.where(F.col("kind") == 1).drop("kind", "det_score", "scores"), "eval-missed", "image_id").withColumns(
+        {"kind": F.lit(1), "det_score": F.lit(0.0), "scores": F.lit(None).cast("array<double>")}
+    )
+    return found.select(rows.columns).unionAll(missed.select(rows.columns))
 
 
 def summarise_runs(
@@ -105,7 +112,7 @@ def evaluate_model(
     limit: int = LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """Suppress, match and score one model; the summary repeats the parameters."""
-    kept = materialize(suppress(raw, nms_threshold, score_threshold, limit), "kept").withColumn("model", F.lit("model"))
+    kept = materialize(suppress(raw, nms_threshold, score_threshold, limit), "kept", "image_id").withColumn("model", F.lit("model"))
     summary, per_class = evaluate_runs(
         kept, ground_truth, classes, num_classes, "model", ["model"], iou_threshold, eval_type, limit=limit
     )

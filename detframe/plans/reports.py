@@ -37,7 +37,7 @@ def compare_models(
         both = kept if both is None else both.unionByName(kept)
     names = list(models)
     summary, per_class = evaluate_runs(
-        materialize(both, "models"), ground_truth, classes, num_classes, "model", names, iou_threshold, eval_type, limit=limit
+        materialize(both, "models", "image_id"), ground_truth, classes, num_classes, "model", names, iou_threshold, eval_type, limit=limit
     )
     return ModelReport(summary, per_class, model_comparison(per_class, *names[:2]))
 

@@ -52,7 +52,7 @@ def threshold_sweep(
     score_threshold: float = 0.5,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(kept, summary, per_class)``: stored survivors, one summary row per threshold with its duplicates, AP per class."""
-    kept = materialize(suppress_sweep(raw, thresholds, score_threshold), "swept")
+    kept = materialize(suppress_sweep(raw, thresholds, score_threshold), "swept", "image_id")
     summary, per_class = evaluate_runs(kept, ground_truth, classes, num_classes, KEY, list(thresholds))
     return kept, summary.join(duplicate_summary(kept), KEY, "left"), per_class
 
@@ -66,9 +66,9 @@ def subset_summary(
     rows = run_rows(kept, ground_truth, num_classes, KEY, values)
     pairs = duplicate_counts(kept)
     for name, chosen in {"all_selected": images, **subsets}.items():
-        ids = materialize(chosen.select("image_id").distinct(), "subset")
+        ids = materialize(chosen.select("image_id").distinct(), "subset", "image_id")
         own_rows, own_kept, own_truth, own_pairs = (x.join(ids, "image_id", "left_semi") for x in (rows, kept, ground_truth, pairs))
-        summary, _ = summarise_runs(materialize(own_rows, "subset-rows"), own_kept, own_truth, classes, num_classes, KEY, values)
+        summary, _ = summarise_runs(own_rows, own_kept, own_truth, classes, num_classes, KEY, values)
         part = summary.join(duplicates_of(own_pairs), KEY, "left").withColumns({"subset_name": F.lit(name), "images": ids.agg(F.count("*")).scalar()})
         out = part if out is None else out.unionByName(part)
     return out

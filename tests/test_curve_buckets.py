@@ -40,3 +40,21 @@ def test_points_of_a_row_are_counted_without_exploding(spark):
 
     plan = deciding_points(_rows(spark), 3, by=["run"])._jdf.queryExecution().toString()
     assert "posexplode" not in plan.lower() and "rangepartitioning" not in plan.lower()
+
+
+def test_runs_are_labelled_without_moving_vectors(spark):
+    from detframe.operators.match import label_runs
+    from detframe.session import materialize
+
+    det = [(i, p, 1, 10.0 * p, 0.0, 9.0, 9.0, 0.9 - p / 10, [0.1, 0.9], r) for i in range(6) for p in range(2) for r in range(2) if (i + p + r) % 3]
+    boxes = [(i, p, 0, 10.0 * p, 0.0, 9.0, 9.0) for i in range(6) for p in range(3)]
+    shape = "image_id bigint, pos int, class_id int, x double, y double, w double, h double"
+    dets = materialize(spark.createDataFrame(det, f"{shape}, score double, cs array<double>, run int"), "dets", "image_id")
+    truth = materialize(spark.createDataFrame(boxes, shape), "truth", "image_id")
+    rows = label_runs(dets, truth, 2, 2)
+    moved = [line for line in rows._jdf.queryExecution().toString().split("Physical Plan")[-1].splitlines() if "Exchange hash" in line]
+    assert not moved
+    found = {(r.run, r.image_id, r.kind, r.pos, r.y_true) for r in rows.collect()}
+    held = {(d[9], d[0], d[1]) for d in det}
+    want = {(r, i, 0, p, 0) for r, i, p in held} | {(r, i, 1, p, 0) for r in range(2) for i in range(6) for p in range(3) if (r, i, p) not in held}
+    assert found == want
