@@ -58,3 +58,16 @@ def test_runs_are_labelled_without_moving_vectors(spark):
     held = {(d[9], d[0], d[1]) for d in det}
     want = {(r, i, 0, p, 0) for r, i, p in held} | {(r, i, 1, p, 0) for r in range(2) for i in range(6) for p in range(3) if (r, i, p) not in held}
     assert found == want
+
+
+def test_conditions_of_a_hot_image_are_suppressed_apart(spark):
+    from detframe.operators.suppress import suppress_sweep
+
+    draw = random.Random(3)
+    rows = [(i, p, c, float(draw.randrange(20)), float(draw.randrange(20)), 15.0, 15.0, draw.random()) for i in range(3) for p in range(6) for c in "ab"]
+    dets = spark.createDataFrame(rows, "image_id bigint, pos int, run string, x double, y double, w double, h double, score double")
+    keys = ["image_id", "run", "pos"]
+    usual = sorted(map(tuple, suppress_sweep(dets, [0.3], 0.1, by="run").select(keys).collect()))
+    hot = sorted(map(tuple, suppress_sweep(dets, [0.3], 0.1, limit=3, by="run").select(keys).collect()))
+    apart = sorted((r.image_id, c, r.pos) for c in "ab" for r in suppress_sweep(dets.where(F.col("run") == c), [0.3], 0.1).collect())
+    assert usual == apart and hot == apart
