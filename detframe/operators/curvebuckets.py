@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,22 +25,25 @@ from detframe.functions.scores import conform
 SCORE_BUCKETS = 4096
 TIE_BUCKETS = 256
 TIE_MARKS = 63
-ZERO = SCORE_BUCKETS
-SLOTS = 2 * SCORE_BUCKETS + TIE_BUCKETS
+ZERO = SCORE_BUCKETS + 1
+POSITIVE = ZERO + TIE_BUCKETS
+SLOTS = POSITIVE + SCORE_BUCKETS
 # Counters a task holds before it hands them on.
 HELD = 1 << 25
+# Points made of evaluation rows at once.
+MADE = 1 << 19
 
 
 def _slots(scores: np.ndarray, nulls: np.ndarray | None, tie: np.ndarray, low: float, high: float) -> np.ndarray:
     """Order-keeping bucket of each entry of the matrix: by score, for zero by the image's bucket."""
     out = np.broadcast_to((ZERO + tie)[:, None], scores.shape).astype(np.int32)
-    for chosen, end, first, step in ((scores < 0, low, ZERO - 1, -1), ((scores > 0) | np.isnan(scores), high, ZERO + TIE_BUCKETS, 1)):
+    for chosen, end, first, step in ((scores < 0, low, ZERO - 1, -1), ((scores > 0) | np.isnan(scores), high, POSITIVE, 1)):
         if chosen.any():
             with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
                 place = np.floor(scores[chosen] / end * (SCORE_BUCKETS - 1))
             out[chosen] = first + step * np.clip(np.nan_to_num(place), 0, SCORE_BUCKETS - 1).astype(np.int32)
     if nulls is not None:
-        out[nulls] = ZERO
+        out[nulls] = 0
     return out
 
 
@@ -55,6 +59,13 @@ def _groups(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, pa.Re
         yield values[code], batch if len(values) == 1 else batch.filter(pa.array(codes == code))
 
 
+def _pieces(batch: pa.RecordBatch, classes: int) -> Iterator[pa.RecordBatch]:
+    """The batch a few rows at a time, so that a wide vector does not make many points at once."""
+    step = max(1, MADE // classes)
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def _vectors(found: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray | None]:
     flat = found.column("scores").flatten()
     nulls = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, classes) if flat.null_count else None
@@ -134,14 +145,15 @@ def points_in(
                 if key not in masks:
                     continue
                 mask = masks[key]
-                scores, nulls = _vectors(part, classes)
-                slot = _slots(scores, nulls, _ints(part, "_tie"), low, high)
-                row, class_id = np.nonzero(mask[slot + np.arange(classes) * SLOTS])
-                taken, place = part.take(pa.array(row)), pa.array(row * classes + class_id)
-                hit = (_ints(taken, "y_true") == class_id).astype(np.int64)
-                own = [taken.column(name) for name in (*by, *keep)]
-                numbers = [pa.array(class_id.astype(np.int32)), pa.array(slot[row, class_id]), part.column("scores").flatten().take(place), pa.array(hit)]
-                yield pa.RecordBatch.from_arrays([*own, *numbers], names=names)
+                for piece in _pieces(part, classes):
+                    scores, nulls = _vectors(piece, classes)
+                    slot = _slots(scores, nulls, _ints(piece, "_tie"), low, high)
+                    row, class_id = np.nonzero(mask[slot + np.arange(classes) * SLOTS])
+                    taken, place = piece.take(pa.array(row)), pa.array(row * classes + class_id)
+                    hit = (_ints(taken, "y_true") == class_id).astype(np.int64)
+                    own = [taken.column(name) for name in (*by, *keep)]
+                    numbers = [pa.array(class_id.astype(np.int32)), pa.array(slot[row, class_id]), piece.column("scores").flatten().take(place), pa.array(hit)]
+                    yield pa.RecordBatch.from_arrays([*own, *numbers], names=names)
 
     fields = [rows.schema[name] for name in (*by, *keep)]
     schema = StructType([
@@ -159,5 +171,56 @@ def missed_in(rows: DataFrame, tie: Column, buckets: DataFrame, by=(), keep=("im
     return missed.select(*by, *keep, "class_id", "slot", F.lit(0.0).alias("score"), hit.alias("hit"))
 
 
+def zero_rows(rows: DataFrame, classes: int, by=(), keep=("image_id", "kind", "det_score", "pos")) -> DataFrame:
+    """Rows scored exactly zero for some class, with these classes as ``zero``; missed boxes, zero for all, hold NULL there."""
+    vector = conform(F.col("scores"), classes)
+    places = F.filter(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.get(vector, i) == 0.0)
+    zero = F.when(F.col("kind") == 0, places)
+    target = F.coalesce(F.col("y_true").cast("int"), F.lit(-1))
+    return rows.select(*by, *keep, target.alias("y_true"), zero.alias("zero")).where(F.col("zero").isNull() | (F.size("zero") > 0))
+
+
+def count_zeros(rows: DataFrame, classes: int, by=()) -> DataFrame:
+    """``n`` points and ``t`` hits of each class among ``zero_rows``, for each value of ``by``."""
+    every = F.sequence(F.lit(0), F.lit(classes - 1))
+    missed = rows.where(F.col("zero").isNull()).groupBy(*by, "y_true").agg(F.count("*").alias("n"))
+    missed = missed.select(*by, "y_true", F.explode(every).alias("class_id"), "n")
+    found = rows.where(F.col("zero").isNotNull()).select(*by, "y_true", F.explode("zero").alias("class_id"), F.lit(1).cast("bigint").alias("n"))
+    hits = F.when(F.col("y_true") == F.col("class_id"), F.col("n")).otherwise(0).cast("bigint")
+    return missed.unionByName(found).groupBy(*by, "class_id").agg(F.sum("n").alias("n"), F.sum(hits).alias("t"))
+
+
+def zero_points(rows: DataFrame, classes: int, by=(), keep=("image_id", "kind", "det_score", "pos")) -> DataFrame:
+    """The points of ``zero_rows`` with ``class_id, hit`` and, counted within each value of ``by``, ``_rank, _tp`` up to each.
+
+    The rows of a value lie in one partition in curve order; a task holds one counter of a class and value.
+    """
+    by, keep = list(by), list(keep)
+    names = [*by, *keep, "class_id", "hit", "_rank", "_tp"]
+
+    def spread(batches):
+        upto = {}
+        for batch in batches:
+            for key, part in _groups(batch, by):
+                for piece in _pieces(part, classes):
+                    zero = piece.column("zero")
+                    flags = np.repeat(zero.is_null().to_numpy(zero_copy_only=False)[:, None], classes, axis=1)
+                    flags[pc.list_parent_indices(zero).to_numpy(), zero.flatten().to_numpy()] = True
+                    hits = flags & (_ints(piece, "y_true")[:, None] == np.arange(classes))
+                    n, t = upto.get(key, (0, 0))
+                    rank, tp = np.cumsum(flags, axis=0, dtype=np.int64) + n, np.cumsum(hits, axis=0, dtype=np.int64) + t
+                    upto[key] = (rank[-1].copy(), tp[-1].copy())
+                    row, class_id = np.nonzero(flags)
+                    taken = piece.take(pa.array(row))
+                    own = [taken.column(name) for name in (*by, *keep)]
+                    at = (row, class_id)
+                    numbers = [pa.array(class_id.astype(np.int32)), pa.array(hits[at].astype(np.int64)), pa.array(rank[at]), pa.array(tp[at])]
+                    yield pa.RecordBatch.from_arrays([*own, *numbers], names=names)
+
+    fields = [rows.schema[name] for name in (*by, *keep)]
+    schema = StructType([*fields, StructField("class_id", IntegerType()), *[StructField(n, LongType()) for n in ("hit", "_rank", "_tp")]])
+    return rows.mapInArrow(spread, schema)
+
+
 # Workers need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

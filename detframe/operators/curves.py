@@ -1,9 +1,9 @@
 """Precision/recall curves and interpolated average precision.
 
 Every evaluation row is a point on every class's curve; equal scores are not
-merged. The running counts come from :func:`running_totals`, so twenty classes
-do not mean twenty tasks, and a large group of equal scores (the zero rows of
-missed boxes) is spread by the tie order.
+merged. Counts per class and score bucket come first, so twenty classes do not
+mean twenty tasks, and a large group of equal scores (the zero rows of missed
+boxes) is spread by the tie order.
 """
 
 from __future__ import annotations
@@ -13,48 +13,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from detframe.functions.scores import conform
-from detframe.operators.curvebuckets import SLOTS, TIE_BUCKETS, TIE_MARKS, count_buckets, missed_in, points_in
+from detframe.operators.curvebuckets import (
+    POSITIVE, SLOTS, TIE_BUCKETS, TIE_MARKS, ZERO, count_buckets, count_zeros, missed_in, points_in, zero_points, zero_rows,
+)
 from detframe.operators.ranking import running_totals
 from detframe.session import materialize
 
 
-def class_points(rows: DataFrame, num_classes: int) -> DataFrame:
-    """Explode evaluation rows to one point per class."""
-    points = rows.select("*", F.posexplode(conform(F.col("scores"), num_classes)).alias("class_id", "score"))
-    return points.withColumn("hit", (F.col("y_true") == F.col("class_id")).cast("bigint")).drop("scores", "y_true")
+# Later evaluation rows come first among equal scores.
+def evaluation_order() -> list[Column]:
+    return [F.col("image_id").desc(), F.col("kind").desc(), F.col("det_score").asc(), F.col("pos").desc()]
+
+
+# Nonzero points that a task makes, and that a partition orders.
+SPREAD = 1 << 22
+ORDERED = 1 << 19
 
 
-def curve(points: DataFrame, order: list[Column], by=(), positives: DataFrame | None = None) -> DataFrame:
-    """Cumulative precision and recall per class from ``class_id, score, hit``.
+def _stored(rows: DataFrame, by, keep) -> tuple[DataFrame, DataFrame]:
+    """Detections and missed boxes as tables of their own, the latter without vectors."""
+    found = rows.where(F.col("kind") == 0).select(*by, *keep, "y_true", "scores")
+    missed = rows.where(F.col("kind") == 1).select(*by, *keep, "y_true")
+    return materialize(found, "eval-found"), materialize(missed, "eval-missed").withColumn("scores", F.lit(None).cast("array<double>"))
 
-    ``order`` breaks score ties and must be unique; the first row is the one
-    listed first in it. ``positives`` are the hits of each class that has any, if they are known already.
+
+def _zero_points(rows: DataFrame, num_classes: int, by, keep, before: DataFrame, parts: int) -> DataFrame:
+    """Curve points of score zero with ``_rank, _tp``, where ``before`` (``n, t`` per class) come first.
+
+    Their order is the same for all classes, so rows are ordered, not points: over slices, each counted from the ones before it.
     """
-    groups = [*by, "class_id"]
-    running = running_totals(
-        points, groups, [F.col("score").desc(), *order], {"rank": F.lit(1).cast("bigint"), "tp": F.col("hit")}, "curve"
+    order = evaluation_order()
+    zeros = zero_rows(rows, num_classes, by, keep).repartitionByRange(parts, *[F.col(c) for c in by], *order)
+    zeros = materialize(zeros.withColumn("_slice", F.spark_partition_id()), "zero-rows")
+    upto = Window.partitionBy(*by, "class_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    inner = count_zeros(zeros, num_classes, [*by, "_slice"])
+    earlier = materialize(
+        inner.select(*by, "_slice", "class_id", *[(F.sum(c).over(upto) - F.col(c)).alias(f"_{c}_inner") for c in ("n", "t")])
+        .join(before, [*by, "class_id"])
+        .select(*by, "_slice", "class_id", (F.col("_n_inner") + F.col("n")).alias("_n"), (F.col("_t_inner") + F.col("t")).alias("_t")),
+        "zero-offsets",
     )
-    if positives is None:
-        positives = points.groupBy(*groups).agg(F.sum("hit").alias("positives"))
-    recall = F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0)
-    known = running.join(positives, groups, "left").withColumn("positives", F.coalesce("positives", F.lit(0).cast("bigint")))
-    return known.withColumns(
-        {"precision": F.col("tp") / F.col("rank"), "recall": recall, "threshold": F.col("score")}
+    sliced = zeros.repartition(parts, *by, "_slice").sortWithinPartitions(*by, "_slice", *order)
+    placed = zero_points(sliced, num_classes, [*by, "_slice"], keep).join(earlier, [*by, "_slice", "class_id"])
+    return placed.select(
+        *by, *keep, "class_id", F.lit(0.0).alias("score"), "hit",
+        (F.col("_n") + F.col("_rank")).alias("_rank"), (F.col("_t") + F.col("_tp")).alias("_tp"),
     )
 
 
-# Later evaluation rows come first among equal scores.
-def evaluation_order() -> list[Column]:
-    return [F.col("image_id").desc(), F.col("kind").desc(), F.col("det_score").asc(), F.col("pos").desc()]
-
+def pr_curve(rows: DataFrame, num_classes: int, by=(), bucket: int = 1 << 20) -> DataFrame:
+    """Curve of every class from evaluation rows, which are stored once.
 
-def pr_curve(rows: DataFrame, num_classes: int, by=()) -> DataFrame:
-    """Curve of every class from evaluation rows, which are stored once: ranges are sampled, written and counted from them."""
-    held = materialize(rows, "eval-rows")
-    own = F.col("y_true").cast("int").alias("class_id")
-    positives = held.where(F.col("y_true").between(0, num_classes - 1)).groupBy(*by, own).agg(F.count("*").alias("positives"))
-    return curve(class_points(held, num_classes), evaluation_order(), by, positives)
+    Points are counted per class and score bucket first, so what comes before a bucket is known and each bucket is ordered by
+    itself, its points shuffled once; one of more than ``bucket`` points goes over slices. Points of score zero, those of all
+    missed boxes among them, are ordered as rows and become points where they are counted.
+    """
+    by, groups = list(by), [*by, "class_id"]
+    keep = [c for c in rows.columns if c not in (*by, "y_true", "scores")]
+    found, missed = _stored(rows, by, keep)
+    held = found.unionByName(missed)
+    numeric = isinstance(held.schema["image_id"].dataType, NumericType)
+    bounds, low, high = _bounds(held, numeric)
+    tie = _tie_bucket(numeric)
+    histogram = materialize(count_buckets(held.withColumn("_b", bounds), num_classes, tie, low, high, by), "curve-buckets")
+    upto = Window.partitionBy(*groups).orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    spans = materialize(
+        histogram.withColumns({"_n": F.sum("n").over(upto) - F.col("n"), "_t": F.sum("t").over(upto) - F.col("t")}), "curve-spans"
+    )
+    positive = F.col("slot") >= POSITIVE
+    totals = histogram.groupBy(*groups).agg(
+        *[F.coalesce(F.sum(F.when(positive, F.col(c))), F.lit(0)).alias(c) for c in ("n", "t")], F.sum("t").alias("positives")
+    )
+    totals = materialize(totals, "curve-totals")
+    zero = F.col("slot").between(ZERO, POSITIVE - 1)
+    sizes = histogram.agg(F.sum(F.when(~zero, F.col("n"))), F.sum(F.when(zero, F.col("n")))).first()
+    scored, tied = [int(n or 0) for n in sizes]
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = scored // SPREAD + 1
+    if tasks > found.rdd.getNumPartitions():  # rows are dealt before they become points, so that no task makes too many
+        found = found.repartition(tasks, "image_id", "pos")
+
+    tagged, code = found.withColumn("_b", bounds), (F.col("class_id") * SLOTS + F.col("slot")).cast("int")
+    order, counts = [F.col("score").desc(), *evaluation_order()], {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}
+    inside = Window.partitionBy(*groups, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    small, large = (_codes(histogram.where(~zero & size), code, by) for size in (F.col("n") <= bucket, F.col("n") > bucket))
+    points = points_in(tagged, num_classes, tie, low, high, small, by, keep).repartition(max(least, scored // ORDERED + 1), *groups, "slot")
+    running = points.withColumns({name: F.sum(value).over(inside) for name, value in counts.items()})
+    if large:
+        dense = points_in(tagged, num_classes, tie, low, high, large, by, keep)
+        running = running.unionByName(running_totals(dense, [*groups, "slot"], order, counts, "curve"))
+    columns = [*by, *keep, "class_id", "score", "hit", "_rank", "_tp"]
+    placed = running.join(spans.select(*groups, "slot", "_n", "_t"), [*groups, "slot"]).withColumns(
+        {"_rank": F.col("_n") + F.col("_rank"), "_tp": F.col("_t") + F.col("_tp")}
+    ).select(columns)
+    if tied:
+        zeros = _zero_points(held, num_classes, by, keep, totals.select(*groups, "n", "t"), max(least, tied // num_classes // ORDERED + 1))
+        placed = placed.unionAll(zeros.select(columns))
+    rank, tp, positives = F.col("rank"), F.col("tp"), F.col("positives")
+    known = placed.withColumnsRenamed({"_rank": "rank", "_tp": "tp"}).join(totals.select(*groups, "positives"), groups)
+    return known.withColumns(
+        {"precision": tp / rank, "recall": F.when(positives > 0, tp / positives).otherwise(0.0), "threshold": F.col("score")}
+    )
 
 
 def _grid(index: Column, points: int) -> Column:

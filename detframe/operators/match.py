@@ -190,7 +190,8 @@ def _fold_runs(
         raise ValueError(f"at most {MOST_RUNS} runs share one pairing")
     own = "run" in truth.columns
     every = F.lit((1 << runs) - 1).cast("bigint")
-    left = run_mask(dets, ["image_id", "pos", "score", *BOX])
+    keys = ["image_id", "pos", "score", *BOX]
+    left = dets.select(*keys, every.alias("mask")) if runs == 1 else run_mask(dets, keys)
     right = run_mask(truth, ["image_id", "pos", "class_id", *BOX]) if own else truth.select("image_id", "pos", "class_id", *BOX, every.alias("mask"))
     hot = hot_images(left, right, limit=limit)
     cool_l, _ = split_hot(left, hot)
@@ -296,8 +297,9 @@ def evaluation_rows(
     with a zero vector. ``(image_id, kind, det_score desc, pos)`` is the order
     of the rows.
     """
-    matches = match_detections(detections, ground_truth, iou_threshold, limit)
-    return label_rows(detections, ground_truth, matches, num_classes, eval_type)
+    rows = label_runs(detections.withColumn("run", F.lit(0)), ground_truth.drop("run"), 1, num_classes, iou_threshold, eval_type, limit)
+    vector = F.when(F.col("kind") == 0, F.col("scores")).otherwise(F.array_repeat(F.lit(0.0), num_classes))
+    return rows.drop("run").withColumn("scores", vector)
 
 
 def label_rows(

@@ -71,3 +71,44 @@ def test_conditions_of_a_hot_image_are_suppressed_apart(spark):
     hot = sorted(map(tuple, suppress_sweep(dets, [0.3], 0.1, limit=3, by="run").select(keys).collect()))
     apart = sorted((r.image_id, c, r.pos) for c in "ab" for r in suppress_sweep(dets.where(F.col("run") == c), [0.3], 0.1).collect())
     assert usual == apart and hot == apart
+
+
+def _moved(spark, act):
+    """Rows that ``act`` shuffles."""
+    doubles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def rows():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    old = rows()
+    act()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for stage, n in rows().items() if stage not in old)
+
+
+def test_curve_moves_each_scored_point_once_and_zeros_as_rows(spark):
+    made = [(i, int(i % 4 > 0), 0.0 if i % 4 else 0.5, i, i % 5, [0.0] * 5 if i % 4 else [(i * 7 + k) % 97 / 100 + 0.01 for k in range(5)]) for i in range(8000)]
+    rows = spark.createDataFrame(made, "image_id bigint, kind int, det_score double, pos int, y_true int, scores array<double>")
+    moved = _moved(spark, lambda: pr_curve(rows, 5).select("rank", "tp").write.format("noop").mode("overwrite").save())
+    # 10,000 scored points once, 6,000 rows of zeros by range and by slice, besides the counts per bucket; all 40,000 points moved twice before
+    assert 10_000 <= moved < 50_000
+
+
+def test_curve_of_large_buckets_nulls_and_runs(spark):
+    draw = random.Random(5)
+    made = []
+    for i in range(300):
+        kind = int(draw.random() < 0.5)
+        scores = [0.0] * 3 if kind else [draw.choice([None, -0.5, -0.25, 0.0, 0.25, 0.25, draw.random()]) for _ in range(3)]
+        made.append(("ab"[i % 2], i // 7, kind, 0.0 if kind else draw.choice([0.1, 0.2]), i, draw.randrange(-1 + kind, 3), scores))
+    rows = spark.createDataFrame(made, "run string, image_id bigint, kind int, det_score double, pos int, y_true int, scores array<double>")
+    for bucket in (1 << 20, 2):
+        got = pr_curve(rows, 3, ["run"], bucket=bucket).collect()
+        for run in "ab":
+            for cls in range(3):
+                own = [r for r in made if r[0] == run]
+                own.sort(key=lambda r: (r[6][cls] is not None, r[6][cls] or 0.0, r[1], r[2], -r[3], r[4]), reverse=True)
+                hits = [int(r[5] == cls) for r in own]
+                want = [(k + 1, sum(hits[: k + 1]), sum(hits), r[6][cls], r[4]) for k, r in enumerate(own)]
+                assert sorted((r["rank"], r.tp, r.positives, r.threshold, r.pos) for r in got if r.run == run and r.class_id == cls) == want
