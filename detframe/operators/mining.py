@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from detframe.functions.buckets import DENSITY_BUCKETS
 from detframe.operators.loss import COMPONENTS, component_scales, stacked
 from detframe.operators.profile import bucket_distribution
+from detframe.session import materialize
 
 # The nine weightings of the sweep
 # (name, display name, coord, obj, noobj, cls, family).
@@ -76,13 +77,36 @@ def scored_runs(components: DataFrame, scales: DataFrame | None = None, modes=MO
     ).drop("_scales")
 
 
+#: Shares of a run, each half of the one before, whose least scores are tried as bounds of its top list.
+SHARES = [2.0**-k for k in range(1, 14)]
+
+
+def contenders(scored: DataFrame, n: int) -> DataFrame:
+    """The rows of every run that can be among its ``n`` best-scored: all down to a bound that at least ``n`` rows reach.
+
+    Sketches propose bounds, exact counts pick the highest that holds, so nothing is sorted for it. Some ``n`` to 2n rows are left,
+    or about one of 8,192 where that is more, besides those that tie with the bound; a run without a bound keeps all its rows.
+    ``scored`` is read three times: store what it is made of.
+    """
+    proposed = scored.groupBy(*RUN).agg(F.percentile_approx("hnm_score", [1 - s for s in SHARES], 10_000).alias("bounds"))
+    tried = scored.select(*RUN, "hnm_score").join(materialize(proposed, "score-bounds"), [*RUN])
+    reached = tried.groupBy(*RUN).agg(
+        F.max("bounds").alias("bounds"),
+        *[F.count_if(F.col("hnm_score") >= F.get("bounds", F.lit(k))).alias(f"reach_{k}") for k in range(len(SHARES))],
+    )
+    holds = [F.when(F.col(f"reach_{k}") >= n, F.get("bounds", F.lit(k))) for k in range(len(SHARES))]
+    bound = materialize(reached.select(*RUN, F.greatest(*holds).alias("_bound")), "score-bound")
+    above = F.col("_bound").isNull() | (F.col("hnm_score") >= F.col("_bound"))
+    return scored.join(bound, [*RUN]).where(above).select(scored.columns)
+
+
 def top_images(scored: DataFrame, n: int = 250) -> DataFrame:
     """The n best-scored images of every run with their rank, ties by file name.
 
-    Spark limits each partition to n rows per run before the shuffle.
+    Only :func:`contenders` are ranked; Spark limits each partition to n rows per run before the shuffle.
     """
     order = Window.partitionBy(*RUN).orderBy(F.col("hnm_score").desc(), "image_file")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return contenders(scored, n).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def run_summary(top: DataFrame) -> DataFrame:

@@ -45,6 +45,21 @@ def test_top_lists_and_overlap(spark):
         mining.config_array(["other"])
 
 
+def test_few_images_are_ranked_for_a_top_list(spark):
+    images = spark.range(6000).select(
+        (F.col("id") % 2).cast("string").alias("score_mode"), F.lit("c").alias("config_name"), F.format_string("%05d", "id").alias("image_file"),
+        F.when(F.col("id") % 10 > 1, F.floor(F.pmod(F.xxhash64("id"), F.lit(5000)) / 2) / 8).alias("hnm_score"),
+    )
+    odd = images.where("score_mode = '0' or image_file < '00011'").withColumn("hnm_score", F.expr("if(image_file = '00004', double('nan'), hnm_score)"))
+    for scored, n in ((images, 20), (odd, 20), (images.withColumn("hnm_score", F.lit(0.0)), 7)):
+        rows = [(r.score_mode, r.hnm_score, r.image_file) for r in scored.collect()]
+        key = lambda r: (r[1] is None, r[1] is not None and r[1] == r[1], -r[1] if r[1] is not None and r[1] == r[1] else 0.0, r[2])
+        want = {(m, f, k + 1) for m in "01" for k, (_, _, f) in enumerate(sorted((r for r in rows if r[0] == m), key=key)[:n])}
+        assert {(r.score_mode, r.image_file, r["rank"]) for r in mining.top_images(scored, n).collect()} == want
+    # 2,400 images of each run have a score
+    assert 40 <= mining.contenders(images, 20).count() < 150
+
+
 def test_hard_negative_arguments(spark):
     table = components(spark)
     assert mining.hard_negatives(table, 0, "loc_loss").columns == table.columns
