@@ -17,10 +17,11 @@ is merged with a heap; further columns are left out.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,12 @@ LONG_WORD = 48
 #: Draws made for all occurrences of a text at once; further ones are made when they are needed.
 DRAWS = 24
 MORE = 1 << DRAWS
+#: Agendas run together in one array, those that wait for it at most, and bytes of the texts whose agendas wait together.
+TOGETHER, ASKED, TEXTS = 16_384, 1 << 16, 1 << 20
+#: Rank of two neighbours that are no piece.
+UNPAIRED = 2**31 - 1
+#: What stands for a character without a piece.
+UNKNOWN = 0xFFFF
 BLANK = "▁"
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 _NONE = 1 << 62
@@ -72,10 +79,54 @@ class PieceCoder:
             else:
                 self.rank[piece], self.ids[piece] = places[k], k.to_bytes(2, "little")
                 self.meant.append(piece.replace(BLANK, " ").encode())
+        self._tables(order)
         self.plain: dict[str, bytes] = {}
-        #: Word -> [draws that its agenda asks for after the last skip, ids, the same again by the next pair that is skipped]
-        self.kept: dict[str, list] = {}
-        self.n_kept = 0
+        #: Word, and word with the pairs that are skipped -> draws that its agenda asks for after the last skip, ids
+        self.kept: dict[str | tuple[str, int], tuple[int, bytes]] = {}
+
+    def _tables(self, order: list[int]) -> None:
+        """What :meth:`_merged_many` looks up: the piece of a character, and rank and piece of two neighbours."""
+        number = {piece: int.from_bytes(own, "little") for piece, own in self.ids.items()}
+        self.signs = np.full(0x110000, -1, np.int32)
+        pairs = {}
+        for piece, k in number.items():
+            if len(piece) == 1:
+                self.signs[ord(piece)] = k
+            for cut in range(1, len(piece)):
+                left, right = number.get(piece[:cut]), number.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 16 | right] = (self.rank[piece], k)
+        #: Whether a character without a piece stands in no longer piece either, so that it is never merged.
+        self.closed = all(self.signs[ord(x)] >= 0 for piece in number for x in piece)
+        self.slots = 1 << max(4, (2 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - (self.slots.bit_length() - 1))
+        self.pair = np.full(self.slots, -1, np.int64)
+        self.outcome = np.full((self.slots, 2), UNPAIRED, np.int32)
+        keys, found = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32).reshape(-1, 2)
+        at = self._slot(keys)
+        while len(keys):  # open addressing: who comes first to a free slot stays, others go on to the next
+            _, first = np.unique(at, return_index=True)
+            first = first[self.pair[at[first]] < 0]
+            self.pair[at[first]], self.outcome[at[first]] = keys[first], found[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, found, at = keys[left], found[left], (at[left] + 1) & (self.slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> self.shift).astype(np.int64)
+
+    def _outcomes(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged piece of neighbours; the rank of a pair that is no piece is ``UNPAIRED``."""
+        keys = left.astype(np.int64) << 16 | right
+        at = self._slot(keys)
+        held = self.pair[at]
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (self.slots - 1)
+            held = self.pair[at[other]]
+            other = other[(held != keys[other]) & (held >= 0)]
+        found = self.outcome[at]
+        return found[:, 0], found[:, 1]
 
     def occurrences(self, key: int, first: int, count: int) -> np.ndarray:
         """Keys of the words ``first`` and following of the text of document ``key``."""
@@ -173,62 +224,148 @@ class PieceCoder:
             found = [other if x is None else x for x, other in zip(found, as_bytes)]
         return b"".join(found)
 
-    def _unkept(self, word: str, key: int, drawn: int, path: int, put: Callable[[list], None]) -> bytes:
-        """Ids by an agenda of the occurrence itself; kept by ``put`` if it skips just the pairs of ``path``."""
-        if len(word) > LONG_WORD:
-            return self._ids(self._merged_long(list(word), key))
-        pieces, skipped, n = self._merged(word, key, drawn)
-        ids = self._ids(pieces)
-        if skipped == path and n <= DRAWS:
-            put([(1 << n) - (1 << path.bit_length()), ids, None])
-            self.n_kept += 1
-            if self.n_kept > KEPT_WORDS:
-                self.kept.clear()
-                self.n_kept = 0
-        return ids
-
-    def _next(self, node: list, hit: int, word: str, key: int, drawn: int) -> bytes:
-        """Ids where the draws ``hit`` skip pairs of a word's kept segmentation."""
-        path = 0
-        while hit:
-            low = hit & -hit
-            path |= low
-            if node[2] is None:
-                node[2] = {}
-            kids = node[2]
-            node = kids.get(low)
-            if node is None:
-                return self._unkept(word, key, drawn, path, lambda made: kids.__setitem__(low, made))
-            hit = drawn & node[0]
-        return node[1]
+    def _settle(self, asked: list[tuple]) -> None:
+        """Ids of the occurrences that no kept segmentation answers, by agendas of their own, put into their places.
+
+        They are kept where an agenda skips just the pairs of the path that led to it.
+        """
+        text = "".join([a[0] for a in asked])
+        signs, sizes = self.signs[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], np.array([len(a[0]) for a in asked])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        apart = sizes > LONG_WORD
+        odd = np.minimum.reduceat(signs, starts) < 0
+        if not self.closed:
+            apart |= odd
+        for k in np.flatnonzero(apart).tolist():
+            word, key, _, _, out, place = asked[k]
+            out[place] = self._ids(self.merged(word, key))
+        signs[signs < 0] = UNKNOWN
+        order = np.flatnonzero(~apart)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for start in range(0, len(order), TOGETHER):
+            chosen = order[start : start + TOGETHER]
+            columns = np.arange(sizes[chosen[-1]])
+            grid = np.where(columns < sizes[chosen, None], signs[np.minimum(starts[chosen, None] + columns, len(signs) - 1)], -1)
+            mine = [asked[k] for k in chosen.tolist()]
+            parts, skips, turns = self._merged_many(grid, [a[1] for a in mine], np.array([a[2] for a in mine]))
+            alive = parts >= 0
+            data = parts[alive].astype("<u2").tobytes()
+            upto = (np.cumsum(alive.sum(axis=1)) * 2).tolist()
+            ids = [data[x:y] for x, y in zip([0, *upto], upto)]
+            for k in np.flatnonzero(odd[chosen]).tolist():  # characters without a piece become bytes
+                word = mine[k][0]
+                found = ((place, part) for place, part in enumerate(parts[k].tolist()) if part >= 0)
+                ids[k] = b"".join([self._ids([word[place]]) if part == UNKNOWN else part.to_bytes(2, "little") for place, part in found])
+            whole = turns <= DRAWS
+            masks = np.where(whole, 1 << np.where(whole, turns, 0), 0).tolist()
+            for (word, _, _, path, out, place), own, skipped, mask in zip(mine, ids, skips.tolist(), masks):
+                out[place] = own
+                if skipped == path and mask:
+                    self.kept[(word, path) if path else word] = (mask - (1 << path.bit_length()), own)
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+
+    def _merged_many(self, grid: np.ndarray, keys: list[int], drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`_merged` for many words at once, one turn of each at a time: pieces, skipped pairs (of the first ``DRAWS``), turns.
+
+        A row of ``grid`` holds the pieces of a word's characters, then -1. A piece stands at the place of its first character, -1 elsewhere.
+        """
+        count, width = grid.shape
+        last = width  # a place beyond the word, where writes do no harm
+        parts = np.concatenate([grid, np.full((count, 1), -1, grid.dtype)], axis=1)
+        waiting = np.full((count, width + 1), UNPAIRED, np.int32)
+        row, at = np.nonzero(grid[:, 1:] >= 0)
+        waiting[row, at] = self._outcomes(grid[row, at], grid[row, at + 1])[0]
+        after = np.tile(np.minimum(np.arange(1, width + 2), last), (count, 1))
+        before = np.tile(np.where(np.arange(width + 1) > 0, np.arange(width + 1) - 1, last), (count, 1))
+        skips, turns = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        rows, n = np.arange(count), 0
+        while len(rows):
+            best = waiting[rows].argmin(axis=1)
+            going = waiting[rows, best] < UNPAIRED
+            rows, best = rows[going], best[going]
+            turns[rows] += 1
+            if n < DRAWS:
+                skip = (drawn[rows] >> n & 1).astype(bool)
+                skips[rows[skip]] |= 1 << n
+            else:
+                skip = np.fromiter((self.skip(keys[k], n) for k in rows.tolist()), bool, len(rows))
+            waiting[rows[skip], best[skip]] = UNPAIRED
+            r, a = rows[~skip], best[~skip]
+            b = after[r, a]
+            beyond = after[r, b]
+            parts[r, a] = self._outcomes(parts[r, a], parts[r, b])[1]
+            parts[r, b] = -1
+            waiting[r, b] = UNPAIRED
+            after[r, a] = beyond
+            before[r, beyond] = a
+            for left, right in ((a, beyond), (before[r, a], a)):
+                x, y = parts[r, left], parts[r, right]
+                both = (x >= 0) & (y >= 0)
+                rank = np.full(len(r), UNPAIRED, np.int32)
+                rank[both] = self._outcomes(x[both], y[both])[0]
+                waiting[r, left] = rank
+            n += 1
+        return parts, skips, turns
 
     def encode(self, text: str, key: int) -> bytes:
         """Ids of a text; ``key`` names the document."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of several texts; agendas that no kept segmentation spares are run together."""
+        asked: list[tuple] = []
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and each search for them goes through all that is kept
+        try:
+            made = [self._parts(text, key, asked) for text, key in zip(texts, keys)]
+            if asked:
+                self._settle(asked)
+        finally:
+            if collecting:
+                gc.enable()
+        return [b"".join(parts) for parts in made]
+
+    def _parts(self, text: str, key: int, asked: list[tuple]) -> list:
+        out: list = []
         if not text:
-            return b""
+            return out
         if BLANK in text or "￿" in text:
-            return self._encode_marked(text, key)
+            self._encode_marked(text, key, out, asked)
+            return out
         if "  " in text or text[0] == " ":  # the blank that stands before every text makes a run with its own
             words = _WORD.findall(BLANK + text.replace(" ", BLANK))
         else:
             words = [BLANK + x for x in text.split(" ")]
-        return self._joined(words, key, 0)
+        self._joined(words, key, 0, out, asked)
+        return out
 
-    def _joined(self, words: list[str], key: int, first: int) -> bytes:
-        """Ids of the words that stand from place ``first`` on in the text of document ``key``."""
+    def _joined(self, words: list[str], key: int, first: int, out: list, asked: list[tuple]) -> None:
+        """Add to ``out`` the ids of the words that stand from place ``first`` on in the text of document ``key``.
+
+        What has to be settled by an agenda of its own is left open and noted in ``asked``, which is settled when it is long.
+        """
         if not self.limit:
-            return b"".join(map(self._plain, words))
+            out += map(self._plain, words)
+            return
         keys = self.occurrences(key, first, len(words))
-        kept, out = self.kept, []
-        for k, (word, drawn) in enumerate(zip(words, self.draws(keys).tolist())):
-            node = kept.get(word)
-            if node is None:
-                out.append(self._unkept(word, int(keys[k]), drawn, 0, lambda made: kept.__setitem__(word, made)))
-            elif hit := drawn & node[0]:
-                out.append(self._next(node, hit, word, int(keys[k]), drawn))
+        kept = self.kept
+        for word, node, key, drawn in zip(words, list(map(kept.get, words)), keys.tolist(), self.draws(keys).tolist()):
+            path = 0
+            while node is not None:
+                hit = drawn & node[0]
+                if not hit:
+                    out.append(node[1])
+                    break
+                path |= hit & -hit
+                node = kept.get((word, path))
             else:
-                out.append(node[1])
-        return b"".join(out)
+                asked.append((word, key, drawn, path, out, len(out)))
+                out.append(None)
+        if len(asked) >= ASKED:
+            self._settle(asked)
+            asked.clear()
 
     def _plain(self, word: str) -> bytes:
         found = self.plain.get(word)
@@ -238,12 +375,13 @@ class PieceCoder:
             found = self.plain[word] = self.word(word, 0)
         return found
 
-    def _encode_marked(self, text: str, key: int) -> bytes:
+    def _encode_marked(self, text: str, key: int, out: list, asked: list[tuple]) -> None:
         """A written U+2581 or U+FFFF is written as its bytes; what lies between is encoded as in one text."""
         parts = re.split(f"([{BLANK}￿])", BLANK + text.replace(" ", "\x00")) if "\x00" not in text else None
         if parts is None:  # no free sign to stand for the blank: byte by byte
-            return self.ids[BLANK] + b"".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")])
-        out, place = [], 0
+            out += [self.ids[BLANK], *[self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]]
+            return
+        place = 0
         for k, part in enumerate(parts[1:]):
             if k == 0:
                 out += [self.ids[BLANK]]
@@ -252,9 +390,8 @@ class PieceCoder:
                 out += [self.bytes[b] for b in part.encode()]
             elif part:
                 words = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", part.replace("\x00", BLANK))
-                out.append(self._joined(words, key, place))
+                self._joined(words, key, place, out, asked)
                 place += len(words)
-        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, whatever merges were skipped."""
@@ -268,6 +405,18 @@ def coder(path: str, dropout: float, seed: int) -> PieceCoder:
     return _coders[key]
 
 
+def _encoded(own: PieceCoder, doc_ids: list, texts) -> Iterator[tuple]:
+    """``doc_id, text, ids`` of a batch, whose texts are encoded some at a time."""
+    some, length = [], 0
+    for k, (doc_id, data) in enumerate(zip(doc_ids, texts), 1):
+        some.append((doc_id, data.decode("utf-8", "replace")))
+        length += len(data)
+        if length >= TEXTS or k == len(doc_ids):
+            ids = own.encode_all([text for _, text in some], [doc_id or 0 for doc_id, _ in some])
+            yield from ((doc_id, text, x) for (doc_id, text), x in zip(some, ids))
+            some, length = [], 0
+
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
 
 
@@ -280,9 +429,8 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
         own = coder(path, dropout, seed)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.names}
-            for doc_id, data in zip(column(batch, "doc_id").to_pylist(), byte_texts(column(batch, "text"))):
-                text = data.decode("utf-8", "replace")
-                ids = own.encode(text, doc_id or 0)
+            doc_ids = column(batch, "doc_id").to_pylist()
+            for doc_id, text, ids in _encoded(own, doc_ids, byte_texts(column(batch, "text"))):
                 for name, value in zip(schema.names, (doc_id, len(ids) // 2, zlib.crc32(ids), own.decode(ids) == text, ids)):
                     out[name].append(value)
             yield rows(schema, **out)

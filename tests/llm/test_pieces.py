@@ -1,3 +1,5 @@
+import copy
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -57,6 +59,20 @@ def test_each_occurrence_has_draws_of_its_own():
     assert any(a == b for a, b in zip(first[0], plain)) and first[0] != plain
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abethnion.é中🙂￿\x00")), min_size=1, max_size=55), min_size=1, max_size=40), st.integers(0, 3))
+def test_agendas_run_together_give_the_ids_of_each_alone(words, key):
+    coder = copy.copy(DROPPED)
+    coder.kept = {}
+    texts = [" ".join(w.replace("￿", "x") for w in words), " ".join(words[::-1]), words[0] * 3]
+    for _ in range(2):  # nothing kept, then some
+        for text, ids in zip(texts, coder.encode_all(texts, [key, key + 1, key + 2])):
+            assert coder.decode(ids) == text
+        keys = coder.occurrences(key, 0, len(words)).tolist()
+        alone = [coder.word(pieces.BLANK + w.replace("￿", "x"), k) for w, k in zip(words, keys)]
+        assert coder.encode_all(texts[:1], [key])[0] == b"".join(alone)
+
+
 def test_rows(texts):
     rows = awkward()
     made = pieces.encode(frame(texts, rows), PATH, keep_ids=True)
