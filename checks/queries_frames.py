@@ -30,6 +30,11 @@ def lines(pixels, *keys):
     return as_big(pixels.groupBy("image_id", *keys, "y", "c").agg(F.array_join(cells, ",").alias("vals")), "y", "c")
 
 
+def texts(lines, *keys):
+    """The same for what comes as lines already."""
+    return as_big(lines.select("image_id", *keys, "y", "c", F.array_join(F.col("vals").cast("array<string>"), ",").alias("vals")), "y", "c")
+
+
 def duck_lines(source: str, keys: str = "") -> str:
     return (
         f"select image_id, {keys} cast(y as bigint) y, cast(c as bigint) c, string_agg(cast(v as string), ',' order by x) vals from ({source}) group by all"
@@ -106,7 +111,7 @@ BY_CONDITION = (
 
 @query("pixels_by_condition", duck(duck_lines(BY_CONDITION, "condition,"), ["fx_pixels"], duck_blur(9)))
 def _(f):
-    return lines(augment.by_condition(f("fx_pixels"), sizes(f)), "condition")
+    return texts(augment.by_condition(f("fx_pixels"), sizes(f), as_lines=True), "condition")
 
 
 def draw(slot: int) -> str:

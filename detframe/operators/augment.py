@@ -1,12 +1,14 @@
 """Image augmentation over a pixel table ``(image_id, y, x, c, v)``, and boxes under a condition.
 
-Flips and brightness are column arithmetic. Blur, resize and chains of transforms
-gather the pixels to scan lines once and work on these, see ``scanlines``.
+Flips and brightness are column arithmetic. Blur, resize, chains of transforms and conditions
+gather small images whole (``wholeimages``) and others as scan lines (``scanlines``), once, and work on these.
+With ``as_lines`` they return lines ``(image_id, y, c, ..., vals)`` instead of pixels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.types import NumericType
 
 from detframe.functions.conditions import CONDITIONS, condition_array
 from detframe.functions.geometry import center_to_xywh, target_size
+from detframe.operators import wholeimages as whole
 from detframe.operators.scanlines import (
     along_x, banded, blur_lines, interpolation_taps, kernel_bands, kernel_taps, lines_of, own_lines, pixels_of, resize_bands, resize_lines, resized_lines, rounded, tap_array, within_bytes,
 )
@@ -55,34 +58,72 @@ def gaussian_kernel(size: int, sigma: float = 0.0) -> list[float]:
     return [r / sum(raw) for r in raw]
 
 
-def blur(pixels: DataFrame, kernel_size: int = 5, sigma: float = 0.0) -> DataFrame:
-    """Gaussian blur with mirrored borders, rounded once at the end."""
-    return pixels_of(blur_lines(lines_of(pixels), gaussian_kernel(kernel_size, sigma)), pixels.columns)
+def _by_size(pixels: DataFrame, images: DataFrame | None, small: Callable, large: Callable, as_lines: bool, extra: Sequence[str] = ()) -> DataFrame:
+    """Images changed whole by ``small``, where they are small, and as lines by ``large``."""
+    few, many = whole.split(pixels, images)
+    parts = [small(whole.gathered(few))] if few is not None else []
+    if many is not None:
+        parts.append(large(lines_of(many)).withColumn("vals", F.transform("vals", rounded)))
+    columns = [*pixels.columns, *extra]
+    shown = [*["vals" if c == "v" else c for c in columns if c != "x"]]
+    lines = [p.select(shown) for p in parts]
+    out = lines[0] if len(lines) == 1 else lines[0].unionByName(lines[1])
+    return out if as_lines else pixels_of(out, columns)
 
 
-def resize(pixels: DataFrame, images: DataFrame, target=None, scale: float | None = None, interpolation: str = "linear") -> DataFrame:
+def blur(pixels: DataFrame, kernel_size: int = 5, sigma: float = 0.0, images: DataFrame | None = None, as_lines: bool = False) -> DataFrame:
+    """Gaussian blur with mirrored borders, rounded once at the end. Without ``images`` the pixels are read once more for their sizes."""
+    kernel = gaussian_kernel(kernel_size, sigma)
+
+    def small(found):
+        return whole.changed(found, lambda a: [(None, whole.blurred(a, kernel))])
+
+    return _by_size(pixels, images, small, lambda lines: blur_lines(lines, kernel), as_lines)
+
+
+def resize(pixels: DataFrame, images: DataFrame, target=None, scale: float | None = None, interpolation: str = "linear", as_lines: bool = False) -> DataFrame:
     """Resize to a given size or by a scale, rounded once at the end; ``interpolation`` is nearest, linear, cubic or area."""
+    interpolation_taps(interpolation)
     new_w, new_h = target_size(F.col("width"), F.col("height"), target, scale)
     sizes = images.select("image_id", F.col("height").alias("_h"), new_w.alias("_new_w"), new_h.alias("_new_h"))
-    sized = lines_of(pixels).join(sizes, "image_id")
-    return pixels_of(resize_lines(sized, F.col("_h"), F.col("_new_w"), F.col("_new_h"), interpolation), pixels.columns)
+
+    def small(found):
+        return whole.changed(found.join(sizes.drop("_h"), "image_id"), lambda a, w, h: [(None, whole.resized(a, w, h, interpolation))], ["_new_w", "_new_h"])
+
+    def large(lines):
+        return resize_lines(lines.join(sizes, "image_id"), F.col("_h"), F.col("_new_w"), F.col("_new_h"), interpolation)
+
+    return _by_size(pixels, images, small, large, as_lines)
 
 
-def by_condition(pixels: DataFrame, images: DataFrame, conditions=CONDITIONS) -> DataFrame:
+def by_condition(pixels: DataFrame, images: DataFrame, conditions=CONDITIONS, as_lines: bool = False) -> DataFrame:
     """The pixels under every condition, with a ``condition`` column."""
-    plain = [c for c in conditions if c[2] != "gaussian_blur"]
-    sized = pixels.join(images.select("image_id", "height"), "image_id")
-    each = sized.withColumn("_k", F.explode(condition_array(plain)))
-    y, v, kind = F.col("y"), F.col("v"), F.col("_k.type")
-    out = each.select(
-        "image_id", F.when(kind == "vertical_flip", F.col("height") - 1 - y).otherwise(y).alias("y"), "x", "c",
-        F.when(kind == "brightness", _brighter(v, F.col("_k.alpha"), F.col("_k.beta"))).otherwise(v).alias("v"),
-        F.col("_k.condition").alias("condition"),
-    )
-    for tag, _, kind_name, size, sigma, *_ in conditions:
-        if kind_name == "gaussian_blur":
-            out = out.unionByName(blur(pixels, size, sigma or 0.0).withColumn("condition", F.lit(tag)))
-    return out
+    condition_array(conditions)  # refuses unknown kinds
+    kernels = {tag: gaussian_kernel(size, sigma or 0.0) for tag, _, kind, size, sigma, *_ in conditions if kind == "gaussian_blur"}
+
+    def every(found):
+        for tag, _, kind, _, _, alpha, beta in conditions:
+            if kind == "gaussian_blur":
+                yield tag, whole.blurred(found, kernels[tag])
+            elif kind == "brightness":
+                yield tag, whole.brighter(found, alpha, beta)
+            else:
+                yield tag, found[:, ::-1] if kind == "vertical_flip" else found
+
+    def large(lines):
+        plain = [c for c in conditions if c[2] != "gaussian_blur"]
+        each = lines.join(images.select("image_id", "height"), "image_id").withColumn("_k", F.explode(condition_array(plain)))
+        kind, bright = F.col("_k.type"), lambda v: _brighter(v, F.col("_k.alpha"), F.col("_k.beta")).cast("double")
+        out = each.select(
+            "image_id", F.when(kind == "vertical_flip", F.col("height") - 1 - F.col("y")).otherwise(F.col("y")).cast("int").alias("y"), "c",
+            F.when(kind == "brightness", F.transform("vals", bright)).otherwise(F.col("vals")).alias("vals"), F.col("_k.condition").alias("condition"),
+        )
+        for tag, kernel in kernels.items():
+            out = out.unionByName(blur_lines(lines, kernel).withColumn("condition", F.lit(tag)))
+        return out
+
+    own = pixels.select("image_id", "y", "x", "c", "v")
+    return _by_size(own, images, lambda found: whole.changed(found, every, tag="condition"), large, as_lines, ["condition"])
 
 
 # The transforms a random chain may use; resize only on request.
@@ -109,10 +150,10 @@ def augment_plan(images: DataFrame, seed: int, max_transforms: int = 3, include_
 
 def apply_plan(
     pixels: DataFrame, images: DataFrame, plan: DataFrame, kernel_size: int = 5, sigma: float = 0.0, alpha: float = 1.0, beta: float = 30, resize_to=None, scale: float | None = None,
-    interpolation: str = "linear",
+    interpolation: str = "linear", as_lines: bool = False,
 ) -> DataFrame:
-    """Run each image's chain stage by stage, to the end of the longest, over scan lines: one shuffle of lines for a stage that blurs
-    or resizes, none for others, and nothing stored between stages.
+    """Run each image's chain. An image taken whole goes through it in one task; scan lines go stage by stage, to the end of the
+    longest: one shuffle of lines for a stage that blurs or resizes, none for others, and nothing stored between stages.
 
     A plan that resizes needs ``resize_to`` or ``scale``, and a plan with any other name is refused: no image may fall between.
     """
@@ -125,14 +166,28 @@ def apply_plan(
         raise ValueError(f"unknown transforms in the plan: {odd}")
     if resizes and resize_to is None and scale is None:
         raise ValueError("the plan resizes images: give resize_to or scale")
-    needs = plan.select(F.posexplode("chain").alias("stage", "op")).groupBy("stage").agg(F.max(F.col("op").isin("gaussian_blur", "resize")).alias("moves"))
-    moving = {r["stage"] for r in needs.where("moves").collect()}
+    interpolation_taps(interpolation)
     sizes = images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    state = lines_of(pixels).join(sizes, "image_id").join(plan.select("image_id", F.col("chain").alias("_chain")), "image_id")
-    kernel, level = gaussian_kernel(kernel_size, sigma), (F.lit(float(alpha)), F.lit(float(beta)))
-    for stage in range(longest):
-        state = _chain_stage(state, F.get("_chain", F.lit(stage)), stage in moving, kernel, level, resize_to if resizes else None, scale if resizes else None, interpolation)
-    return pixels_of(state.drop("_w", "_h", "_chain"), pixels.columns)
+    kernel = gaussian_kernel(kernel_size, sigma)
+
+    def small(found):
+        chains = plan.select("image_id", F.coalesce(F.array_join("chain", ">"), F.lit("")).alias("_chain"))
+
+        def run(a, w, h, chain):
+            yield None, whole.after_chain(a, chain.split(">"), kernel, (alpha, beta), (w, h), resize_to, scale, interpolation)
+
+        return whole.changed(found.join(sizes, "image_id").join(chains, "image_id"), run, ["_w", "_h", "_chain"])
+
+    def large(lines):
+        needs = plan.select(F.posexplode("chain").alias("stage", "op")).groupBy("stage").agg(F.max(F.col("op").isin("gaussian_blur", "resize")).alias("moves"))
+        moving = {r["stage"] for r in needs.where("moves").collect()}
+        level = (F.lit(float(alpha)), F.lit(float(beta)))
+        state = lines.join(sizes, "image_id").join(plan.select("image_id", F.col("chain").alias("_chain")), "image_id")
+        for stage in range(longest):
+            state = _chain_stage(state, F.get("_chain", F.lit(stage)), stage in moving, kernel, level, resize_to if resizes else None, scale if resizes else None, interpolation)
+        return state.drop("_w", "_h", "_chain")
+
+    return _by_size(pixels, images, small, large, as_lines)
 
 
 def _chain_stage(state: DataFrame, op: Column, moving: bool, kernel: list[float], level, resize_to, scale, interpolation: str) -> DataFrame:
