@@ -80,7 +80,7 @@ def duck_blur(size: int, source: str = "fx_pixels", tag: str = "b") -> list[str]
 
 @query("pixels_blur", duck(duck_lines("select * from b"), ["fx_pixels"], duck_blur(5)))
 def _(f):
-    return lines(augment.blur(f("fx_pixels"), 5))
+    return texts(augment.blur(f("fx_pixels"), 5, images=sizes(f), as_lines=True))
 
 
 def duck_place(i: str, n: int, m: int) -> str:
@@ -99,7 +99,7 @@ RESIZED = [
 
 @query("pixels_resize", duck(duck_lines("select * from ry"), ["fx_pixels"], RESIZED))
 def _(f):
-    return lines(augment.resize(f("fx_pixels"), sizes(f), scale=0.5))
+    return texts(augment.resize(f("fx_pixels"), sizes(f), scale=0.5, as_lines=True))
 
 
 BY_CONDITION = (
