@@ -142,7 +142,7 @@ def duck_stage(n: int) -> list[str]:
 
 @query("pixels_augmented", duck(duck_lines("select * from st3"), ["fx_pixels"], [PLAN, *duck_stage(1), *duck_stage(2), *duck_stage(3)]))
 def _(f):
-    return lines(augment.apply_plan(f("fx_pixels"), sizes(f), augment.augment_plan(f("fx_images"), 7)))
+    return texts(augment.apply_plan(f("fx_pixels"), sizes(f), augment.augment_plan(f("fx_images"), 7), as_lines=True))
 
 
 # ---- frames -----------------------------------------------------------------
