@@ -148,7 +148,11 @@ def points_in(
                 for piece in _pieces(part, classes):
                     scores, nulls = _vectors(piece, classes)
                     slot = _slots(scores, nulls, _ints(piece, "_tie"), low, high)
-                    row, class_id = np.nonzero(mask[slot + np.arange(classes) * SLOTS])
+                    code = slot + np.arange(classes) * SLOTS
+                    row, class_id = np.nonzero(mask[code])
+                    # bucket by bucket: neighbours are alike, so they pack well where they are shuffled
+                    near = np.argsort(code[row, class_id], kind="stable")
+                    row, class_id = row[near], class_id[near]
                     taken, place = piece.take(pa.array(row)), pa.array(row * classes + class_id)
                     hit = (_ints(taken, "y_true") == class_id).astype(np.int64)
                     own = [taken.column(name) for name in (*by, *keep)]

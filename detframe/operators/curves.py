@@ -27,7 +27,7 @@ def evaluation_order() -> list[Column]:
 
 # Nonzero points that a task makes, and that a partition orders.
 SPREAD = 1 << 22
-ORDERED = 1 << 19
+ORDERED = 1 << 18
 
 
 def _stored(rows: DataFrame, by, keep) -> tuple[DataFrame, DataFrame]:
@@ -94,18 +94,26 @@ def pr_curve(rows: DataFrame, num_classes: int, by=(), bucket: int = 1 << 20) ->
         found = found.repartition(tasks, "image_id", "pos")
 
     tagged, code = found.withColumn("_b", bounds), (F.col("class_id") * SLOTS + F.col("slot")).cast("int")
-    order, counts = [F.col("score").desc(), *evaluation_order()], {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit")}
-    inside = Window.partitionBy(*groups, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    small, large = (_codes(histogram.where(~zero & size), code, by) for size in (F.col("n") <= bucket, F.col("n") > bucket))
-    points = points_in(tagged, num_classes, tie, low, high, small, by, keep).repartition(max(least, scored // ORDERED + 1), *groups, "slot")
-    running = points.withColumns({name: F.sum(value).over(inside) for name, value in counts.items()})
-    if large:
-        dense = points_in(tagged, num_classes, tie, low, high, large, by, keep)
-        running = running.unionByName(running_totals(dense, [*groups, "slot"], order, counts, "curve"))
+    # all have the same kind, and class and slot are one number, so that little is shuffled for a point
+    own = [c for c in keep if c != "kind"]
+    order = [F.col("score").desc(), F.col("image_id").desc(), F.col("det_score").asc(), F.col("pos").desc()]
+    counts = {"_rank": F.lit(1).cast("bigint"), "_tp": F.col("hit").cast("bigint")}
+
+    def points(part: DataFrame) -> DataFrame:
+        made = points_in(tagged, num_classes, tie, low, high, _codes(part, code, by), by, own)
+        return made.select(*by, *own, code.alias("_bucket"), "score", F.col("hit").cast("boolean").cast("int").alias("hit"))
+
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = points(histogram.where(~zero & (F.col("n") <= bucket))).repartition(max(least, scored // ORDERED + 1), *by, "_bucket")
+    running = dealt.withColumns({name: F.sum(value).over(inside) for name, value in counts.items()})
+    large = histogram.where(~zero & (F.col("n") > bucket))
+    if not large.isEmpty():
+        running = running.unionByName(running_totals(points(large), [*by, "_bucket"], order, counts, "curve"))
     columns = [*by, *keep, "class_id", "score", "hit", "_rank", "_tp"]
-    placed = running.join(spans.select(*groups, "slot", "_n", "_t"), [*groups, "slot"]).withColumns(
-        {"_rank": F.col("_n") + F.col("_rank"), "_tp": F.col("_t") + F.col("_tp")}
-    ).select(columns)
+    placed = running.join(spans.select(*by, code.alias("_bucket"), "class_id", "_n", "_t"), [*by, "_bucket"]).withColumns({
+        "_rank": F.col("_n") + F.col("_rank"), "_tp": F.col("_t") + F.col("_tp"), "hit": F.col("hit").cast("bigint"),
+        "kind": F.lit(0).cast(rows.schema["kind"].dataType),
+    }).select(columns)
     if tied:
         zeros = _zero_points(held, num_classes, by, keep, totals.select(*groups, "n", "t"), max(least, tied // num_classes // ORDERED + 1))
         placed = placed.unionAll(zeros.select(columns))
